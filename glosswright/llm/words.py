@@ -72,8 +72,17 @@ class Words:
             power, inverse = _powers_to(n)
             with np.errstate(over="ignore"):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[:n])])
-                h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-                self.h = mix(h + (self.ends - self.starts).astype(np.uint64) * _STEP)
+                self._sums, self._inverse = sums, inverse
+                self.h = self._named(self.ends)
+
+    def _named(self, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self._sums[ends] - self._sums[self.starts]) * self._inverse[self.starts]
+            return mix(h + (ends - self.starts).astype(np.uint64) * _STEP)
+
+    def stems(self, n: int) -> np.ndarray:
+        """Hashes of the first ``n`` bytes of each word."""
+        return self._named(np.minimum(self.ends, self.starts + n))
 
     @property
     def of(self) -> np.ndarray:
