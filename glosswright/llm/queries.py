@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswright.llm import decontaminate, fingerprints, mixing, secrets, toxicity, urls, warc
+from glosswright.llm import decontaminate, fingerprints, mixing, secrets, similar, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.repeated(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_read(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_url_filter": op2_url_filter,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_warc": op6_warc,
         "op7_fingerprints": op7_fingerprints,
         "op8_mixing": op8_mixing,
