@@ -6,9 +6,10 @@ hash. Sets up to a boundary are light: they list all pairs (subsets of two) of a
 sets in a pair. Larger sets are heavy: they are found by scanning the inverted lists of the single tokens of a shorter prefix, which light sets near the
 boundary also enter. The boundary is where listing pairs begins to cost more than scanning lists.
 
-Lists are not expanded into all pairs. First every member is compared with the least member of its list; components of the links found are
-merged; then only members outside a list's largest component are compared with those of other components, which covers every pair not yet in one component. Candidates
-are pruned by sizes and by parity bitmaps (they differ in at most as many bits as the sets do in tokens) and verified on the texts.
+Lists are not expanded into all pairs. First every member is compared with the least member of its list, then, where a list still has several components of the
+links found, with the member that shares most; at last only members outside a list's largest component are compared with those of other components, which
+covers every pair not yet in one component. Candidates are pruned by the places of the shared token, by sizes and by parity bitmaps (they differ
+in at most as many bits as the sets do in tokens), and verified on the texts.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ class Order:
         usual = float(np.median(counts))
         excess = counts - usual
         frequent = excess > 3 * np.sqrt(usual) + 3
-        self.level = np.where(frequent, np.log2(np.maximum(excess, 1)) + 1, 0).astype(np.uint8)
+        self.counts = counts.astype(np.uint32)
         # For tokens of frequency f dealt out to cells at random, variance / mean of the counts is E[f * f] / E[f], the length of the list a token is in.
         rest = counts[~frequent]
         length = float(np.clip(rest.var() / max(rest.mean(), 1e-9), 1, 64)) if len(rest) else 1.0
@@ -103,15 +104,19 @@ class Order:
             self.boundary = size
 
     def sort(self, s: np.ndarray) -> np.ndarray:
-        return s[np.lexsort((s, self.level[_cell(s)]))]
+        return s[np.lexsort((s, self.counts[_cell(s)]))]
 
 
-def _keys(order, shingle: int, percent: int):
+def _keys(order, shingle: int, percent: int, filter_=None, bits: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of each set: ``key, name, size, room``. ``room`` bounds the overlap with a set that shares the key: tokens from there on, and one more for a pair.
+
+        With a filter, of the keys that may be in a list of several sets only.
+        """
         by: Order = order.value
         light = by.boundary
         for batch in pieces(batches):
-            keys, names, sizes, done = [], [], [], set()
+            cols, done = [], set()
             for s in shingle_sets(Words(batch.column(0), True, NON_SPACE), shingle):
                 name = _name(s) if len(s) else None
                 if name is None or name in done:
@@ -119,20 +124,24 @@ def _keys(order, shingle: int, percent: int):
                 done.add(name)
                 size, s = len(s), by.sort(s)
                 spare = size - _least_overlap(size, percent)
-                mine = []
+                keys, room = [], []
                 if size <= light:
                     prefix = s[: spare + 2]
                     i, j = np.triu_indices(len(prefix), 1)
                     with np.errstate(over="ignore"):
-                        mine.append(mix(mix(np.minimum(prefix[i], prefix[j])) * _PAIR + np.maximum(prefix[i], prefix[j])))
+                        keys.append(mix(mix(np.minimum(prefix[i], prefix[j])) * _PAIR + np.maximum(prefix[i], prefix[j])))
+                    room.append(size - j + 1)
                 if size > light or 100 * size >= percent * (light + 1):
-                    mine.append(s[: spare + 1])
-                mine = np.concatenate(mine)
-                keys.append(mine)
-                names.append(np.full(len(mine), name))
-                sizes.append(np.full(len(mine), size, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], names=["key", "name", "size"])
+                    keys.append(s[: spare + 1])
+                    room.append(size - np.arange(len(keys[-1])))
+                keys, room = np.concatenate(keys), np.concatenate(room)
+                if filter_ is not None:
+                    kept = bm.has(filter_.value, bits, keys)
+                    keys, room = keys[kept], room[kept]
+                cols.append((keys, np.full(len(keys), name), np.full(len(keys), size, np.int32), room.astype(np.int32)))
+            if cols:
+                keys, *rest = map(np.concatenate, zip(*cols))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), *map(pa.array, rest)], names=["key", "name", "size", "room"])
 
     return run
 
@@ -194,26 +203,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[sums["cell"].to_numpy()] = sums["count"].to_numpy()
     order = spark.sparkContext.broadcast(Order(counts, percent))
-    keys = docs.select("text").mapInArrow(_keys(order, shingle, percent), "key bigint, name bigint, size int")
-    shared = keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").select("key", "least")
+    kinds = "key bigint, name bigint, size int, room int"
+    keys = docs.select("text").mapInArrow(_keys(order, shingle, percent), kinds)
+    shared = written(keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").select("key", "least"), "shared")
+    bits = bm.bits_for(shared.count())
+    keys = docs.select("text").mapInArrow(_keys(order, shingle, percent, spark.sparkContext.broadcast(bm.bitmap(shared, "key", bits)), bits), kinds)
     lists = written(keys.join(shared, "key").distinct(), "lists")
     listed = lists.select("name").distinct()
     bits = bm.bits_for(listed.count())
     filter_ = spark.sparkContext.broadcast(bm.bitmap(listed, "name", bits))
     members = docs.select("text").mapInArrow(_members(filter_, bits, shingle), "name bigint, size int, parity array<bigint>, packed binary")
     members = written(members.dropDuplicates(["name"]), "members")
-    stars = written(lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b")).distinct(), "stars")
-    links = written(_links(stars, members, shingle, percent), "links")
+    tested = written(lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b")).distinct(), "stars")
+    links = written(_links(tested, members, shingle, percent), "links")
+    for last in (False, True):
+        # Lists that still hold several components. First all are compared with the member of the fullest lists, mostly what others were copied
+        # from; at last those outside the largest component with all others.
+        rooted = _rooted(lists, components(links))
+        if last:
+            ones = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+            ones = rooted.join(ones, "key").where("root <> main")
+        else:
+            fullness = rooted.join(rooted.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name").agg(F.sum("n").alias("fullness"))
+            hubs = rooted.join(fullness, "name").groupBy("key").agg(F.max(F.struct("fullness", "name"))["name"].alias("name"))
+            ones = rooted.join(hubs, ["key", "name"])
+        ones = ones.select("key", *[F.col(c).alias(f"x_{c}") for c in ("name", "root", "size", "room")])
+        enough = (100 + percent) * F.least("room", "x_room") >= percent * (F.col("size") + F.col("x_size"))
+        pairs = rooted.join(ones, "key").where((F.col("root") != F.col("x_root")) & enough)
+        pairs = pairs.select(F.least("name", "x_name").alias("a"), F.greatest("name", "x_name").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(written(_links(pairs, members, shingle, percent), "links"))
     roots = components(links)
-    at_root = lists.join(roots, lists["name"] == roots["node"], "left").select("key", "name", "size", F.coalesce("root", "name").alias("root"))
-    at_root = written(at_root, "rooted")
-    mixed = at_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    largest = at_root.join(mixed, "key", "left_semi").groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-    outside = at_root.join(largest, "key").where("root <> main").select("key", F.col("name").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
-    rest = at_root.join(outside, "key").where((F.col("root") != F.col("x_root")) & (100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")))
-    rest = rest.select(F.least("name", "x").alias("a"), F.greatest("name", "x").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_links(rest, members, shingle, percent), "links")
-    roots = components(links.unionByName(more))
     named = first.where("cell IS NULL").select("doc_id", "n_shingles", "name")
     named = named.join(roots, named["name"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -221,6 +242,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return with_words.unionByName(named.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, name, size, room, root`` of the lists whose members are in several components."""
+    at = lists.join(roots, lists["name"] == roots["node"], "left").select("key", "name", "size", "room", F.coalesce("root", "name").alias("root"))
+    mixed = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return written(at.join(mixed, "key", "left_semi"), "rooted")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group, with all its columns. Rows that repeat that id are all kept, as are rows without an id."""
     gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
