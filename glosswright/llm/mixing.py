@@ -78,3 +78,15 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return placed.withColumn("part", part).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part"
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``mixture`` with all columns of the documents. Of rows that share a ``doc_id``, ``source`` and size each keeps its own text; the words taken of
+    them are those of the first. New columns replace columns of the same names."""
+    new = ["size", "source_size", "target", "taken", "epochs", "part"]
+    shares = mixture(docs).groupBy("doc_id", "source", "size").agg(*[F.max(c).alias(c) for c in new[1:]])
+    shares = shares.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", *new)])
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    docs = docs.drop(*new)
+    out = docs.withColumn("mix_own", size).join(shares, F.expr("doc_id <=> mix_doc_id AND source <=> mix_source AND mix_own = mix_size"))
+    return out.select(*docs.columns, *[F.col(f"mix_{c}").alias(c) for c in new])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswright.llm import decontaminate, fingerprints, mixing, secrets, similar, toxicity, urls, warc
+from glosswright.llm import decontaminate, fingerprints, mixing, repeats, secrets, similar, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.repeated(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -46,16 +50,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_url_filter": op2_url_filter,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_warc": op6_warc,
         "op7_fingerprints": op7_fingerprints,
         "op8_mixing": op8_mixing,
         "op9_secret_scan": op9_secret_scan,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
