@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Texts are long: Arrow batches are bounded by bytes, not by the usual ten thousand rows alone.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application.
 
     Needed where the driver put the repository on ``sys.path`` itself and the executors know nothing of it.
     """
+    spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
