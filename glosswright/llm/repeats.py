@@ -2,7 +2,7 @@
 
 Two rounds name, alike everywhere, first the runs of equal symbols and then pairs of neighbours (a left and a right one, told apart by a hash of the symbol), beginning with
 words. Which pairs join depends on the symbols alone, so all occurrences of a window of words have the same symbols inside; only those near its borders depend
-on what stands around. Each window is therefore represented by one interior symbol, the longest; successive windows with the same one
+on what stands around. Each window is therefore represented by one interior pair of symbols, the longest; successive windows with the same one
 make an occurrence of that symbol, with the words around it as its context.
 
 Spark groups occurrences by symbol. One that is in a single document repeats nothing. One with the same context everywhere decides all its windows at once;
@@ -72,8 +72,13 @@ def occurrences(w: Words, window: int = WINDOW) -> tuple[np.ndarray, ...]:
         low = np.where(low <= n, bounds[np.minimum(rank[np.minimum(low + 1, n + 1)], len(bounds) - 1)], n)
         high = bounds[np.maximum(rank[high] - 1, 0)]
     inside = (low < high) & (low > p) & (high < p + window)
-    begin, end = rank[low], rank[high]  # symbols low..high
+    # Two neighbouring symbols are named together: one alone is often a few common words that many documents share by chance.
+    begin, end = rank[low], rank[high] - 1
     length = np.diff(bounds).astype(np.uint64)
+    length[:-1] += length[1:]
+    with np.errstate(over="ignore"):
+        symbols = mix(symbols * _A + np.append(symbols[1:], np.uint64(0)))
+    inside &= begin < end
     weight = (np.minimum(length, np.uint64(255)) << np.uint64(56)) | (symbols >> np.uint64(8))
     best = np.where(inside, begin, 0)
     for step in range(1, window):
