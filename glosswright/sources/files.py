@@ -93,7 +93,7 @@ def seen_ids(spark: SparkSession, path: str | None = None, jdbc: dict[str, str]
 
 def cursor(spark: SparkSession, path: str) -> DataFrame:
     """The stored cursor; blank is null."""
-    return spark.read.text(path, wholetext=True).select(F.nullif(F.trim("value"), F.lit("")).alias("cursor"))
+    return spark.read.text(path, wholetext=True).select(F.nullif(strip(F.col("value")), F.lit("")).alias("cursor"))
 
 
 def batch_state(spark: SparkSession, path: str) -> DataFrame:
