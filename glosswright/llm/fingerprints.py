@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = docs.count()
     buckets = int(min(MOST_BUCKETS, max(1, n // BUCKET_ROWS)))
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
-    splits = [-float("inf"), *bounds, float("inf")]
+    splits = [-float("inf"), *(bounds or [0.0]), float("inf")]
     keyed = docs.withColumn("hash", F.xxhash64("text")).withColumn("as_double", F.col("doc_id").cast("double"))
     keyed = Bucketizer(splits=splits, inputCol="as_double", outputCol="range", handleInvalid="keep").transform(keyed)
     # Null ids get the number past the last; descending, bucket 0 is that of the largest ids.
