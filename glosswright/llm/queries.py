@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glosswright.llm import decontaminate, fingerprints, mixing, repeats, secrets, similar, toxicity, urls, warc
+from glosswright.llm import decontaminate, fingerprints, licenses, mixing, repeats, secrets, similar, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_known", "sequence", F.array_join("leftover", ",").alias("leftover"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_url_filter": op2_url_filter,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_warc": op6_warc,
         "op7_fingerprints": op7_fingerprints,
@@ -72,4 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_license_scan": licenses.oracle_sql(),
+    }
