@@ -141,7 +141,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """One row per document row: ``doc_id, licenses, n_known, sequence, leftover``.
 
     ``licenses`` are the sorted distinct licences of the rules that match, ``n_known`` the number of known licence sentences, ``sequence`` what the rules
-    make of the identifiers in the text's order (``{licence}``, ``<identifier>`` of a sentence no rule took, a dash for other sentences), ``leftover`` the
+    make of the identifiers in the text's order (``{licence}``, ``<identifier>`` of a sentence no rule took, a dash for other
+    sentences, nothing for copyright lines and those of up to three characters, such as numbering), ``leftover`` the
     identifiers no rule took. Null and empty texts have no sentences. Rows are judged one by one, so ties, repeated rows and null ids don't matter;
     columns other than ``doc_id`` and ``text`` are ignored.
     """

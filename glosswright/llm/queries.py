@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswright.llm import decontaminate, fingerprints, licenses, mixing, repeats, secrets, similar, toxicity, urls, warc
+from glosswright.llm import decontaminate, fingerprints, licenses, mixing, repeats, secrets, similar, sql, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op4_license_scan": licenses.oracle_sql(),
-    }
+    return sql.oracle_sql()

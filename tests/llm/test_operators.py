@@ -115,7 +115,7 @@ def test_licenses(spark):
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     rows = [
         (1, "\n".join("# " + x for x in apache), "Apache-2.0", "{Apache-2.0}", ""),
-        (2, "word word\nReleased under the MIT Licence.\nword. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0,MIT", "-{MIT}{GPL-3.0}", ""),
+        (2, "word word\nReleased under the MIT Licence.\nword. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0,MIT", "-{MIT}-{GPL-3.0}", ""),
         (3, "// SPDX-License-Identifier: CC-BY-NC-4.0\n", "CC-BY-NC-4.0", "{CC-BY-NC-4.0}", ""),
         (4, notice, "", "<mit-notice>", "mit-notice"),
         (5, "A permissive text. " * 5000, "", "-", ""),
