@@ -215,11 +215,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = docs.select("text").mapInArrow(_members(filter_, bits, shingle), "name bigint, size int, parity array<bigint>, packed binary")
     members = written(members.dropDuplicates(["name"]), "members")
     tested = written(lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b")).distinct(), "stars")
-    links = written(_links(tested, members, shingle, percent), "links")
+    roots = components(written(_links(tested, members, shingle, percent), "links"))
     for last in (False, True):
         # Lists that still hold several components. First all are compared with the member of the fullest lists, mostly what others were copied
         # from; at last those outside the largest component with all others.
-        rooted = _rooted(lists, components(links))
+        rooted = _rooted(lists, roots)
         if last:
             ones = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
             ones = rooted.join(ones, "key").where("root <> main")
@@ -233,8 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         pairs = pairs.select(F.least("name", "x_name").alias("a"), F.greatest("name", "x_name").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(written(_links(pairs, members, shingle, percent), "links"))
-    roots = components(links)
+        links = written(_links(pairs, members, shingle, percent), "links")
+        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = first.where("cell IS NULL").select("doc_id", "n_shingles", "name")
     named = named.join(roots, named["name"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
