@@ -190,3 +190,16 @@ def test_toxicity(spark):
     assert sum(x.predicted == (x.doc_id % 4 == 0) for x in held) >= 0.95 * len(held)
     assert all(0 <= x.score <= 1 for x in got) and len(got) == 602
     assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_scores_later_pairs():
+    def words(text):
+        return toxicity.Words(toxicity.pa.array([text]), True, toxicity.LETTERS)
+
+    words_of, pairs, _, _ = toxicity._cells(words("ab cd"))
+    toxic = toxicity.pa.table({"cell": [int(pairs[1]), *map(int, words_of)], "n0": [0, 50, 50], "n1": [50, 50, 50]})
+    models = toxicity.Models(toxicity.pa.table({"cell": toxicity.pa.array([], "int64"), "mask": toxicity.pa.array([], "int64")}), toxic)
+    plain = "ab xx cd yy " + " ".join(f"w{i} v{i}" for i in range(50))
+    with_phrase = models.features(words(plain + " ab cd"))[0]
+    assert with_phrase[1] > models.features(words(plain + " cd ab"))[0][1] + 0.1
+    assert (models.features(words(""))[0] == 0).all()
