@@ -89,8 +89,18 @@ RULES = (
     (("unlicense-head",), "Unlicense"),
 )
 
+#: Ends of sentences within notices, as normalised, and what is put for them before cutting.
+UNCUT = ((r"mozilla public license v\. 2\.0", "mozilla public license v.2.0"), (r"free software foundation; either version", "free software foundation either version"))
+#: What ``SENTENCES`` says in a form that isn't cut.
+WHOLE = {"this source code form is subject to the terms of the mozilla public license v.2.0": "mpl2-notice"}
+#: Licences whose tags say which versions, and other licences by tag alone.
+VERSIONED = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+TAGS = (*[f"{spdx}-{which}" for spdx in VERSIONED for which in ("only", "or-later")], "Unlicense")
+
 #: Each known sentence has one of these.
 STEMS = ("licens", "licenc", "permi", "redistribut", "warrant", "copyright", "public domain", "public\ndomain", "spdx", "cc0", "cc by", "cc-by")
+#: For the operator alone: "public domain" may be wrapped within a comment.
+ALL_STEMS = (*STEMS, "unencumbered")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Normalising, in this order: marks of comments at the beginning of lines, quotes, then all ASCII but letters, digits and ends of sentences.
@@ -110,10 +120,23 @@ IGNORED = r"^(?:.{0,3}|(?:c )?copyright .*|all rights reserved)$"
 def known() -> dict[str, str]:
     """All known sentences and their identifiers: the texts above, and a grant of each licence by its name or its SPDX identifier."""
     grants = {f"licensed under {name}": f"is-{spdx}" for name, spdx in NAMES.items()}
-    tags = {f"spdx {spdx.lower().replace('-', ' ')}": f"is-{spdx}" for spdx in NAMES.values()}
+    tags = {_tag(spdx): f"is-{spdx}" for spdx in NAMES.values()}
     return SENTENCES | grants | tags
 
 
+def all_known() -> dict[str, str]:
+    """What the operator knows: ``known``, of which the SQL is made, and the forms and tags that the SQL doesn't have."""
+    return known() | WHOLE | {_tag(spdx): f"is-{spdx}" for spdx in TAGS}
+
+
+def all_rules() -> list[tuple[tuple[str, ...], str]]:
+    return [*rules(), *[((f"is-{spdx}",), spdx) for spdx in TAGS]]
+
+
+def _tag(spdx: str) -> str:
+    return f"spdx {spdx.lower().replace('-', ' ')}"
+
+
 def rules() -> list[tuple[tuple[str, ...], str]]:
     return [*RULES, *[((f"is-{spdx}",), spdx) for spdx in sorted(set(NAMES.values()))]]
 
@@ -122,6 +145,8 @@ def _sentences(plain: Column, joined: bool) -> Column:
     """The normalised sentences of a normalised text: of its lines, or of its paragraphs with the lines joined."""
     cut = F.regexp_replace(plain, PARAGRAPH, "\x01") if joined else F.translate(plain, "\n", "\x01")
     cut = F.regexp_replace(F.regexp_replace(cut, r"[ \n]+", " "), OWNER, ANY_OWNER)
+    for a, b in UNCUT:
+        cut = F.regexp_replace(cut, a, b)
     return F.transform(F.split(F.regexp_replace(cut, ENDS, "\x01"), "\x01"), lambda s: F.regexp_replace(F.trim(s), GRANT, "licensed under "))
 
 
@@ -146,9 +171,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     identifiers no rule took. Null and empty texts have no sentences. Rows are judged one by one, so ties, repeated rows and null ids don't matter;
     columns other than ``doc_id`` and ``text`` are ignored.
     """
-    table, ordered = known(), rules()
+    table, ordered = all_known(), all_rules()
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    may = reduce(Column.__or__, [F.contains("low", F.lit(stem)) for stem in STEMS])
+    may = reduce(Column.__or__, [F.contains("low", F.lit(stem)) for stem in ALL_STEMS])
     plain = F.regexp_replace(F.concat(F.lit("\n"), F.when(may, F.translate("low", "\r", "")).otherwise("")), LEADERS, "\n")
     for a, b in SPELLING:
         plain = F.replace(plain, F.lit(a), F.lit(b))
@@ -165,7 +190,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same as ``scanned`` in DuckDB SQL, with a join to the table of known sentences in place of the look-up."""
+    """``scanned`` with what ``known`` holds (without ``UNCUT``, ``WHOLE``, ``TAGS`` and ``ALL_STEMS``) in DuckDB SQL, with a join to the table of known sentences in place of the look-up."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     plain = "text_low"
     for a, b in SPELLING:
