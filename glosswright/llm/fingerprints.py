@@ -1,4 +1,5 @@
-"""SpotSigs fingerprints: each common word is an anchor, and the chain of content words that follow it is a signature.
+"""SpotSigs fingerprints: each common word is an anchor, and the chain of content words that follow it is a signature. So that short texts and those of other
+languages have a fingerprint too, and texts of any two lengths can be compared, each word's chain of the words that follow it and each word alone are signatures as well.
 
 A fingerprint is the sorted set of a text's 32-bit signature hashes, in hex. Fingerprints are compared by Jaccard similarity, pruned by their set lengths.
 """
@@ -26,8 +27,6 @@ ANCHORS = (
     "el los las unos y es del al por con para como su se lo no más una"
 )
 CHAIN = 2
-#: Below so many signatures every word is an anchor and a signature by itself, so that short texts and those of other languages have a fingerprint too.
-FEW = 12
 BUCKET_ROWS = 200
 MOST_BUCKETS = 1 << 16
 
@@ -58,8 +57,8 @@ def signatures(texts: pa.Array, common: np.ndarray) -> list[np.ndarray]:
             out.append(np.frombuffer(hashlib.sha256(raw).digest()[:4], ">u4").astype(np.uint32) if raw else np.zeros(0, np.uint32))
             continue
         h, c = w.h[a : a + n], is_common[a : a + n]
-        found = np.unique(_chains(h, np.flatnonzero(c), np.flatnonzero(~c)))
-        out.append(found if len(found) >= FEW else np.unique(np.concatenate([_chains(h, np.arange(n), np.arange(n)), (h >> np.uint64(32)).astype(np.uint32)])))
+        every = np.arange(n)
+        out.append(np.unique(np.concatenate([_chains(h, np.flatnonzero(c), np.flatnonzero(~c)), _chains(h, every, every), (h >> np.uint64(32)).astype(np.uint32)])))
     return out
 
 

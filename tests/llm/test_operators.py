@@ -244,3 +244,10 @@ def test_licenses_original_wording(spark):
         assert x.n_known == 1, rows[x.doc_id]
         assert (x.licenses, x.leftover) == (([single.get(i, i)], []) if i in single or i in tags else ([], [i])), rows[x.doc_id]
     assert all(any(stem in x for stem in licenses.STEMS) for x in licenses.all_known())
+
+
+@pytest.mark.parametrize("spots", range(9, 15))
+def test_fingerprints_of_near_copies(spots):
+    words = [f"the w{i} v{i}" for i in range(spots)]
+    long, short, other = fingerprints.signatures(fingerprints.pa.array([" ".join(words), " ".join(words[:-1]), "x y z " * spots]), fingerprints._anchor_hashes())
+    assert fingerprints.pruned_jaccard(long, short) > 0.8 and fingerprints.pruned_jaccard(long, other) == 0
