@@ -22,17 +22,22 @@ def sorted_similarity(a: Column, b: Column) -> Column:
     return F.when(F.length(a) + F.length(b) == 0, 100.0).otherwise(200.0 * common / (F.length(a) + F.length(b)))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence: one word of bits a character of ``b``."""
+def common_subsequences(a: str, b: str) -> list[int]:
+    """Length of the longest common subsequence with each beginning of ``b``, from none of it to all: one word of bits a character of ``b``."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     all_ = (1 << len(a)) - 1
-    v = all_
+    v, out = all_, [0]
     for c in b:
         u = v & at.get(c, 0)
         v = (v + u | v - u) & all_
-    return len(a) - v.bit_count()
+        out.append(len(a) - v.bit_count())
+    return out
+
+
+def common_subsequence(a: str, b: str) -> int:
+    return common_subsequences(a, b)[-1]
 
 
 def ratio(a: str, b: str) -> float:
@@ -46,28 +51,21 @@ def _bag(a: str, b: str) -> float:
 def best_window(short: str, long: str) -> tuple[float, int, int]:
     """The part of ``long`` most similar to ``short``: windows of its length, and shorter ones at both ends. Of equals the first start, then the longer.
 
-    A window's common characters, order aside, bound its score, so most windows need no alignment.
+    One pass gives all windows at either end. One step further a window of full length has at most one common character more, so after a window
+    that falls short of the best by some characters, as many windows can't be better.
     """
     m, n = len(short), len(long)
-    need, best = Counter(short), (-1.0, 0, 0)
-    spans = [(0, k) for k in range(1, m)] + [(i, i + m) for i in range(n - m + 1)] + [(i, n) for i in range(n - m + 1, n)]
-    have: Counter[str] = Counter()
-    low = high = common = 0
-    for s, e in spans:
-        while high < e:
-            have[long[high]] += 1
-            common += have[long[high]] <= need[long[high]]
-            high += 1
-        while low < s:
-            common -= have[long[low]] <= need[long[low]]
-            have[long[low]] -= 1
-            low += 1
-        bound = 200 * common / (m + e - s)
-        if bound > best[0] or bound == best[0] and (s, -e) < (best[1], -best[2]):
-            score = ratio(short, long[s:e])
-            if score > best[0] or score == best[0] and (s, -e) < (best[1], -best[2]):
-                best = (score, s, e)
-    return best
+    starts, ends = common_subsequences(short, long[:m]), common_subsequences(short[::-1], long[::-1][:m])
+    spans = [(starts[k], 0, k) for k in range(1, m)] + [(ends[k], n - k, n) for k in range(1, m)]
+    i, most = 0, -1
+    while i <= n - m:
+        common = common_subsequence(short, long[i : i + m])
+        if common > most:
+            most = common
+            spans.append((common, i, i + m))
+        i += most - common + 1
+    score, s, e = max((200 * c / (m + e - s) if m else 100.0, -s, e) for c, s, e in spans)
+    return score, -s, e
 
 
 def align(anchor: str | None, caption: str | None, original: str | None = None) -> tuple[float | None, int | None, int | None, str | None]:
@@ -87,7 +85,7 @@ def align(anchor: str | None, caption: str | None, original: str | None = None)
         if len(anchor) == len(caption) and (other := best_window(caption, anchor)[0]) > score:
             score, start, end = other, 0, len(caption)
     chosen, missing = (start, end), len(anchor) - (end - start)
-    if missing > 0:
+    if missing > 0 and end - start < len(caption):
         most = _bag(caption[start:end], anchor)
         for before in range(missing + 1):
             s, e = max(0, start - before), min(len(caption), end + missing - before)

@@ -132,12 +132,24 @@ def indel_ratio(spark, d):
 
 
 def _contained(spark, d):
-    """Candidate pairs of documents and benchmark items: they share ``KEY_WORDS`` successive words from inside the item. Items have more than ``KEY_WORDS + 1`` words."""
-    keys = lambda text: t.let(F.split(text, r"\s+"), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - KEY_WORDS + 1)), lambda i: F.xxhash64(F.slice(c, i, KEY_WORDS))))
-    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).withColumn("k", F.xxhash64(F.slice(F.split("item", r"\s+"), 2, KEY_WORDS)))
+    """Candidate pairs of documents and benchmark items: all in which the document may hold the item.
+
+    A document that holds an item has the item's words but the first and the last unchanged; up to ``KEY_WORDS`` of them are the key. Items without such words
+    meet every document.
+    """
+    words = F.split("item", r"\s+")
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).where("item IS NOT NULL").withColumn("n", F.greatest(F.lit(0), F.least(F.lit(KEY_WORDS), F.size(words) - 2)))
+    items = items.withColumn("k", F.xxhash64("n", F.slice(words, 2, F.col("n"))))
     docs = read(spark, d, "documents").select("doc_id", "text")
-    hits = docs.select("doc_id", F.explode(F.array_distinct(keys("text"))).alias("k")).join(items.select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
-    return hits.join(docs, "doc_id").join(items.drop("k"), "item_id")
+    used = [x.n for x in items.select("n").distinct().collect()]  # KEY_WORDS + 1 rows at most
+    keys = lambda n: t.let(F.split("text", r"\s+"), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.slice(c, i, n))))
+    out = docs.crossJoin(items.where("n = 0").drop("n", "k")) if 0 in used else None
+    if lengths := [n for n in used if n]:
+        all_keys = F.array_distinct(F.concat(*[keys(n) for n in lengths]))
+        hits = docs.select("doc_id", F.explode(all_keys).alias("k")).join(items.where("n > 0").select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
+        keyed = hits.join(docs, "doc_id").join(items.where("n > 0").drop("n", "k"), "item_id").select("doc_id", "text", "item_id", "item")
+        out = out.unionByName(keyed) if out else keyed
+    return out if out else docs.crossJoin(items.drop("n", "k"))
 
 
 @query("""
@@ -149,10 +161,10 @@ def verbatim_slice(spark, d):
 
 @query()
 def window_align_gate(spark, d):
-    """Items as anchors in documents they may be in: score, window and the verbatim label."""
+    """Turns as anchors in their answers, every pair: score, window and the verbatim label."""
     ship(spark)
-    rows = _contained(spark, d).select("doc_id", "item_id", t.keep_chars(F.lower("item"), "a-z").alias("x"), t.keep_chars(F.lower("text"), "a-z").alias("y"))
-    rows = rows.withColumn("a", s.aligned("x", "y", "y")).select("doc_id", "item_id", "a.*")
+    rows = _turns(spark, d).select("conv_id", "turn", t.keep_chars(F.lower("anchor"), "a-z").alias("x"), t.keep_chars(F.lower("caption"), "a-z").alias("y"))
+    rows = rows.withColumn("a", s.aligned("x", "y", "y")).select("conv_id", "turn", "a.*")
     return rows.withColumn("status", F.when((F.col("score") >= 75) & (F.col("label") != ""), "SUCCESS").otherwise("REJECT"))
 
 

@@ -12,7 +12,7 @@ from glosswright.functions import similarity as s
 from glosswright.functions import text as t
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
-from glosswright.plans import funnel, gate
+from glosswright.plans import funnel, gate, queries
 from glosswright.sources import files
 
 BOX = "array<struct<bbox:array<double>,class:int,conf:double,center_x:double,height:double>>"
@@ -147,3 +147,31 @@ def test_stream(spark, tmp_path):
     posts = spark.read.json(f"{tmp_path}/posts").collect()
     assert [(x.post_id, x.caption, x.img_count) for x in posts] == [("A1", "福如東海", 1)]
     assert files.cursor(spark, f"{tmp_path}/cursor/*.txt").where("cursor IS NOT NULL").first().cursor == "c1"
+
+
+def test_best_window():
+    rng = random.Random(5)
+    for _ in range(300):
+        short, long = ("".join(rng.choice("abcd") for _ in range(rng.randint(*r))) for r in ((1, 9), (9, 25)))
+        m, n = len(short), len(long)
+        spans = [(0, k) for k in range(1, m)] + [(i, i + m) for i in range(n - m + 1)] + [(i, n) for i in range(n - m + 1, n)]
+        score, start, end = max((s.ratio(short, long[i:k]), -i, k) for i, k in spans)
+        assert s.best_window(short, long) == (score, -start, end)
+
+
+def test_pairs_are_whole(spark, tmp_path):
+    rng = random.Random(2)
+    words = [rng.choice("abcdef") * rng.randint(1, 2) + rng.choice("xyz") for _ in range(400)]
+    docs = [(i, " ".join(words[12 * i : 12 * i + 20]) + ".") for i in range(30)]
+    items = [(i, " ".join(words[9 * i : 9 * i + 1 + i % 9])) for i in range(36)] + [(99, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(x.doc_id, x.item_id): (x.start, x.label) for x in queries.verbatim_slice(spark, str(tmp_path)).collect()}
+    assert got == {(d, i): (a.index(b) + 1, b) for d, a in docs for i, b in items if b is not None and b in a}
+    # An answer that holds the turn with a word changed; one that doesn't hold it; an empty one.
+    turns = [(1, 1, " ".join(words[:12])), (1, 2, " ".join(words[300:310] + words[:3] + ["changed"] + words[4:20])), (1, 3, "mmm nnn"), (1, 4, None)]
+    spark.createDataFrame([(*x, "user") for x in turns], "conv_id long, turn int, text string, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.turn: x for x in queries.window_align_gate(spark, str(tmp_path)).collect()}
+    flat = ["".join(c for c in x[2] or "" if c.isalpha()) for x in turns]
+    assert {k: (x.score, x.start, x.end, x.label) for k, x in got.items()} == {k: s.align(flat[k - 1], flat[k], flat[k]) for k in (1, 2, 3)}
+    assert [got[k].status for k in (1, 2, 3)] == ["SUCCESS", "REJECT", "REJECT"]
