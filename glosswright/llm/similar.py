@@ -2,24 +2,26 @@
 
 A document's set is its distinct word shingles; equal sets are one node, named by a hash of the set, so copies cost nothing. Two sets that are similar enough share
 tokens among the first of each in any common order of all tokens; here the order is rarity (a counting sketch of fixed size over all documents), then
-hash. Sets up to a boundary are light: they list all pairs (subsets of two) of a prefix long enough to hold two shared tokens, and meet other light
-sets in a pair. Larger sets are heavy: they are found by scanning the inverted lists of the single tokens of a shorter prefix, which light sets near the
-boundary also enter. The boundary is where listing pairs begins to cost more than scanning lists.
-
-Lists are not expanded into all pairs. First every member is compared with the least member of its list, then, where a list still has several components of the
-links found, with the member that shares most; at last only members outside a list's largest component are compared with those of other components, which
-covers every pair not yet in one component. Candidates are pruned by the places of the shared token, by sizes and by parity bitmaps (they differ
-in at most as many bits as the sets do in tokens), and verified on the texts.
+hash. Sets up to a boundary are light: they list all subsets of a fixed size of a prefix long enough to hold that many shared tokens, and meet other light
+sets in a subset. Larger sets are heavy: they are found by scanning the inverted lists of the single tokens of a shorter prefix, which light sets near the
+boundary also enter. Boundary and subset size are those of least cost, which is the sum of the squared lengths of all lists as sketched over the small texts.
+
+Keys are shuffled once; lists of frequent tokens are dealt out over several parts, which meet in a list of their least members. Lists are not expanded into all
+pairs. First every member is compared with the least member of its list, then, where a list still has several components of the links found, with the member of the
+fullest lists. Lists that still have several components are cut into blocks, and pairs of blocks are compared by parity bitmaps in arrays: of sizes s and
+t, similar enough sets differ in at most (s + t) * (100 - percent) / (100 + percent) tokens, and their bitmaps in no more bits. Only pairs of different
+components within that bound become rows. Candidates are verified on the texts.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,28 +34,55 @@ SHINGLE = 5
 PERCENT = 75
 CELL_BITS = 19
 PARITY_LONGS = 8
-_PAIR = np.uint64(0xA0761D6478BD642F)
-
-
-def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; of fewer words, the whole sequence as one."""
-    g = grams(w.h, n, seed=n)
-    out = []
-    for a, count in zip(w.first[:-1], w.counts):
-        if count >= n:
-            out.append(np.unique(g[a : a + count - n + 1]))
-        else:
-            out.append(grams(w.h[a : a + count], count, seed=count) if count else np.zeros(0, np.uint64))
-    return out
-
-
-def _name(s: np.ndarray) -> int:
-    """A hash of a set."""
-    with np.errstate(over="ignore"):
-        return int(signed(mix(np.array([s.sum() ^ np.bitwise_xor.reduce(mix(s)) * np.uint64(len(s) * 2 + 1)])))[0])
-
-
-def _least_overlap(size: int, percent: int) -> int:
+#: Light sets are looked for up to this size, in steps of ``STEP``, with subsets of these sizes.
+MOST_LIGHT, STEP, SUBSETS = 48, 4, (2, 3)
+#: Bytes of text up to which texts are looked at for the costs: 24 for each shingle.
+SMALL_TEXT = 24 * MOST_LIGHT
+SKETCH_BITS = 10
+#: Members of a part of a list of a frequent token, and of a block.
+PART, BLOCK = 50_000, 1024
+NONE = np.zeros(0, np.uint64)
+_SUBSET, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+
+
+class Sets:
+    """The distinct shingles of each text of a batch: ``doc`` and ``token``, sorted by text; of fewer words than a shingle has, the whole sequence as one."""
+
+    def __init__(self, w: Words, n: int, counts: np.ndarray | None = None):
+        g, k = grams(w.h, n, seed=n), len(w.counts)
+        m = np.maximum(w.counts - n + 1, 0)
+        doc = np.repeat(np.arange(k), m)
+        token = g[np.arange(len(doc)) + np.repeat(w.first[:-1] - (np.cumsum(m) - m), m)]
+        short = np.flatnonzero((w.counts > 0) & (w.counts < n))
+        if len(short):
+            doc = np.concatenate([doc, short])
+            token = np.concatenate([token, *[grams(w.h[w.first[i] : w.first[i + 1]], w.counts[i], seed=w.counts[i]) for i in short]])
+        by = np.lexsort((token, doc) if counts is None else (token, counts[_cell(token)], doc))
+        doc, token = doc[by], token[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+        self.doc, self.token = doc[new], token[new]
+        self.size = np.bincount(self.doc, minlength=k)
+        self.first = np.cumsum(self.size) - self.size
+
+    def names(self, taken: np.ndarray = NONE, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each set; the first is its name. Those in ``taken`` are the names of several sets, which are told apart by the second."""
+        with np.errstate(over="ignore"):
+            one, two = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (mix(self.token), mix(self.token ^ _SECOND)))
+            last = self.first + self.size
+            one = mix(one[last] - one[self.first] + self.size.astype(np.uint64)) >> np.uint64(64 - bits)
+            two = mix(two[last] - two[self.first])
+            if len(taken):
+                same = np.isin(one, taken)
+                one[same] = mix(one[same] ^ two[same])
+        return one, two
+
+    def rank(self) -> np.ndarray:
+        """The place of each token in its set."""
+        return np.arange(len(self.doc)) - self.first[self.doc]
+
+
+def _least_overlap(size, percent: int):
     """Of a set with any set that is similar enough."""
     return -(-percent * size // 100)
 
@@ -62,114 +91,176 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _measure(shingle: int):
+def _subsets(s: Sets, docs: np.ndarray, size: int, length: int, c: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of one size: keys of all subsets of ``c`` of the first ``length`` tokens, the owners, the rooms, and the least count of a token in each."""
+    if len(docs) == 0 or length < c:
+        z = np.zeros(0, np.int64)
+        return z.view(np.uint64), z, z, z
+    at = np.array(list(combinations(range(length), c)))
+    prefix = s.token[s.first[docs][:, None] + np.arange(length)]
+    each = np.sort(prefix[:, at], axis=2)
+    key = np.full(each.shape[:2], np.uint64(c))
+    with np.errstate(over="ignore"):
+        for j in range(c):
+            key = mix(key * _SUBSET + each[:, :, j])
+    # The last of the subset stands at place p: the sets share at most what follows it, itself, and the others of the subset.
+    room = np.broadcast_to(size - at[:, -1] + c - 1, key.shape)
+    least = counts[_cell(prefix)][:, at].min(axis=2)
+    return key.reshape(-1), np.repeat(docs, len(at)), room.reshape(-1), least.reshape(-1)
+
+
+def _measure(shingle: int, name_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, then the task's token counts by cell."""
         counts = np.zeros(1 << CELL_BITS, np.int64)
-        empty = lambda n, t: pa.nulls(n, t)
+        fields = ["doc_id", "hash", "n_shingles", "name", "second", "cell", "count"]
         id_type = pa.int64()
         for batch in pieces(batches):
-            id_type = batch.column(0).type
-            sets = shingle_sets(Words(batch.column(1), True, NON_SPACE), shingle)
-            counts += np.bincount(_cell(np.concatenate(sets)), minlength=len(counts))
-            n = batch.num_rows
-            names = pa.array([_name(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), names, empty(n, pa.int32()), empty(n, pa.int64())], names=["doc_id", "n_shingles", "name", "cell", "count"])
+            id_type, n = batch.column(0).type, batch.num_rows
+            s = Sets(Words(batch.column(2), True, NON_SPACE), shingle)
+            counts += np.bincount(_cell(s.token), minlength=len(counts))
+            names = [pa.array(signed(x), mask=s.size == 0) for x in s.names(bits=name_bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.size), *names, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=fields)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([empty(n, id_type), empty(n, pa.int64()), empty(n, pa.int64()), pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["doc_id", "n_shingles", "name", "cell", "count"])
+            nothing = [pa.nulls(len(part), t) for t in (id_type, *[pa.int64()] * 4)]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(part.astype(np.int32)), pa.array(counts[part])], names=fields)
 
     return run
 
 
-class Order:
-    """The common token order, and the boundary between light and heavy sets."""
+def _sketches(counts, shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signed counts of the keys that small sets would have: by subset size (1: single tokens), class of set sizes and cell."""
+        sums = np.zeros((1 + max(SUBSETS), MOST_LIGHT // STEP, 1 << SKETCH_BITS), np.int64)
+        done: set[int] = set()
+        for batch in pieces(batches):
+            s = Sets(Words(batch.column(0), True, NON_SPACE), shingle, counts.value)
+            fresh = _fresh(s, s.names()[0], done)
+            for size in range(1, MOST_LIGHT + 1):
+                docs = np.flatnonzero(fresh & (s.size == size))
+                spare = size - _least_overlap(size, percent)
+                for c in (1, *SUBSETS):
+                    key, *_ = _subsets(s, docs, size, min(size, spare + c), c, counts.value)
+                    cell = (key >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                    sign = 1 - 2 * (key & np.uint64(1)).astype(np.int64)
+                    sums[c, (size - 1) // STEP] += np.bincount(cell, sign, 1 << SKETCH_BITS).astype(np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.reshape(-1)[at])], names=["cell", "count"])
 
-    def __init__(self, counts: np.ndarray, percent: int):
-        usual = float(np.median(counts))
-        excess = counts - usual
-        frequent = excess > 3 * np.sqrt(usual) + 3
-        self.counts = counts.astype(np.uint32)
-        # For tokens of frequency f dealt out to cells at random, variance / mean of the counts is E[f * f] / E[f], the length of the list a token is in.
-        rest = counts[~frequent]
-        length = float(np.clip(rest.var() / max(rest.mean(), 1e-9), 1, 64)) if len(rest) else 1.0
-        self.boundary = 2
-        while True:
-            size = self.boundary + 1
-            spare = size - _least_overlap(size, percent)
-            if (spare + 2) * (spare + 1) / 2 > (spare + 1) * (1 + length):
-                break
-            self.boundary = size
+    return run
 
-    def sort(self, s: np.ndarray) -> np.ndarray:
-        return s[np.lexsort((s, self.counts[_cell(s)]))]
 
+def _fresh(s: Sets, names: np.ndarray, done: set[int]) -> np.ndarray:
+    """Which sets are the first with their names in this task."""
+    fresh = np.zeros(len(names), bool)
+    for i in np.flatnonzero(s.size):
+        if (name := int(names[i])) not in done:
+            done.add(name)
+            fresh[i] = True
+    return fresh
 
-def _keys(order, shingle: int, percent: int, filter_=None, bits: int = 0):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The keys of each set: ``key, name, size, room``. ``room`` bounds the overlap with a set that shares the key: tokens from there on, and one more for a pair.
 
-        With a filter, of the keys that may be in a list of several sets only.
-        """
-        by: Order = order.value
-        light = by.boundary
+def cheapest(sums: np.ndarray, percent: int) -> tuple[int, int]:
+    """Boundary and subset size for which the squared lengths of all lists come to least, from the signed sums by subset size, class and cell."""
+    squares = lambda x: float((x.sum(axis=0) ** 2).sum())  # noqa: E731  an unbiased estimate of the sum of squared lengths
+    best = (squares(sums[1].astype(np.float64)), 0, SUBSETS[0])
+    for c in SUBSETS:
+        for k in range(1, sums.shape[1] + 1):
+            singles = (percent * (k * STEP + 1) // 100) // STEP
+            best = min(best, (squares(sums[c, :k].astype(np.float64)) + squares(sums[1, singles:].astype(np.float64)), k * STEP, c))
+    return best[1:]
+
+
+def parts_of(counts: np.ndarray, usual: float) -> np.ndarray:
+    """How many parts lists have whose rarest token's cell has these counts: one, but where a count stands out from the usual one, one for each ``PART`` more."""
+    return 1 + (np.maximum(0, counts - usual - 4 * np.sqrt(usual)) // PART).astype(np.int64)
+
+
+def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of each set: ``key, part, name, size, room``. ``room`` bounds the overlap with a set that shares the key."""
+        by, done = counts.value, set()
+        usual = float(np.median(by))
         for batch in pieces(batches):
-            cols, done = [], set()
-            for s in shingle_sets(Words(batch.column(0), True, NON_SPACE), shingle):
-                name = _name(s) if len(s) else None
-                if name is None or name in done:
-                    continue
-                done.add(name)
-                size, s = len(s), by.sort(s)
-                spare = size - _least_overlap(size, percent)
-                keys, room = [], []
-                if size <= light:
-                    prefix = s[: spare + 2]
-                    i, j = np.triu_indices(len(prefix), 1)
-                    with np.errstate(over="ignore"):
-                        keys.append(mix(mix(np.minimum(prefix[i], prefix[j])) * _PAIR + np.maximum(prefix[i], prefix[j])))
-                    room.append(size - j + 1)
-                if size > light or 100 * size >= percent * (light + 1):
-                    keys.append(s[: spare + 1])
-                    room.append(size - np.arange(len(keys[-1])))
-                keys, room = np.concatenate(keys), np.concatenate(room)
-                if filter_ is not None:
-                    kept = bm.has(filter_.value, bits, keys)
-                    keys, room = keys[kept], room[kept]
-                cols.append((keys, np.full(len(keys), name), np.full(len(keys), size, np.int32), room.astype(np.int32)))
-            if cols:
-                keys, *rest = map(np.concatenate, zip(*cols))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), *map(pa.array, rest)], names=["key", "name", "size", "room"])
+            s = Sets(Words(batch.column(0), True, NON_SPACE), shingle, by)
+            names, overlap = s.names(*naming)[0], _least_overlap(s.size, percent)
+            fresh = _fresh(s, names, done)
+            light = fresh & (s.size <= boundary)
+            single = fresh & ~(light & (100 * s.size < percent * (boundary + 1)) & (overlap >= c))
+            rank = s.rank()
+            at = np.flatnonzero(single[s.doc] & (rank <= (s.size - overlap)[s.doc]))
+            found = [(s.token[at], s.doc[at], (s.size[s.doc] - rank)[at], by[_cell(s.token[at])])]
+            for size in np.unique(s.size[light]):
+                spare = int(size - _least_overlap(size, percent))
+                found.append(_subsets(s, np.flatnonzero(light & (s.size == size)), int(size), min(int(size), spare + c), c, by))
+            key, doc, room, count = (np.concatenate(x) for x in zip(*found))
+            name, parts = names[doc], parts_of(count, usual)
+            part = np.where(parts > 1, 1 + (name >> np.uint64(8)).astype(np.int64) % parts, 0).astype(np.int32)
+            columns = [signed(key), part, signed(name), s.size[doc].astype(np.int32), room.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "part", "name", "size", "room"])
 
     return run
 
 
-def _members(filter_, bits: int, shingle: int):
+def _width(size: np.ndarray) -> np.ndarray:
+    """Longs of a set's own parity bitmap: at least four bits a token."""
+    return np.maximum(PARITY_LONGS, 2 ** np.ceil(np.log2(np.maximum(size, 1) / 16)).astype(np.int64))
+
+
+def parity(tokens: np.ndarray, longs: int) -> np.ndarray:
+    """Of each bit's tokens, whether they are odd in number. Bits are the top ones of hashes, so that a shorter bitmap is the longer one folded."""
+    bits = int(np.log2(longs * 64))
+    odd = np.bincount((mix(tokens) >> np.uint64(64 - bits)).astype(np.int64), minlength=longs * 64).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, longs: int) -> np.ndarray:
+    """A shorter bitmap of the same set. Neighbouring bits, which a shorter hash puts together, are joined."""
+    while len(bitmap) > longs:
+        bit = np.unpackbits(bitmap.view(np.uint8), bitorder="little").reshape(-1, 2)
+        bitmap = np.packbits(bit[:, 0] ^ bit[:, 1], bitorder="little").view(np.uint64)
+    return bitmap
+
+
+def _members(filter_, bits: int, naming: tuple[np.ndarray, int], shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Set names, sizes, parity bitmaps and packed texts of the documents in lists."""
+        """Names, sizes, parity bitmaps (one of a fixed length, one that grows with the set) and packed texts of the sets in lists."""
+        done: set[int] = set()
         for batch in pieces(batches):
             texts, rows = batch.column(0), []
-            for i, s in enumerate(shingle_sets(Words(texts, True, NON_SPACE), shingle)):
-                if len(s) and bm.has(filter_.value, bits, np.array([_name(s)]).view(np.uint64))[0]:
-                    parity = np.bincount((mix(s) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY_LONGS).astype(np.uint8) & 1
-                    rows.append((_name(s), len(s), np.packbits(parity).view(np.int64).tolist(), zlib.compress(texts[i].as_py().encode(), 1)))
+            s = Sets(Words(texts, True, NON_SPACE), shingle)
+            names = s.names(*naming)[0]
+            listed = _fresh(s, names, done) & bm.has(filter_.value, bits, names)
+            for i in np.flatnonzero(listed):
+                own = parity(s.token[s.first[i] : s.first[i] + s.size[i]], int(_width(s.size[i])))
+                rows.append((int(names[i : i + 1].view(np.int64)[0]), int(s.size[i]), folded(own, PARITY_LONGS).view(np.int64).tolist(), own.tobytes(), zlib.compress(texts[i].as_py().encode(), 1)))
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["name", "size", "parity", "packed"])
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["name", "size", "parity", "own", "packed"])
 
     return run
 
 
 def _verify(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by ``a``, so a batch has few different ones; each is cut into shingles once."""
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sides = [shingle_sets(Words(pa.array([zlib.decompress(x.as_py()).decode() for x in batch.column(k)], pa.large_string()), True, NON_SPACE), shingle) for k in (2, 3)]
-                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
-                linked = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(both, *sides)]
+                _, first, which = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+                packed = [*batch.column(2).take(pa.array(first)), *batch.column(3)]
+                texts = pa.array([zlib.decompress(x.as_py()).decode() for x in packed], pa.large_string())
+                s = Sets(Words(texts, True, NON_SPACE), shingle)
+                k = len(first)
+                with np.errstate(over="ignore"):
+                    own = mix(s.token ^ mix(s.doc.astype(np.uint64)))
+                    b = s.doc >= k
+                    met = np.isin(mix(s.token[b] ^ mix(which[s.doc[b] - k].astype(np.uint64))), own[~b])
+                both = np.bincount(s.doc[b][met] - k, minlength=batch.num_rows)
+                linked = 100 * both >= percent * (s.size[which] + s.size[k:] - both)
                 yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     return run
@@ -180,76 +271,192 @@ def _links(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) ->
     side = lambda x, *cols: members.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     pairs = pairs.join(side("a", "size", "parity"), "a").join(side("b", "size", "parity"), "b")
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    # Of sizes s and t, similar enough sets differ in at most (s + t) * (100 - percent) / (100 + percent) tokens.
     differ = sum(F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_LONGS))
-    pairs = pairs.where(differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b")
-    texts = pairs.join(side("a", "packed"), "a").join(side("b", "packed"), "b").select("a", "b", "packed_a", "packed_b")
+    pairs = written(pairs.where(differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b"), "bounded")
+    texts = pairs.join(side("b", "packed"), "b").join(side("a", "packed"), "a").select("a", "b", "packed_a", "packed_b")
     return texts.mapInArrow(_verify(shingle, percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document row: ``doc_id, n_shingles, component_id``.
+def _blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by ``key, i, j`` (a pair of blocks); of each, the pairs of members of different components within all bounds."""
+        rest: list[pa.RecordBatch] = []
+        for batch in (b for b in batches if b.num_rows):
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if rest and any(rest[0].column(i)[0].as_py() != batch.column(i)[0].as_py() for i in range(3)):
+                yield from _compared(rest, percent)
+                rest = []
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                rest.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    yield from _compared(rest, percent)
+                    rest = []
+        if rest:
+            yield from _compared(rest, percent)
 
-    Documents link if 100 * shared shingles >= ``percent`` * all shingles of both; ``component_id`` is the smallest ``doc_id`` reachable by links. Null
-    texts and those without words have no shingles, link with nothing and are their own component. Rows with a null ``doc_id`` link like others but never
-    name a component that has an id. Repeated rows and extra columns don't matter; an empty table gives an empty result.
-    """
+    return run
+
+
+def _compared(group: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(group)
+    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    name, root, size, room, block = (rows[c].to_numpy().astype(np.int64) for c in ("name", "root", "size", "room", "block"))
+    x, y = (np.flatnonzero(block == k) for k in (i, j))
+    if not len(x) or not len(y):
+        return
+    # By size, the partners of each member are a run.
+    y = y[np.argsort(size[y], kind="stable")]
+    low = np.searchsorted(size[y], -(-percent * size[x] // 100), "left")
+    high = np.searchsorted(size[y], 100 * size[x] // percent, "right")
+    own = [np.frombuffer(b, np.uint64) for b in rows["own"].to_pylist()]
+    width = np.array([len(o) for o in own])
+    for at in range(0, len(x), 256):
+        n = np.maximum(high[at : at + 256] - low[at : at + 256], 0)
+        a = np.repeat(x[at : at + 256], n)
+        b = y[np.arange(len(a)) + np.repeat(low[at : at + 256] - (np.cumsum(n) - n), n)] if len(a) else a
+        ok = (root[a] != root[b]) & ((100 + percent) * np.minimum(room[a], room[b]) >= percent * (size[a] + size[b]))
+        if i == j:
+            ok &= name[a] < name[b]
+        a, b = a[ok], b[ok]
+        for longs in np.unique(np.minimum(width[a], width[b])):
+            these = np.flatnonzero(np.minimum(width[a], width[b]) == longs)
+            members, index = np.unique(np.concatenate([a[these], b[these]]), return_inverse=True)
+            bits = np.stack([folded(own[m], int(longs)) for m in members])
+            left, right = index[: len(these)], index[len(these) :]
+            for k in range(0, len(these), max(1, (1 << 20) // int(longs))):
+                part = slice(k, k + max(1, (1 << 20) // int(longs)))
+                differ = np.bitwise_count(bits[left[part]] ^ bits[right[part]]).sum(axis=1, dtype=np.int64)
+                m, o = a[these[part]], b[these[part]]
+                close = differ * (100 + percent) <= (size[m] + size[o]) * (100 - percent)
+                m, o = name[m[close]], name[o[close]]
+                if len(m):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, o)), pa.array(np.maximum(m, o))], names=["a", "b"])
+
+
+def _block_pairs(rooted: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of members of different components that share a list and may be similar enough."""
+    sizes = rooted.groupBy("key").agg(F.count("*").alias("n"))
+    at = rooted.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    at = at.withColumn("block", F.pmod(F.shiftright("name", 8), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    at = at.join(members.select("name", "own"), "name").withColumn("other", other)
+    at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "name", "root", "size", "room", "block", "own")
+    at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return at.mapInArrow(_blocks(percent), "a bigint, b bigint")
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, name_bits: int = 64) -> DataFrame:
+    """One row per document row: ``doc_id, hash`` (of the text), ``n_shingles``, and ``root``, the name of its component, null without shingles."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("n_shingles bigint, name bigint, cell int, count bigint").fields])
-    first = written(docs.mapInArrow(_measure(shingle), schema), "sets")
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("hash bigint, n_shingles bigint, name bigint, second bigint, cell int, count bigint").fields])
+    first = written(docs.mapInArrow(_measure(shingle, name_bits), schema), "sets")
     sums = first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[sums["cell"].to_numpy()] = sums["count"].to_numpy()
-    order = spark.sparkContext.broadcast(Order(counts, percent))
-    kinds = "key bigint, name bigint, size int, room int"
-    keys = docs.select("text").mapInArrow(_keys(order, shingle, percent), kinds)
-    shared = written(keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").select("key", "least"), "shared")
-    bits = bm.bits_for(shared.count())
-    keys = docs.select("text").mapInArrow(_keys(order, shingle, percent, spark.sparkContext.broadcast(bm.bitmap(shared, "key", bits)), bits), kinds)
-    lists = written(keys.join(shared, "key").distinct(), "lists")
+    counts = spark.sparkContext.broadcast(counts)
+    # Names that several sets have by chance: hardly any.
+    taken = first.where("name IS NOT NULL").groupBy("name").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select("name").toArrow()
+    taken = np.sort(taken["name"].to_numpy().view(np.uint64))
+    naming = (taken, name_bits)
+    texts = docs.select("text")
+    signs = texts.where(F.octet_length("text") <= SMALL_TEXT).mapInArrow(_sketches(counts, shingle, percent), "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+    sums = np.zeros((1 + max(SUBSETS), MOST_LIGHT // STEP, 1 << SKETCH_BITS), np.int64)
+    sums.reshape(-1)[signs["cell"].to_numpy()] = signs["count"].to_numpy()
+    boundary, c = cheapest(sums, percent)
+    keys = texts.mapInArrow(_keys(counts, naming, boundary, c, shingle, percent), "key bigint, part int, name bigint, size int, room int")
+    of_key = Window.partitionBy("key", "part")
+    lists = keys.withColumn("least", F.min("name").over(of_key)).withColumn("most", F.max("name").over(of_key))
+    lists = written(lists.where("part > 0 OR least <> most").drop("most"), "lists")
     listed = lists.select("name").distinct()
     bits = bm.bits_for(listed.count())
     filter_ = spark.sparkContext.broadcast(bm.bitmap(listed, "name", bits))
-    members = docs.select("text").mapInArrow(_members(filter_, bits, shingle), "name bigint, size int, parity array<bigint>, packed binary")
-    members = written(members.dropDuplicates(["name"]), "members")
-    tested = written(lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b")).distinct(), "stars")
+    members = written(texts.mapInArrow(_members(filter_, bits, naming, shingle), "name bigint, size int, parity array<bigint>, own binary, packed binary").dropDuplicates(["name"]), "members")
+    stars = lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b"))
+    parts = lists.where("part > 0").select("key", "least").distinct()
+    tops = parts.groupBy("key").agg(F.min("least").alias("a"))
+    stars = stars.unionByName(parts.join(tops, "key").where("least <> a").select("a", F.col("least").alias("b")))
+    tested = written(stars.distinct(), "stars")
     roots = components(written(_links(tested, members, shingle, percent), "links"))
-    for last in (False, True):
-        # Lists that still hold several components. First all are compared with the member of the fullest lists, mostly what others were copied
-        # from; at last those outside the largest component with all others.
-        rooted = _rooted(lists, roots)
-        if last:
-            ones = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-            ones = rooted.join(ones, "key").where("root <> main")
-        else:
-            fullness = rooted.join(rooted.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name").agg(F.sum("n").alias("fullness"))
-            hubs = rooted.join(fullness, "name").groupBy("key").agg(F.max(F.struct("fullness", "name"))["name"].alias("name"))
-            ones = rooted.join(hubs, ["key", "name"])
-        ones = ones.select("key", *[F.col(c).alias(f"x_{c}") for c in ("name", "root", "size", "room")])
-        enough = (100 + percent) * F.least("room", "x_room") >= percent * (F.col("size") + F.col("x_size"))
-        pairs = rooted.join(ones, "key").where((F.col("root") != F.col("x_root")) & enough)
-        pairs = pairs.select(F.least("name", "x_name").alias("a"), F.greatest("name", "x_name").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = written(_links(pairs, members, shingle, percent), "links")
-        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = first.where("cell IS NULL").select("doc_id", "n_shingles", "name")
-    named = named.join(roots, named["name"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
+    # Lists that still hold several components: first all are compared with the member of the fullest lists, mostly what others were copied from.
+    rooted = _rooted(lists, tested, roots)
+    fullness = rooted.join(rooted.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name").agg(F.sum("n").alias("fullness"))
+    hubs = rooted.join(fullness, "name").groupBy("key").agg(F.max_by(F.struct("name", "root", "size", "room"), F.struct("fullness", "name")).alias("hub"))
+    pairs = rooted.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & ((100 + percent) * F.least("room", "hub.room") >= percent * (F.col("size") + F.col("hub.size"))))
+    pairs = pairs.select(F.least("name", "hub.name").alias("a"), F.greatest("name", "hub.name").alias("b")).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    roots = _grown(roots, _links(pairs, members, shingle, percent))
+    blocks = _block_pairs(_rooted(lists, tested, roots), members, percent).distinct()
+    tested = tested.unionByName(pairs)
+    roots = _grown(roots, _links(blocks.join(tested, ["a", "b"], "left_anti"), members, shingle, percent))
+    name = _renamed(taken) if len(taken) else F.col("name")
+    named = first.where("cell IS NULL").select("doc_id", "hash", "n_shingles", name.alias("name"))
+    return named.join(roots, named["name"] == roots["node"], "left").select("doc_id", "hash", "n_shingles", F.coalesce("root", "name").alias("root"))
+
+
+def _renamed(taken: np.ndarray) -> Column:
+    """The names of all sets, those of ``taken`` as in ``Sets.names``."""
+
+    @F.arrow_udf(T.LongType())
+    def rename(name: pa.Array, second: pa.Array) -> pa.Array:
+        one, two = (x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64).copy() for x in (name, second))
+        same = np.isin(one, taken)
+        with np.errstate(over="ignore"):
+            one[same] = mix(one[same] ^ two[same])
+        return pa.array(one.view(np.int64), mask=name.is_null().to_numpy(zero_copy_only=False))
+
+    return rename("name", "second")
+
+
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with more links."""
+    return components(written(links, "links").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def _rooted(lists: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, name, size, room, root`` of the lists whose members are in several components: in some, a member and the least aren't linked."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    apart = written(apart, "apart")
+    keys = lists.join(apart, (F.col("least") == F.col("a")) & (F.col("name") == F.col("b"))).select("key")
+    # Parts of a list are open together where their least members aren't linked.
+    parts = lists.where("part > 0").select("key", F.col("least").alias("part_least")).distinct()
+    tops = parts.groupBy("key").agg(F.min("part_least").alias("top"))
+    keys = keys.unionByName(parts.join(tops, "key").join(apart, (F.col("top") == F.col("a")) & (F.col("part_least") == F.col("b"))).select("key"))
+    open_ = written(keys.distinct(), "open")
+    at = lists.join(open_, "key", "left_semi").select("key", "name", "size", "room").distinct()
+    return written(at.join(roots, at["name"] == roots["node"], "left").select("key", "name", "size", "room", F.coalesce("root", "name").alias("root")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document row: ``doc_id, n_shingles, component_id``.
+
+    Documents link if 100 * shared shingles >= ``percent`` * all shingles of both; ``component_id`` is the smallest ``doc_id`` reachable by links. Null
+    texts and those without words have no shingles, link with nothing and are their own component. Rows with a null ``doc_id`` link like others but never
+    name a component that has an id. Repeated rows and extra columns don't matter; an empty table gives an empty result. A task's memory is bounded by
+    the longest text, of which some 60 bytes a word are held.
+    """
+    named = _linked(docs, shingle, percent)
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     with_words = named.where("root IS NOT NULL").join(ids, "root").select("doc_id", "n_shingles", "component_id")
     return with_words.unionByName(named.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, name, size, room, root`` of the lists whose members are in several components."""
-    at = lists.join(roots, lists["name"] == roots["node"], "left").select("key", "name", "size", "room", F.coalesce("root", "name").alias("root"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return written(at.join(mixed, "key", "left_semi"), "rooted")
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns. Rows that repeat that id are all kept, as are rows without an id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One document of each group, with all its columns: that with the smallest ``doc_id`` (null is largest), of rows that share it the one with the smallest hash
+    of its text, and of equal rows any one. Documents without words, null texts among them, are all kept. An empty table gives an empty result."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    named = written(_linked(docs, SHINGLE, PERCENT), "named").where("root IS NOT NULL")
+    groups = named.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    first = groups.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    judged = groups.join(first, "root").select("doc_id", "hash", "n", stays.alias("stays"))
+    gone, several = (written(judged.where(x).select(F.col("doc_id").alias("at_id"), F.col("hash").alias("at_hash")), "gone") for x in ("NOT stays", "stays AND n > 1"))
+    at = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("at_hash"))
+    kept = docs.join(gone, at, "left_anti")
+    once = kept.join(several, at, "left_semi")
+    once = once.groupBy("doc_id", "text").agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return kept.join(several, at, "left_anti").unionByName(once)
