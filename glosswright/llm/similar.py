@@ -173,12 +173,12 @@ def cheapest(sums: np.ndarray, percent: int) -> tuple[int, int]:
     return best[1:]
 
 
-def parts_of(counts: np.ndarray, usual: float) -> np.ndarray:
-    """How many parts lists have whose rarest token's cell has these counts: one, but where a count stands out from the usual one, one for each ``PART`` more."""
-    return 1 + (np.maximum(0, counts - usual - 4 * np.sqrt(usual)) // PART).astype(np.int64)
+def parts_of(counts: np.ndarray, usual: float, part: int = PART) -> np.ndarray:
+    """How many parts lists have whose rarest token's cell has these counts: one, but where a count stands out from the usual one, one for each ``part`` more."""
+    return 1 + (np.maximum(0, counts - usual - 4 * np.sqrt(usual)) // part).astype(np.int64)
 
 
-def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle: int, percent: int):
+def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle: int, percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The keys of each set: ``key, part, name, size, room``. ``room`` bounds the overlap with a set that shares the key."""
         by, done = counts.value, set()
@@ -196,7 +196,7 @@ def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle
                 spare = int(size - _least_overlap(size, percent))
                 found.append(_subsets(s, np.flatnonzero(light & (s.size == size)), int(size), min(int(size), spare + c), c, by))
             key, doc, room, count = (np.concatenate(x) for x in zip(*found))
-            name, parts = names[doc], parts_of(count, usual)
+            name, parts = names[doc], parts_of(count, usual, most)
             part = np.where(parts > 1, 1 + (name >> np.uint64(8)).astype(np.int64) % parts, 0).astype(np.int32)
             columns = [signed(key), part, signed(name), s.size[doc].astype(np.int32), room.astype(np.int32)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "part", "name", "size", "room"])
@@ -206,7 +206,7 @@ def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle
 
 def _width(size: np.ndarray) -> np.ndarray:
     """Longs of a set's own parity bitmap: at least four bits a token."""
-    return np.maximum(PARITY_LONGS, 2 ** np.ceil(np.log2(np.maximum(size, 1) / 16)).astype(np.int64))
+    return PARITY_LONGS << np.ceil(np.log2(np.maximum(size / (16 * PARITY_LONGS), 1))).astype(np.int64)
 
 
 def parity(tokens: np.ndarray, longs: int) -> np.ndarray:
@@ -367,7 +367,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, name_bits: int = 64) ->
     sums = np.zeros((1 + max(SUBSETS), MOST_LIGHT // STEP, 1 << SKETCH_BITS), np.int64)
     sums.reshape(-1)[signs["cell"].to_numpy()] = signs["count"].to_numpy()
     boundary, c = cheapest(sums, percent)
-    keys = texts.mapInArrow(_keys(counts, naming, boundary, c, shingle, percent), "key bigint, part int, name bigint, size int, room int")
+    keys = texts.mapInArrow(_keys(counts, naming, boundary, c, shingle, percent, PART), "key bigint, part int, name bigint, size int, room int")
     of_key = Window.partitionBy("key", "part")
     lists = keys.withColumn("least", F.min("name").over(of_key)).withColumn("most", F.max("name").over(of_key))
     lists = written(lists.where("part > 0 OR least <> most").drop("most"), "lists")
@@ -455,8 +455,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
     judged = groups.join(first, "root").select("doc_id", "hash", "n", stays.alias("stays"))
     gone, several = (written(judged.where(x).select(F.col("doc_id").alias("at_id"), F.col("hash").alias("at_hash")), "gone") for x in ("NOT stays", "stays AND n > 1"))
-    at = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("at_hash"))
-    kept = docs.join(gone, at, "left_anti")
-    once = kept.join(several, at, "left_semi")
-    once = once.groupBy("doc_id", "text").agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return kept.join(several, at, "left_anti").unionByName(once)
+
+    def those(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["at_id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == keys["at_hash"]), how)
+
+    kept = those(docs, gone, "left_anti")
+    once = those(kept, several, "left_semi").groupBy("doc_id", "text").agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return those(kept, several, "left_anti").unionByName(once)

@@ -91,6 +91,93 @@ def test_near_duplicates(spark, texts, docs):
     assert similar.near_duplicates(empty(spark)).count() == 0
 
 
+def brute_components(sets, percent=75):
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for c in range(a):
+            n = len(sets[a] & sets[c])
+            if n and root[a] != root[c] and 100 * n >= percent * len(sets[a] | sets[c]):
+                x, y = sorted((root[a], root[c]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def shingles(t):
+    w = SPACE.findall((t or "").translate(LOW))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+
+@pytest.fixture(scope="module")
+def edits():
+    """Near copies of one text, most pairs of which aren't similar enough; chains of small texts; a long text and near copies of it."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    out = []
+    for _ in range(300):
+        t = list(base)
+        for k in rng.sample(range(120), 3):
+            t[k] = f"n{rng.randint(0, 10**6)}"
+        out.append(" ".join(t))
+    small = [f"s{i % 40}" for i in range(60)]
+    out += [" ".join(small[a : a + n]) for a in range(8) for n in (1, 4, 5, 6, 8, 10, 17, 25, 40)]
+    long = [f"l{i}" for i in range(6000)]
+    out += [" ".join(long), " ".join(long[:3000] + ["x"] * 400 + long[3000:]), " ".join(long[2000:])]
+    return out
+
+
+def test_near_duplicates_of_edits(spark, edits):
+    sets = [shingles(t) for t in edits]
+    rows = [(i, t) for i, t in enumerate(edits)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, brute_components(sets)))}
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in similar.near_duplicates(docs).collect()} == want
+    # Names of eight bits, so that many sets share one.
+    few = similar._linked(docs.where("doc_id >= 250"), 5, 75, name_bits=8).collect()
+    groups = {}
+    for x in few:
+        groups.setdefault(x.root, []).append(x.doc_id)
+    least = {d: min(g) for g in groups.values() for d in g}
+    late = brute_components(sets[250:])
+    assert least == {250 + i: 250 + r for i, r in enumerate(late)}
+
+
+@pytest.mark.parametrize("constants", [{"PART": 20}, {"BLOCK": 7}])
+def test_near_duplicates_in_parts(spark, edits, constants, monkeypatch, tmp_path):
+    """Lists in several parts and many blocks give the same components."""
+    for k, v in constants.items():
+        monkeypatch.setattr(similar, k, v)
+    docs = spark.createDataFrame(list(enumerate(edits[:150])), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(brute_components([shingles(t) for t in edits[:150]])))
+
+
+@pytest.mark.parametrize("n", [200, 400])
+def test_near_duplicate_candidates(spark, n, monkeypatch):
+    """Of near copies of which few pairs are similar enough, candidates grow with the copies, not with their pairs."""
+    rng = random.Random(2)
+    texts = []
+    for _ in range(n):
+        t = [f"b{i}" for i in range(120)]
+        for k in rng.sample(range(120), 3):
+            t[k] = f"n{rng.randint(0, 10**6)}"
+        texts.append(" ".join(t))
+    counted = []
+    real = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: (counted.append((name, real(df, name))), counted[-1][1])[1])
+    similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert sum(df.count() for name, df in counted if name in ("stars", "pairs", "bounded")) < 16 * n
+
+
+def test_deduplicated(spark, texts):
+    copy = " ".join(f"c{i}" for i in range(30))
+    rows = [(1, copy, "a"), (1, copy, "a"), (1, copy + " end", "b"), (None, copy, "c"), (2, copy, "d"), (None, "alone", "e"), (3, None, "f"), (3, None, "f"), (4, "", "g"), (5, "alone", "h"), (None, "other words", "i"), (None, "other words", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at_id string")
+    got = similar.deduplicated(docs).collect()
+    assert sorted((x.doc_id or 0, x.text or "") for x in got if x.doc_id != 1) == [(0, "other words"), (3, ""), (3, ""), (4, ""), (5, "alone")]
+    assert len([x for x in got if x.doc_id == 1]) == 1
+    assert similar.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 40)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
