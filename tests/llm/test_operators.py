@@ -1,9 +1,11 @@
 """The operators against brute force, on small tables with nulls, empty texts, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
+import zlib
 
 import pytest
 
@@ -280,17 +282,92 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_toxicity_scores_later_pairs():
-    def words(text):
-        return toxicity.Words(toxicity.pa.array([text]), True, toxicity.LETTERS)
+@pytest.fixture(scope="module")
+def rated(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        w = [rng.choice(["ab", "cd", "efghij", "efghik", "lm"]) for _ in range(rng.randint(1, 12))]
+        if i % 3 == 0:
+            w += rng.choice([["vile", "ab"], ["nastyxx"], ["nastyyy"], ["nastyzz", "cd"]])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    rows += [(300, None), (301, ""), (None, "ab vile ab"), (7, rows[7][1])]
+    docs = spark.createDataFrame([(*x, "r", 1.0) for x in rows], "doc_id long, text string, ratio string, hash double")
+    return rows, docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+
+
+def plain_ratios(rows, toxic):
+    """The models of the module's docstring, with dictionaries."""
+    pairs, preds, words = ({0: {}, 1: {}} for _ in range(3))
+    for d, t in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 5 not in (1, 2, 3) or d not in toxic:
+            continue
+        w = LETTERS.findall((t or "").translate(LOW))
+        for p in set(zip(["", *w], w)):
+            pairs[toxic[d]][p] = pairs[toxic[d]].get(p, 0) + 1
+    for c in (0, 1):
+        for v, w in pairs[c]:
+            preds[c][w] = preds[c].get(w, 0) + 1
+        for w in preds[c]:
+            stem = w.encode()[:5]
+            words[c][stem] = words[c].get(stem, 0) + 1
+    count = lambda table, x: [n if (n := table[c].get(x, 0)) >= 2 else 0 for c in (0, 1)]
+
+    def share(table):
+        kept = [count(table, x) for x in table[1] if table[1][x] >= 2]
+        a, b = (sum(n[c] for n in kept) for c in (0, 1))
+        return min(max(b / (a + b) if a + b else 0.5, 1e-6), 1 - 1e-6)
+
+    def compared(n, pi, up, shared):
+        one, two = (max(n[1] - 1, 0) + shared * pi * up[1]) / pi, (max(n[0] - 1, 0) + shared * (1 - pi) * up[0]) / (1 - pi)
+        both = pi * one + (1 - pi) * two
+        return two / both, one / both
+
+    of_stem, of_word = share(words), share(preds)
+
+    def stem_q(w):
+        n = count(words, w.encode()[:5])
+        return compared(n, of_stem, (1, 1), 3) if n[1] else (1, 1)
+
+    def word_q(w):
+        n = count(preds, w)
+        return compared(n, of_word, stem_q(w), 3) if n[1] else None
+
+    def ratio(v, w):
+        q, n = word_q(w), count(pairs, (v, w))
+        if n[1]:
+            at = count(preds, v) if preds[1].get(v, 0) >= 2 else (0, 0)
+            q = compared(n, (at[1] + 10 * of_word) / (sum(at) + 10), q or (1, 1), 10)
+        q = q or stem_q(w)
+        return min(6, max(-6, math.log(q[1] / q[0])))
+
+    return ratio
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_toxicity_against_plain_models(spark, rated, monkeypatch, most):
+    rows, docs, labels = rated
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", most)
+    toxic = {i: int(i % 3 == 0) for i in range(300)}
+    ratio = plain_ratios(rows, toxic)
+    want = []
+    for d, t in rows:
+        w = LETTERS.findall((t or "").translate(LOW))
+        r = [ratio(*p) for p in set(zip(["", *w], w))]
+        want.append((d if d is not None else -1, *((sum(r) / len(r), max(r), math.log1p(len(r))) if r else (0, 0, 0))))
+    got = toxicity.toxicity(docs, labels).collect()
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.f0, x.f1, x.f2) for x in got)
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want)):
+        assert a == pytest.approx(b, abs=1e-5)
+
 
-    words_of, pairs, _, _ = toxicity._cells(words("ab cd"))
-    toxic = toxicity.pa.table({"cell": [int(pairs[1]), *map(int, words_of)], "n0": [0, 50, 50], "n1": [50, 50, 50]})
-    models = toxicity.Models(toxicity.pa.table({"cell": toxicity.pa.array([], "int64"), "mask": toxicity.pa.array([], "int64")}), toxic)
-    plain = "ab xx cd yy " + " ".join(f"w{i} v{i}" for i in range(50))
-    with_phrase = models.features(words(plain + " ab cd"))[0]
-    assert with_phrase[1] > models.features(words(plain + " cd ab"))[0][1] + 0.1
-    assert (models.features(words(""))[0] == 0).all()
+def test_without_toxic(spark):
+    docs = spark.createDataFrame([(1, None, "x")], "doc_id long, text string, bad_id string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.without_toxic(docs, labels).columns == ["doc_id", "text", "bad_id"] and toxicity.without_toxic(docs, labels).count() == 1
+    assert toxicity.without_toxic(docs.limit(0), labels).count() == 0
 
 
 ORIGINALS = {
