@@ -41,6 +41,8 @@ SMALL_TEXT = 24 * MOST_LIGHT
 SKETCH_BITS = 10
 #: Members of a part of a list of a frequent token, and of a block.
 PART, BLOCK = 50_000, 1024
+#: Rows of two names that are broadcast, at most: some megabytes. More are joined.
+MOST_SENT = 200_000
 NONE = np.zeros(0, np.uint64)
 _SUBSET, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -204,24 +206,19 @@ def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle
     return run
 
 
-def _width(size: np.ndarray) -> np.ndarray:
-    """Longs of a set's own parity bitmap: at least four bits a token."""
-    return PARITY_LONGS << np.ceil(np.log2(np.maximum(size / (16 * PARITY_LONGS), 1))).astype(np.int64)
-
-
-def parity(tokens: np.ndarray, longs: int) -> np.ndarray:
-    """Of each bit's tokens, whether they are odd in number. Bits are the top ones of hashes, so that a shorter bitmap is the longer one folded."""
-    bits = int(np.log2(longs * 64))
-    odd = np.bincount((mix(tokens) >> np.uint64(64 - bits)).astype(np.int64), minlength=longs * 64).astype(np.uint8) & 1
+def parity(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Of the tokens of each bit, whether they are odd in number; two bits a token at least. A bit is the low end of a hash."""
+    longs = PARITY_LONGS << int(np.ceil(np.log2(max(size / (32 * PARITY_LONGS), 1))))
+    odd = np.bincount((mix(tokens) & np.uint64(longs * 64 - 1)).astype(np.int64), minlength=longs * 64).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def folded(bitmap: np.ndarray, longs: int) -> np.ndarray:
-    """A shorter bitmap of the same set. Neighbouring bits, which a shorter hash puts together, are joined."""
-    while len(bitmap) > longs:
-        bit = np.unpackbits(bitmap.view(np.uint8), bitorder="little").reshape(-1, 2)
-        bitmap = np.packbits(bit[:, 0] ^ bit[:, 1], bitorder="little").view(np.uint64)
-    return bitmap
+def folded(bitmaps: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmaps of the same sets with fewer bits: the halves, which a shorter low end puts together, are joined."""
+    while bitmaps.shape[-1] > longs:
+        half = bitmaps.shape[-1] // 2
+        bitmaps = bitmaps[..., :half] ^ bitmaps[..., half:]
+    return bitmaps
 
 
 def _members(filter_, bits: int, naming: tuple[np.ndarray, int], shingle: int):
@@ -234,16 +231,25 @@ def _members(filter_, bits: int, naming: tuple[np.ndarray, int], shingle: int):
             names = s.names(*naming)[0]
             listed = _fresh(s, names, done) & bm.has(filter_.value, bits, names)
             for i in np.flatnonzero(listed):
-                own = parity(s.token[s.first[i] : s.first[i] + s.size[i]], int(_width(s.size[i])))
-                rows.append((int(names[i : i + 1].view(np.int64)[0]), int(s.size[i]), folded(own, PARITY_LONGS).view(np.int64).tolist(), own.tobytes(), zlib.compress(texts[i].as_py().encode(), 1)))
+                own = parity(s.token[s.first[i] : s.first[i] + s.size[i]], int(s.size[i]))
+                rows.append((int(names[i : i + 1].view(np.int64)[0]), int(s.size[i]), folded(own, PARITY_LONGS).tobytes(), own.tobytes(), zlib.compress(texts[i].as_py().encode(), 1)))
             if rows:
-                cols = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["name", "size", "parity", "own", "packed"])
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["name", "size", "bits", "own", "packed"])
 
     return run
 
 
+def _distinct_members(members: DataFrame) -> DataFrame:
+    """One row a name: several tasks may have found the same set. Where few names are affected, only those are told to the tasks."""
+    members = written(members.withColumn("task", F.spark_partition_id()), "members")
+    again = members.groupBy("name").agg(F.count("*").alias("n"), F.min("task").alias("stays")).where("n > 1").select(F.col("name").alias("again"), "stays")
+    again = written(again, "again")
+    if again.count() > MOST_SENT:
+        return written(members.drop("task").dropDuplicates(["name"]), "members")
+    return members.join(F.broadcast(again), (F.col("name") == F.col("again")) & (F.col("task") != F.col("stays")), "left_anti").drop("task")
+
+
 def _verify(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by ``a``, so a batch has few different ones; each is cut into shingles once."""
@@ -266,73 +272,88 @@ def _verify(shingle: int, percent: int):
     return run
 
 
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs whose sizes and own bitmaps allow that they are similar enough."""
+        for batch in (b for b in batches if b.num_rows):
+            sizes = [batch.column(k).to_numpy().astype(np.int64) for k in (2, 3)]
+            owns = [batch.column(k).to_pylist() for k in (4, 5)]
+            close = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            width = np.array([[len(x) // 8 for x in own] for own in owns])
+            for w in np.unique(width[:, close], axis=1).T if close.any() else ():
+                at = np.flatnonzero(close & (width[0] == w[0]) & (width[1] == w[1]))
+                left, right = (folded(np.frombuffer(b"".join(own[i] for i in at), np.uint64).reshape(len(at), k), int(w.min())) for own, k in zip(owns, w))
+                close[at] = _within(left, right, sizes[0][at] + sizes[1][at], percent)
+            yield batch.select([0, 1]).filter(pa.array(close))
+
+    return run
+
+
+def _within(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps differ in few enough bits for sets of these sizes in sum."""
+    return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent)
+
+
 def _links(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that are similar enough."""
+    pairs = written(pairs, "pairs")
+    if pairs.count() <= MOST_SENT:
+        names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        members = members.join(F.broadcast(names), "name", "left_semi")
     side = lambda x, *cols: members.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    pairs = pairs.join(side("a", "size", "parity"), "a").join(side("b", "size", "parity"), "b")
-    pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    differ = sum(F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_LONGS))
-    pairs = written(pairs.where(differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b"), "bounded")
+    rows = pairs.join(side("a", "size", "own"), "a").join(side("b", "size", "own"), "b").select("a", "b", "size_a", "size_b", "own_a", "own_b")
+    pairs = written(rows.mapInArrow(_bounded(percent), "a bigint, b bigint"), "bounded")
     texts = pairs.join(side("b", "packed"), "b").join(side("a", "packed"), "a").select("a", "b", "packed_a", "packed_b")
     return texts.mapInArrow(_verify(shingle, percent), "a bigint, b bigint")
 
 
 def _blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by ``key, i, j`` (a pair of blocks); of each, the pairs of members of different components within all bounds."""
-        rest: list[pa.RecordBatch] = []
+        """Rows come by ``key, i, j`` (a pair of blocks) and block; of each pair of blocks, the pairs of members of different components within all bounds."""
+        rest: pa.RecordBatch | None = None
         for batch in (b for b in batches if b.num_rows):
-            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if rest and any(rest[0].column(i)[0].as_py() != batch.column(i)[0].as_py() for i in range(3)):
-                yield from _compared(rest, percent)
-                rest = []
-            bounds = [0, *cuts.tolist(), batch.num_rows]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                rest.append(batch.slice(a, b - a))
-                if b < batch.num_rows:
-                    yield from _compared(rest, percent)
-                    rest = []
-        if rest:
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            group = _groups(rows)
+            last = int(group[-1])
+            if last:
+                yield from _compared(rows.slice(0, last), percent)
+            rest = rows.slice(last)
+        if rest is not None:
             yield from _compared(rest, percent)
 
     return run
 
 
-def _compared(group: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(group)
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    name, root, size, room, block = (rows[c].to_numpy().astype(np.int64) for c in ("name", "root", "size", "room", "block"))
-    x, y = (np.flatnonzero(block == k) for k in (i, j))
-    if not len(x) or not len(y):
-        return
-    # By size, the partners of each member are a run.
-    y = y[np.argsort(size[y], kind="stable")]
-    low = np.searchsorted(size[y], -(-percent * size[x] // 100), "left")
-    high = np.searchsorted(size[y], 100 * size[x] // percent, "right")
-    own = [np.frombuffer(b, np.uint64) for b in rows["own"].to_pylist()]
-    width = np.array([len(o) for o in own])
-    for at in range(0, len(x), 256):
-        n = np.maximum(high[at : at + 256] - low[at : at + 256], 0)
-        a = np.repeat(x[at : at + 256], n)
-        b = y[np.arange(len(a)) + np.repeat(low[at : at + 256] - (np.cumsum(n) - n), n)] if len(a) else a
-        ok = (root[a] != root[b]) & ((100 + percent) * np.minimum(room[a], room[b]) >= percent * (size[a] + size[b]))
-        if i == j:
-            ok &= name[a] < name[b]
-        a, b = a[ok], b[ok]
-        for longs in np.unique(np.minimum(width[a], width[b])):
-            these = np.flatnonzero(np.minimum(width[a], width[b]) == longs)
-            members, index = np.unique(np.concatenate([a[these], b[these]]), return_inverse=True)
-            bits = np.stack([folded(own[m], int(longs)) for m in members])
-            left, right = index[: len(these)], index[len(these) :]
-            for k in range(0, len(these), max(1, (1 << 20) // int(longs))):
-                part = slice(k, k + max(1, (1 << 20) // int(longs)))
-                differ = np.bitwise_count(bits[left[part]] ^ bits[right[part]]).sum(axis=1, dtype=np.int64)
-                m, o = a[these[part]], b[these[part]]
-                close = differ * (100 + percent) <= (size[m] + size[o]) * (100 - percent)
-                m, o = name[m[close]], name[o[close]]
-                if len(m):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, o)), pa.array(np.maximum(m, o))], names=["a", "b"])
+def _groups(rows: pa.RecordBatch) -> np.ndarray:
+    """The first row of each pair of blocks."""
+    keys = np.column_stack([rows.column(k).to_numpy() for k in range(3)])
+    return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+
+
+def _compared(rows: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
+    n, starts = rows.num_rows, _groups(rows)
+    i, j, block, name, root, size, room = (rows.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "block", "name", "root", "size", "room"))
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(n, PARITY_LONGS)
+    at, end = np.arange(n), np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    # In a block with itself, each member meets those after it; in two blocks, those of the first meet those of the second.
+    second = end - np.repeat(np.add.reduceat((block == j).astype(np.int64), starts), np.diff(np.append(starts, n)))
+    low = np.where(i == j, at + 1, np.where(block == i, second, end))
+    upto = np.concatenate([[0], np.cumsum(end - low)])
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 20), "right")) - 1)
+        count = (end - low)[a:b]
+        x = np.repeat(at[a:b], count)
+        y = np.arange(len(x)) + np.repeat(low[a:b] - (np.cumsum(count) - count), count)
+        ok = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+        ok &= (100 + percent) * np.minimum(room[x], room[y]) >= percent * (size[x] + size[y])
+        x, y = x[ok], y[ok]
+        close = _within(bits[x], bits[y], size[x] + size[y], percent)
+        x, y = name[x[close]], name[y[close]]
+        if len(x):
+            pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        a = b
 
 
 def _block_pairs(rooted: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -341,9 +362,9 @@ def _block_pairs(rooted: DataFrame, members: DataFrame, percent: int) -> DataFra
     at = rooted.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     at = at.withColumn("block", F.pmod(F.shiftright("name", 8), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    at = at.join(members.select("name", "own"), "name").withColumn("other", other)
-    at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "name", "root", "size", "room", "block", "own")
-    at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    at = at.join(members.select("name", "bits"), "name").withColumn("other", other)
+    at = at.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "name", "root", "size", "room", "block", "bits")
+    at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("block") == F.col("j"))
     return at.mapInArrow(_blocks(percent), "a bigint, b bigint")
 
 
@@ -374,7 +395,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, name_bits: int = 64) ->
     listed = lists.select("name").distinct()
     bits = bm.bits_for(listed.count())
     filter_ = spark.sparkContext.broadcast(bm.bitmap(listed, "name", bits))
-    members = written(texts.mapInArrow(_members(filter_, bits, naming, shingle), "name bigint, size int, parity array<bigint>, own binary, packed binary").dropDuplicates(["name"]), "members")
+    members = _distinct_members(texts.mapInArrow(_members(filter_, bits, naming, shingle), "name bigint, size int, bits binary, own binary, packed binary"))
     stars = lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b"))
     parts = lists.where("part > 0").select("key", "least").distinct()
     tops = parts.groupBy("key").agg(F.min("least").alias("a"))
