@@ -95,11 +95,19 @@ class _Nfa:
         return frozenset(seen)
 
 
+def _flag_type(n: int) -> type:
+    """The smallest type with a bit for each pattern."""
+    if n > 64:
+        raise ValueError(f"{n} patterns; an automaton holds at most 64")
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if n <= np.iinfo(t).bits)
+
+
 def tables(patterns: list[tuple], search: bool) -> tuple[np.ndarray, np.ndarray]:
     """``(moves, ends)``: ``moves[state, byte]`` is the next state, bit ``k`` of ``ends[state]`` tells that pattern ``k`` ends there.
 
     State 0 is the start. With ``search`` a pattern may begin at any byte; otherwise only at the first.
     """
+    flags = _flag_type(len(patterns))
     nfa = _Nfa()
     begin = nfa.state()
     final: dict[int, int] = {}
@@ -133,11 +141,12 @@ def tables(patterns: list[tuple], search: bool) -> tuple[np.ndarray, np.ndarray]
             row.append(number[key])
         rows.append(row)
     moves = np.array(rows)[:, column]
-    ends = np.array([sum({final[s] for s in states if s in final}) for states in todo])
+    ends = np.array([sum({final[s] for s in states if s in final}) for states in todo], np.uint64)
     # Minimisation by refinement: states stay together while they end the same patterns and move to states that are together.
     block = np.unique(ends, return_inverse=True)[1]
+    distinct = np.unique(column, return_index=True)[1]
     while True:
-        refined = np.unique(np.column_stack([block, block[moves]]), axis=0, return_inverse=True)[1].reshape(-1)
+        refined = np.unique(np.column_stack([block, block[moves[:, distinct]]]), axis=0, return_inverse=True)[1].reshape(-1)
         if refined.max() == block.max():
             break
         block = refined
@@ -147,7 +156,7 @@ def tables(patterns: list[tuple], search: bool) -> tuple[np.ndarray, np.ndarray]
         if order[b] < 0:
             order[b], n = n, n + 1
     block = order[block]
-    small_moves, small_ends = np.zeros((n, 256), np.int32), np.zeros(n, np.uint8)
+    small_moves, small_ends = np.zeros((n, 256), np.int32), np.zeros(n, flags)
     small_moves[block], small_ends[block] = block[moves], ends
     return small_moves, small_ends
 
@@ -175,7 +184,7 @@ class Scanner:
         starts, lengths = at[:-1], np.diff(at)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
-        kinds, out = self.kind[buf], np.zeros(len(buf), np.uint8)
+        kinds, out = self.kind[buf], np.zeros(len(buf), self.ends.dtype)
         state = np.zeros(len(starts), np.int32)
         ends = np.repeat(self.ends, self.width)
         longest = int(lengths[0]) if len(lengths) else 0

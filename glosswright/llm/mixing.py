@@ -50,15 +50,15 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return sources.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("weight"))).select("source", "source_size", "n_rows", "target")
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """One row per document row: ``doc_id, source, size, source_size, target, taken, epochs, part``.
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: ``doc_id, source, size, source_size, target, taken, epochs, part``, and the ``carried`` columns.
 
     ``size`` is the number of words, 0 for null; ``taken`` = ``epochs * size + part`` words. A null source is a source of its own, sorted last. Rows that
-    share a ``doc_id`` are separate documents; equal rows may swap their ``taken``. An empty table gives an empty result. The key is a
-    digest of ``doc_id`` and ``seed``, so reruns agree.
+    share a ``doc_id``, null ones too, are separate documents; equal rows may swap their ``taken``. Other columns are ignored, whatever their names. An empty
+    table gives an empty result. The key is a digest of ``doc_id`` and ``seed``, so reruns agree. Words are counted in the whole text, however long.
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
-    sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")), "sizes")
+    sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), *carried), "sizes")
     sources = written(targets(sized, weights, share, most), "targets")
     largest = sources.agg(F.max("n_rows")).first()[0] or 1
     buckets = ceil(largest / max(BUCKET_ROWS, isqrt(largest)))
@@ -76,17 +76,33 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     start = F.col("before") + F.col("upto") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("epochs") * F.col("source_size") - start)).cast("long")
     return placed.withColumn("part", part).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part"
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "epochs", "part", *carried
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``mixture`` with all columns of the documents. Of rows that share a ``doc_id``, ``source`` and size each keeps its own text; the words taken of
-    them are those of the first. New columns replace columns of the same names."""
-    new = ["size", "source_size", "target", "taken", "epochs", "part"]
-    shares = mixture(docs).groupBy("doc_id", "source", "size").agg(*[F.max(c).alias(c) for c in new[1:]])
-    shares = shares.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", *new)])
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = docs.drop(*new)
-    out = docs.withColumn("mix_own", size).join(shares, F.expr("doc_id <=> mix_doc_id AND source <=> mix_source AND mix_own = mix_size"))
-    return out.select(*docs.columns, *[F.col(f"mix_{c}").alias(c) for c in new])
+    """The mix: each document as often as it has epochs, and once more cut after its first ``part`` words where the budget ends, with all columns of the documents and
+    ``size, source_size, target, taken`` (the words of this copy) and ``copy`` (from 0), which replace columns of the same names.
+
+    Documents without words, null texts among them, are kept once; of others those of which nothing is taken go. Equal rows are separate documents. The one
+    document of a source that is cut has single spaces between its words. An empty table gives an empty result.
+    """
+    new = ["size", "source_size", "target", "taken", "copy"]
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.drop(*new).withColumn(row, F.monotonically_increasing_id()), "rows")
+    shares = mixture(rows, carried=(row,)).alias("m")
+    copies = F.when(F.col("m.size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
+        F.concat(F.array_repeat(F.col("m.size"), F.col("m.epochs").cast("int")), F.when(F.col("m.part") > 0, F.array("m.part")).otherwise(F.array().cast("array<bigint>")))
+    )
+    shares = shares.select(F.col(f"m.{row}").alias("at"), *[F.col(f"m.{c}").alias(c) for c in new[:3]], F.posexplode(copies).alias("copy", "taken"))
+    rows, shares = rows.alias("d"), shares.alias("s")
+    whole = F.col("s.taken") >= F.col("s.size")
+    text = F.when(whole, F.col("d.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(WORD), 0), 1, F.col("s.taken").cast("int")), " "))
+    out = rows.join(shares, F.col(f"d.{row}") == F.col("s.at"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("d.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    kept = [changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns if c not in new]
+    return out.select(*kept, *[F.col(f"s.{c}").alias(c) for c in new])

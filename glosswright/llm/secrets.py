@@ -2,6 +2,9 @@
 
 The automaton tells where matches end; an automaton of the reversed rule, read back from an end, tells where the leftmost match begins.
 Matches of one rule never overlap: the next one begins after the last, also after one that is dropped for being short.
+
+Rules whose tokens may hold the separators of other rules' prefixes ("-" and "_") multiply the automaton's states: with five more such rules it had some hundred
+thousand. So the rules are those of tokens of letters and digits after a fixed prefix, and some others.
 """
 
 from __future__ import annotations
@@ -32,11 +35,18 @@ RULES: dict[str, tuple] = {
     "hex": at_least(24, chars("0-9", "a-f")),
     "github": seq(word("gh"), chars("pousr"), word("_"), plus(_ALNUM)),
     "slack": seq(word("xox"), chars("abprs"), word("-"), plus(chars("a-z", "A-Z", "0-9", "-"))),
-    "pem": seq(word("-----BEGIN "), star(chars("A-Z ")), word("PRIVATE KEY-----")),
+    "awstemp": seq(word("ASIA"), plus(chars("A-Z", "0-9"))),
+    "stripe": seq(chars("sr"), word("k_live_"), plus(_ALNUM)),
+    "npm": seq(word("npm_"), plus(_ALNUM)),
+    "hub": seq(word("hf_"), plus(_ALNUM)),
+    "cloud": seq(word("dop_v1_"), plus(chars("0-9", "a-f"))),
+    "shop": seq(word("shp"), alt(word("at"), word("ca"), word("pa"), word("ss")), word("_"), plus(chars("0-9", "a-f"))),
+    "hook": seq(word("hooks.slack.com/services/"), plus(chars("A-Z", "a-z", "0-9", "/"))),
+    "pem": seq(word("-----BEGIN "), star(chars("A-Z", " ")), word("PRIVATE KEY-----")),
 }
 BASE = ("assign", "access", "hex")
 #: Shorter matches are dropped; for `assign` the value counts. (Counting in the automaton would multiply its states; `hex` has to, or every word ends one.)
-LEAST = {"assign": 6, "access": 20, "hex": 24, "github": 40, "slack": 15}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "github": 40, "slack": 15, "awstemp": 20, "stripe": 32, "npm": 40, "hub": 37, "cloud": 71, "shop": 38, "hook": 45}
 _VALUE_OF = re.compile(rb"[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
@@ -123,7 +133,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """One row per document row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``.
 
     ``spans`` holds ``kind:start:end`` (code points, end exclusive), ordered by start, then kind. Null and empty texts have none. Rows are
-    independent: repeats, ties and extra columns don't matter. No shuffle.
+    independent: repeats, null ids, ties and extra columns don't matter; an empty table gives an empty result. No shuffle. Texts are scanned whole; of the longest one
+    some 25 bytes for each of its bytes are held.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -153,7 +164,7 @@ def _redact(at: int):
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each found span replaced by its kind in brackets; overlapping spans are replaced together. ``n_chars``, if there is
-    such a column, is counted anew. Null texts stay null."""
+    such a column, is counted anew. Null texts stay null; an empty table and extra columns pass through."""
     ship(docs.sparkSession)
     out = docs.mapInArrow(_redact(docs.columns.index("text")), docs.schema)
     if "n_chars" in docs.columns:

@@ -71,6 +71,63 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WH
        CASE WHEN n >= {least} AND page_id <> first THEN first END AS refers_to FROM f"""
 
 
+def op8_mixing(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix-1") -> str:
+    """The level of targets is that of the sources which aren't held at their caps: with sources by cap / weight, the first at which the rest gets no more than their caps."""
+    weight = f"CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {' '.join(f'WHEN {i} THEN {float(w)}::DOUBLE' for i, w in enumerate(weights))} END"
+    return f"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_SPACE}')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{seed}') AS key FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT source, source_size, {weight} AS weight, {most}::DOUBLE * source_size AS cap FROM sums),
+held AS (SELECT *, coalesce(sum(cap) OVER w, 0)::DOUBLE AS below, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open FROM weighed
+         WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT arg_min(((SELECT {share}::DOUBLE * sum(source_size) FROM sums) - below) / open, cap / weight) AS level FROM held
+           WHERE ((SELECT {share}::DOUBLE * sum(source_size) FROM sums) - below) / open <= cap / weight),
+targets AS (SELECT source, source_size, least(cap, (SELECT level FROM levels) * weight) AS target FROM weighed),
+placed AS (SELECT doc_id, size, source_size, target, floor(target + 1e-6)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target + 1e-6)::BIGINT // source_size ELSE 0 END AS epochs,
+                  sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+           FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - start)))::BIGINT AS taken FROM placed"""
+
+
+#: Patterns of secrets in their order, the least length of a match, and for ``assign`` the part that counts.
+_SECRETS = (
+    ("assign", r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"\']?\x20*[:=]\x20*[\"\']?[A-Za-z0-9+/_.=-]+", 6),
+    ("access", "AKIA[A-Z0-9]+", 20),
+    ("hex", "[0-9a-f]+", 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    ("awstemp", "ASIA[A-Z0-9]+", 20),
+    ("stripe", "[sr]k_live_[A-Za-z0-9]+", 32),
+    ("npm", "npm_[A-Za-z0-9]+", 40),
+    ("hub", "hf_[A-Za-z0-9]+", 37),
+    ("cloud", "dop_v1_[0-9a-f]+", 71),
+    ("shop", "shp(?:at|ca|pa|ss)_[0-9a-f]+", 38),
+    ("hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]+", 45),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+)
+
+
+def op9_secret_scan() -> str:
+    """A match begins after the lengths of all matches and of the pieces between them that come before it."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT r, {n} AS k, {quoted(name)} AS kind, {least} AS least, regexp_extract_all(t, {quoted(p)}) AS found, string_split_regex(t, {quoted(p)}) AS between FROM d WHERE regexp_matches(t, {quoted(p)})"
+        for n, (name, p, least) in enumerate(_SECRETS)
+    )
+    value = r"regexp_extract(m, '^[A-Za-z_]+[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)"
+    base = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+lists AS ({kinds}),
+each AS (SELECT r, k, kind, least, unnest(found) AS m, unnest(between[:len(found)]) AS b, unnest(range(len(found))) AS i FROM lists),
+placed AS (SELECT r, k, kind, least, m, sum(length(b) + length(m)) OVER (PARTITION BY r, k ORDER BY i)::BIGINT AS stop FROM each),
+spans AS (SELECT r, k, kind, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS span FROM placed WHERE length(CASE WHEN kind = 'assign' THEN {value} ELSE m END) >= least),
+sums AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                string_agg(span, ',' ORDER BY start, k) FILTER ({base}) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": op1_decontamination(),
@@ -79,4 +136,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": licenses.oracle_sql(),
         "op5_jaccard_join": op5_jaccard_join(),
         "op6_warc": op6_warc(),
+        "op8_mixing": op8_mixing(),
+        "op9_secret_scan": op9_secret_scan(),
     }
