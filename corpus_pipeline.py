@@ -36,8 +36,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the mix's columns ``size, source_size, target, taken, epochs, part`` to every document it takes words of, or that has none; others go."""
-    return mixing.mixed(docs).where("taken > 0 OR size = 0")
+    """The mix: documents repeated for epochs and cut at their sources' budgets, with ``size, source_size, target, taken, copy``; those it takes nothing of go."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
