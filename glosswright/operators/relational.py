@@ -62,29 +62,89 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return rows.join(seen.select(key), key, "left_anti")
 
 
+def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the rows of each key the first in an order, by a partial aggregate."""
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in key]), F.struct(*order)).alias("x_")).select(*key, "x_.*")
+
+
 def appended(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` and those rows of ``new`` whose key isn't in it, one a key."""
     return old.unionByName(unseen(new.dropDuplicates([key]), old, key))
 
 
+def lookup_or_scan(index: DataFrame, documents: DataFrame, wanted: str, key: str = "post_id_numeric") -> DataFrame:
+    """The rows of an id in the index, else those of the documents themselves, with ``found_by``; both filters reach the scans."""
+    hit = lookup(index, wanted, key)
+    scanned = unseen(lookup(documents, wanted, key), hit, key)
+    return hit.withColumn("found_by", F.lit("index")).unionByName(scanned.withColumn("found_by", F.lit("scan")))
+
+
+def cache_probe(ids: DataFrame, cache: DataFrame) -> DataFrame:
+    """Posts (``post_id``) with their detections (``num_columns``, …); those without columns or not in the cache with a ``reason`` to fail."""
+    out = ids.join(cache, "post_id", "left")
+    return out.withColumn("reason", F.when(F.coalesce("num_columns", F.lit(0)) <= 0, "no columns"))
+
+
+def numeric_folders(rows: DataFrame, name: str, low: int, high: int) -> DataFrame:
+    """Rows whose name is a number from ``low`` to ``high``, by number."""
+    number = F.when(F.col(name).rlike("^[0-9]+$"), F.col(name)).try_cast("long")
+    return rows.where(number.between(low, high)).orderBy(number)
+
+
+def with_prefix(rows: DataFrame, name: str, prefix: str) -> DataFrame:
+    return rows.where(F.col(name).startswith(prefix))
+
+
+def projected(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """The columns of ``keys`` (names and types), null where ``rows`` has none."""
+    return rows.select(*[(F.col(k) if k in rows.columns else F.lit(None)).cast(kind).alias(k) for k, kind in keys.items()])
+
+
+def at_most(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order; all for a target of 0."""
+    return rows.orderBy(*order).limit(n) if n > 0 else rows
+
+
+def tallies(rows: DataFrame, **conditions: Column) -> DataFrame:
+    """``n`` rows, and how many meet each condition, in one pass."""
+    return rows.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()])
+
+
+def greatest_folder(name: Column) -> Column:
+    """The greatest number among names; others don't count, and without any it is 0."""
+    return F.coalesce(F.max(F.when(name.rlike("^[0-9]+$"), name).try_cast("long")), F.lit(0))
+
+
 def zip_replies(order: DataFrame, jobs: DataFrame) -> DataFrame:
     """Each ``job, ordinal, post_id`` with the job's reply at that place of ``replies``; missing replies are empty, surplus ones go."""
     replies = jobs.select("job", F.posexplode("replies").alias("ordinal", "reply"))
     return order.join(replies, ["job", "ordinal"], "left").withColumn("reply", F.coalesce("reply", F.lit("")))
 
 
-def duplicate_streak(arrivals: DataFrame, session: str, order: list[str], key: str, known: Column, stop: int = 300) -> DataFrame:
+def duplicate_streak(arrivals: DataFrame, session: str, order: list[str], key: str, known: Column, stop: int = 300, start: int = 0) -> DataFrame:
     """Arrivals with ``status`` (new, duplicate, repeated), the length of the running streak of duplicates, and whether it reaches ``stop``.
 
-    ``known`` tells ids seen before. What a session repeats doesn't count; a new id ends a streak. Sessions are independent.
+    ``known`` tells ids seen before. What a session repeats doesn't count; a new id ends a streak. Sessions are independent, and begin with a streak of ``start``. No
+    session is one task's work: arrivals are sorted into ranges, and each range goes on from the streak in which those before it end.
     """
+    from glosswright.session import written
+
     first = F.row_number().over(Window.partitionBy(session, key).orderBy(*order)) == 1
     out = arrivals.withColumn("first", first)
     out = out.withColumn("status", F.when(~F.col("first"), "repeated").when(known, "duplicate").otherwise("new")).drop("first")
-    upto = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("island", F.count_if(F.col("status") == "new").over(upto))
-    inside = Window.partitionBy(session, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("streak", F.count_if(F.col("status") == "duplicate").over(inside)).drop("island")
+    out = written(out.repartitionByRange(session, *order).withColumn("part_", F.spark_partition_id()), "arrivals")
+    new, duplicate = F.col("status") == "new", F.col("status") == "duplicate"
+    upto = Window.partitionBy(session, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(session, "part_", "island_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("island_", F.count_if(new).over(upto)).withColumn("streak", F.count_if(duplicate).over(inside))
+    # A row for each session and range: the streak at its end, and which of its predecessors go on into it.
+    ends = out.groupBy(session, "part_").agg(F.max_by("streak", F.struct("island_", "streak")).alias("tail"), (F.max("island_") > 0).cast("int").alias("ended"))
+    by = Window.partitionBy(session).orderBy("part_")
+    ends = ends.withColumn("run", F.sum("ended").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("sum_", F.sum("tail").over(Window.partitionBy(session, "run").orderBy("part_").rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col("run") == 0, start).otherwise(0))
+    ends = ends.select(F.col(session).alias("of_"), F.col("part_").alias("at_"), F.coalesce(F.lag("sum_").over(by), F.lit(start)).alias("carried_"))
+    out = out.join(ends, F.col(session).eqNullSafe(F.col("of_")) & (F.col("part_") == F.col("at_")))
+    out = out.withColumn("streak", F.col("streak") + F.when(F.col("island_") == 0, F.col("carried_")).otherwise(0)).drop("part_", "island_", "of_", "at_", "carried_")
     return out.withColumn("stop", (F.col("streak") >= stop) & (F.col("status") == "duplicate"))
 
 
@@ -109,6 +169,13 @@ def numbered(rows: DataFrame, order: list[str], start: int | Column = 0, column:
     return ranged.join(F.broadcast(counts), "part_").withColumn(column, at + F.col("before_") + F.row_number().over(inside)).drop("part_", "before_")
 
 
+def numbered_after(rows: DataFrame, order: list[str], most: DataFrame, column: str = "number") -> DataFrame:
+    """Rows numbered on from the one value of ``most``."""
+    start = most.limit(1).select(F.col(most.columns[0]).alias("start_"))
+    out = numbered(rows, order, 0, column).crossJoin(F.broadcast(start))
+    return out.withColumn(column, F.col(column) + F.col("start_")).drop("start_")
+
+
 def chunked(rows: DataFrame, order: list[str], size: int = 80) -> DataFrame:
     """Rows with ``chunk`` and ``ordinal`` in it, by order."""
     out = numbered(rows, order, column="n_")
@@ -131,10 +198,17 @@ def seeded_sample(rows: DataFrame, key: str, n: int = 100, seed: int = 100) -> D
 
 
 def corpus_stats(rows: DataFrame, text: str, score: str, kept: str = t.HAN) -> DataFrame:
-    """``posts, passed, mean_score, median_score, distinct_chars``; scores of null are rejects."""
-    chars = rows.select(F.explode(F.split(t.keep_chars(F.col(text), kept), "")).alias("c")).where("c <> ''").agg(F.count_distinct("c").alias("distinct_chars"))
-    stats = rows.agg(F.count("*").alias("posts"), F.count(score).alias("passed"), F.avg(score).alias("mean_score"), F.percentile(score, 0.5).alias("median_score"))
-    return stats.withColumn("k", F.lit(1)).join(F.broadcast(chars.withColumn("k", F.lit(1))), "k").drop("k")
+    """``posts, passed, mean_score, median_score, distinct_chars``; scores of null are rejects.
+
+    Each text's characters are made distinct in its row; the median is found among the range of scores that holds it, not in one task.
+    """
+    own = F.array_distinct(F.split(t.keep_chars(F.col(text), kept), ""))
+    chars = rows.select(F.explode(own).alias("c")).where("c <> ''").agg(F.count_distinct("c").alias("distinct_chars"))
+    stats = rows.agg(F.count("*").alias("posts"), F.count(score).alias("passed"), F.avg(score).alias("mean_score"))
+    ranked = numbered(rows.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("score_")), ["score_"], column="at_")
+    half = stats.select(F.floor((F.col("passed") + 1) / 2).alias("low_"), F.ceil((F.col("passed") + 1) / 2).alias("high_"))
+    median = ranked.join(F.broadcast(half), F.col("at_").between(F.col("low_"), F.col("high_"))).agg(F.avg("score_").alias("median_score"))
+    return stats.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(chars))
 
 
 def fix_deltas(before: DataFrame, after: DataFrame) -> DataFrame:

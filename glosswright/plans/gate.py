@@ -11,6 +11,7 @@ from glosswright.functions.similarity import aligned
 from glosswright.session import ship
 
 THRESHOLD = 75.0
+#: Names of fixes.
 FIXES = ("dedup_columns", "strip_annot_brackets", "boundary_expand_variant", "strip_unbracketed_marker")
 
 

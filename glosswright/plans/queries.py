@@ -17,7 +17,7 @@ from glosswright.functions import text as t
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import funnel as fu
-from glosswright.session import ship
+from glosswright.session import ship, written
 from glosswright.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,12 +112,12 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 @query(f"""
 WITH p AS (SELECT a.conv_id, a.turn, regexp_replace(lower(a.text), '[^a-z]+', '', 'g') AS x, regexp_replace(lower(b.text), '[^a-z]+', '', 'g') AS y
-  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'),
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 q AS (SELECT *, list_sum(list_transform(string_split('{_LETTERS}', ''), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, ''))))) AS common FROM p),
 z AS (SELECT *, CASE WHEN length(x) + length(y) = 0 THEN 100.0 ELSE round_even(200.0::DOUBLE * common / (length(x) + length(y)), 1) END AS score FROM q)
 SELECT conv_id, turn, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 75 AND y <> '' THEN 'SUCCESS' ELSE 'REJECT' END AS status, CAST(length(y) AS BIGINT) AS label_len FROM z""")
 def multiset_similarity_gate(spark, d):
-    pairs = _turns(spark, d).where("role = 'user'")
+    pairs = _turns(spark, d)
     pairs = pairs.select("conv_id", "turn", t.keep_chars(F.lower("anchor"), "a-z").alias("x"), t.keep_chars(F.lower("caption"), "a-z").alias("y"))
     score = F.bround(s.sorted_similarity(F.col("x"), F.col("y")), 1)
     status = F.when((F.col("score") >= 75) & (F.col("y") != ""), "SUCCESS").otherwise("REJECT")
@@ -201,7 +201,7 @@ def _trees(spark, d):
         F.lit('{"data":[{"empty":{"k":""}},{"node":{"id":"p'), i, F.lit('","comet_sections":{"content":{"story":{"message":{"text":"t'), i, F.lit('"}}}},"props":'), F.col("props"),
         F.lit('}},{"node":{"id":"q'), i, F.lit('"}},{"post_id":"'), i, F.lit('"}],"page_info":{"end_cursor":"c'), i, F.lit('"}}'),
     )
-    return j.walked(e.select("event_id", F.lit(0).alias("line_no"), line.alias("line")), ["event_id", "line_no"])
+    return written(j.walked(e.select("event_id", F.lit(0).alias("line_no"), line.alias("line")), ["event_id", "line_no"]), "tree")
 
 
 @query("""
@@ -285,7 +285,7 @@ def feed_silence_sessions(spark, d):
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 GROUP BY 1, 2")
 def session_dedup(spark, d):
-    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return r.first_of(read(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
 @query("""
@@ -332,8 +332,8 @@ def _layouts(spark, d):
 
 @query()
 def box_clean_nms(spark, d):
-    clean = b.clean_columns(F.col("columns"), F.col("signatures"))
-    return _layouts(spark, d).select("l_orderkey", F.size("columns").alias("before"), F.size(clean).alias("after"), F.transform(clean, lambda c: c["center_x"]).alias("centers"))
+    rows = _layouts(spark, d).withColumn("clean", b.clean_columns(F.col("columns"), F.col("signatures")))
+    return rows.select("l_orderkey", F.size("columns").alias("before"), F.size("clean").alias("after"), F.transform("clean", lambda c: c["center_x"]).alias("centers"))
 
 
 @query("""
@@ -444,8 +444,11 @@ def job_states(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    import glosswright.plans.corpus_queries  # noqa: F401  registers its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

@@ -39,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(folder)

@@ -21,7 +21,7 @@ SAMPLE = (
 )
 DETECTION = f"map<string, struct<num_columns int, best_image string, columns array<{BOX}>, signatures array<{BOX}>>>"
 IMAGES = ("jpg", "jpeg", "png")
-#: Marks of a supervisor's log; the last is found in either case.
+#: Marks of a supervisor's log; the last is found in either case.
 LOG_MARKS = ("Da luu", "XONG", "STOP", "posts")
 
 
@@ -47,17 +47,31 @@ def documents(spark: SparkSession, path: str, schema: str = SAMPLE, on_error: st
 
     ``quarantine`` keeps just the unreadable ones, with their text.
     """
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST" if on_error == "raise" else "PERMISSIVE")
     if on_error == "raise":
-        rows = reader.schema(schema).json(path)
-    else:
-        rows = reader.schema(f"{schema}, _corrupt_record string").json(path)
-    rows = rows.withColumn("folder", folder(F.col("_metadata.file_path")))
-    if on_error == "skip":
-        rows = rows.where("_corrupt_record IS NULL")
-    elif on_error == "quarantine":
+        rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
+        return rows.withColumn("folder", folder(F.col("_metadata.file_path")))
+    rows = _parsed(spark, path, schema)
+    if on_error == "quarantine":
         return rows.where("_corrupt_record IS NOT NULL").select("folder", "_corrupt_record")
-    return rows if on_error == "raise" else rows.drop("_corrupt_record")
+    return (rows.where("_corrupt_record IS NULL") if on_error == "skip" else rows).drop("_corrupt_record")
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole-file documents with ``folder``, and ``_corrupt_record`` for those that are unreadable."""
+    rows = spark.read.text(path, wholetext=True).select(folder(F.col("_metadata.file_path")).alias("folder"), F.from_json("value", f"{schema}, _corrupt_record string").alias("d"))
+    return rows.select("d.*", "folder")
+
+
+def error_counts(spark: SparkSession, path: str, schema: str = SAMPLE) -> DataFrame:
+    """``n, errors``: how many whole-file JSON documents there are, and how many of them are unreadable."""
+    return _parsed(spark, path, schema).agg(F.count("*").alias("n"), F.count("_corrupt_record").alias("errors"))
+
+
+def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The results of earlier runs; none where nothing has been written yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def folder(path):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswright.functions.text import safe_id
 from glosswright.operators.relational import appended, unseen
 
+#: The index's columns in their order.
 INDEX_COLUMNS = ("post_id_numeric", "author_id", "post_url", "v11_folder", "merged_folder", "scrape_time", "has_label")
 
 
@@ -28,6 +29,14 @@ def store_cursor(cursor: DataFrame, path: str) -> None:
     cursor.select("cursor").write.mode("overwrite").text(path)
 
 
+def store_batch_state(rows: DataFrame, path: str) -> None:
+    """The state document of submitted chunks (``job, chunk, ordinal, post_id``): its jobs with their counts, and the order of all ids. It is one document by its nature."""
+    jobs = rows.groupBy("chunk", "job").agg(F.count("*").cast("int").alias("count"))
+    jobs = jobs.agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "job", "count"))), lambda x: F.struct(x["job"].alias("name"), x["count"].alias("count"))).alias("jobs"))
+    order = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ordinal", "post_id"))), lambda x: x["post_id"]).alias("order"))
+    jobs.crossJoin(order).write.mode("overwrite").json(path)
+
+
 def write_outcomes(outcomes: DataFrame, path: str) -> None:
     """Passes and rejects, one partition a status."""
     outcomes.write.mode("overwrite").partitionBy("status").parquet(path)

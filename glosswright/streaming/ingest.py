@@ -29,16 +29,18 @@ def posts_of(responses: DataFrame, key: str, group: str, kept: str = t.HAN_EXT,
     return out.withColumn("disposition", t.disposition(F.col("image_urls"), t.skip_reason(F.col("caption"), kept)))
 
 
-def streak_of(posts: DataFrame, seen: DataFrame, stop: int) -> DataFrame:
-    """Arrivals of a batch with the running streak of already seen ids."""
+def streak_of(posts: DataFrame, seen: DataFrame, stop: int, start: int = 0) -> DataFrame:
+    """Arrivals of a batch with the running streak of already seen ids, which goes on from ``start``."""
     known = seen.select("post_id").distinct().withColumn("known", F.lit(True))
     rows = posts.select("post_id", "at", F.lit("batch").alias("session")).join(known, "post_id", "left")
-    return duplicate_streak(rows, "session", ["at"], "post_id", F.coalesce("known", F.lit(False)), stop)
+    return duplicate_streak(rows, "session", ["at"], "post_id", F.coalesce("known", F.lit(False)), stop, start)
 
 
 def ingest(responses: DataFrame, posts_path: str, seen_path: str, cursor_path: str, checkpoint: str, group: str, key: str = "received_at", stop: int = 300, on_stop: Callable[[], None] | None = None, kept: str = t.HAN_EXT) -> StreamingQuery:
     """Runs the stream until its input is used up. Posts are written before their ids are marked, and a repeated batch finds them marked or
-    writes them again: nothing is lost, and ``post_id`` tells repeats. Two streams with checkpoints of their own may share a seen table."""
+    writes them again: nothing is lost, and ``post_id`` tells repeats. Two streams with checkpoints of their own may share a seen table. The streak of
+    duplicates goes on from batch to batch of a run, which is a session; a new run begins a new one."""
+    session = {"streak": 0}
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
@@ -57,8 +59,11 @@ def ingest(responses: DataFrame, posts_path: str, seen_path: str, cursor_path: s
         cursors = j.end_cursors(j.walked(files.response_lines(rows, [key]), [key, "line_no"]), [key]).agg(F.max_by("cursor", key).alias("cursor"))
         if cursors.where("cursor IS NOT NULL").count():
             sinks.store_cursor(cursors, cursor_path)
-        if on_stop and streak_of(posts, seen, stop).where("stop").limit(1).count():
-            on_stop()
+        if on_stop:
+            ends = streak_of(posts, seen, stop, session["streak"]).agg(F.max_by("streak", "at").alias("last"), F.coalesce(F.bool_or("stop"), F.lit(False)).alias("stop")).first()
+            session["streak"] = session["streak"] if ends["last"] is None else ends["last"]
+            if ends["stop"]:
+                on_stop()
 
     return responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
