@@ -1,7 +1,9 @@
 """SpotSigs fingerprints: each common word is an anchor, and the chain of content words that follow it is a signature. So that short texts and those of other
 languages have a fingerprint too, and texts of any two lengths can be compared, each word's chain of the words that follow it and each word alone are signatures as well.
 
-A fingerprint is the sorted set of a text's 32-bit signature hashes, in hex. Fingerprints are compared by Jaccard similarity, pruned by their set lengths.
+A fingerprint is the sorted set of a text's 64-bit signature hashes, in hex. ``fingerprints`` compares each text with two others by Jaccard similarity;
+``near_duplicates`` finds all near-duplicates: signature sets are partitioned into bands of set lengths, meet in their band's and the next one's inverted lists of rare signatures,
+and are compared through Jaccard similarity pruned by lengths and bitmaps.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glosswright.llm.similar import Sets, grouped
 from glosswright.llm.words import LETTERS, Words, mix, pieces
 from glosswright.session import ship
 
@@ -27,6 +30,7 @@ ANCHORS = (
     "el los las unos y es del al por con para como su se lo no más una"
 )
 CHAIN = 2
+PERCENT = 75
 BUCKET_ROWS = 200
 MOST_BUCKETS = 1 << 16
 
@@ -43,7 +47,7 @@ def _chains(h: np.ndarray, anchors: np.ndarray, content: np.ndarray) -> np.ndarr
     with np.errstate(over="ignore"):
         for j in range(CHAIN):
             g = mix(g * np.uint64(31) + following[at + j])
-    return (g >> np.uint64(32)).astype(np.uint32)
+    return g
 
 
 def signatures(texts: pa.Array, common: np.ndarray) -> list[np.ndarray]:
@@ -54,11 +58,11 @@ def signatures(texts: pa.Array, common: np.ndarray) -> list[np.ndarray]:
     for i, (a, n) in enumerate(zip(w.first[:-1], w.counts)):
         if not n:
             raw = w.buf[w.offsets[i] : w.offsets[i + 1]].tobytes()
-            out.append(np.frombuffer(hashlib.sha256(raw).digest()[:4], ">u4").astype(np.uint32) if raw else np.zeros(0, np.uint32))
+            out.append(np.frombuffer(hashlib.sha256(raw).digest()[:8], ">u8").astype(np.uint64) if raw else np.zeros(0, np.uint64))
             continue
         h, c = w.h[a : a + n], is_common[a : a + n]
         every = np.arange(n)
-        out.append(np.unique(np.concatenate([_chains(h, np.flatnonzero(c), np.flatnonzero(~c)), _chains(h, every, every), (h >> np.uint64(32)).astype(np.uint32)])))
+        out.append(np.unique(np.concatenate([_chains(h, np.flatnonzero(c), np.flatnonzero(~c)), _chains(h, every, every), h])))
     return out
 
 
@@ -73,8 +77,25 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
+class Spots:
+    """Makes the signature sets of texts for a near-duplicate join."""
+
+    by_size = True
+
+    def __call__(self, texts: pa.Array, counts: np.ndarray | None = None) -> Sets:
+        found = signatures(texts, _anchor_hashes())
+        return Sets(np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([np.zeros(0, np.uint64), *found]), len(found), counts)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document row: ``doc_id, n_signatures, component_id``, the smallest ``doc_id`` reachable by links: of texts whose signature sets have a Jaccard similarity
+    of ``percent`` / 100 or more. Null and empty texts have no signatures and are their own component; null and repeated ids, extra columns and empty tables
+    are as for ``similar.near_duplicates``."""
+    return grouped(docs, Spots(), percent).withColumnRenamed("n_shingles", "n_signatures")
+
+
 def _hex(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+    return s.astype(">u8").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -116,24 +137,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The next document is the one with the next smaller integer ``doc_id``; after the last comes the first. Null ids come last; rows with equal ids are
-    ordered by a hash of the text. A single row is its own next. Null texts are empty; an empty text has an empty fingerprint, like only to another
-    empty one. Texts are shuffled once, into key ranges with bounds from quantiles; the first row of each range also goes to the range before it.
+    ordered by a hash of the text; of rows equal in both the order doesn't matter. A single row is its own next. Null texts are empty; an empty text has an
+    empty fingerprint, like only to another empty one. Other columns are ignored; an empty table gives an empty result. Texts are shuffled once, into key ranges with
+    bounds from quantiles; the first row of each range also goes to the range before it. A range of one id, or of no id, that has many rows is divided by their
+    hashes. Whole texts are fingerprinted: a task holds some 100 bytes for each word of the longest.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
     n = docs.count()
     buckets = int(min(MOST_BUCKETS, max(1, n // BUCKET_ROWS)))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
+    found = docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
+    # An id that is several quantiles has a range of its own.
+    bounds = sorted({*found, *[q + 1 for q, later in zip(found, found[1:]) if q == later]})
     splits = [-float("inf"), *(bounds or [0.0]), float("inf")]
     keyed = docs.withColumn("hash", F.xxhash64("text")).withColumn("as_double", F.col("doc_id").cast("double"))
     keyed = Bucketizer(splits=splits, inputCol="as_double", outputCol="range", handleInvalid="keep").transform(keyed)
-    # Null ids get the number past the last; descending, bucket 0 is that of the largest ids.
-    keyed = keyed.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(len(splits) - F.col("range")).cast("int")).drop("as_double", "range")
+    # Null ids get the number past the last; descending, the first range is that of the largest ids.
+    keyed = keyed.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(len(splits) - F.col("range")).cast("int")).drop("as_double")
+    sizes = keyed.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one_id")).collect()  # a row for each range
+    many = [(r.range, -(-r.n // BUCKET_ROWS)) for r in sizes if r.one_id and r.n > 4 * BUCKET_ROWS]
+    most = max([1, *[k for _, k in many]])
+    many = F.broadcast(spark.createDataFrame(many, "of_range int, parts bigint"))
+    part = F.floor((0.5 - F.col("hash") / F.lit(2.0**64)) * F.col("parts"))
+    keyed = keyed.join(many, F.col("range") == F.col("of_range"), "left")
+    part = F.greatest(F.lit(0), F.least(F.col("parts") - 1, part))
+    keyed = keyed.withColumn("bucket", F.col("range").cast("long") * most + F.coalesce(part, F.lit(0))).drop("range", "of_range", "parts")
     heads = sorted((r.bucket, r.head) for r in keyed.groupBy("bucket").agg(F.max(F.struct("doc_id", "hash")).alias("head")).collect())  # a row for each bucket
     guests = [(heads[i - 1][0], head.doc_id, head.hash) for i, (_, head) in enumerate(heads)]
     id_type = docs.schema["doc_id"].dataType
-    guests = F.broadcast(spark.createDataFrame(guests, T.StructType([T.StructField("guest_of", T.IntegerType()), T.StructField("head_id", id_type), T.StructField("head_hash", T.LongType())])))
+    guests = F.broadcast(spark.createDataFrame(guests, T.StructType([T.StructField("guest_of", T.LongType()), T.StructField("head_id", id_type), T.StructField("head_hash", T.LongType())])))
     keyed = keyed.join(guests, F.expr("doc_id <=> head_id AND hash = head_hash"), "left")
     places = F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("at"), F.lit(True).alias("guest")))
     dealt = keyed.select("doc_id", "text", "hash", F.explode(F.filter(places, lambda p: p["at"].isNotNull())).alias("p")).select("doc_id", "text", "p.at", "p.guest", "hash")

@@ -16,7 +16,7 @@ components within that bound become rows. Candidates are verified on the texts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -48,17 +48,9 @@ _SUBSET, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 class Sets:
-    """The distinct shingles of each text of a batch: ``doc`` and ``token``, sorted by text; of fewer words than a shingle has, the whole sequence as one."""
+    """The distinct tokens of ``k`` texts of a batch: ``doc`` and ``token``, sorted by text and there by token, with ``counts`` by rarity first."""
 
-    def __init__(self, w: Words, n: int, counts: np.ndarray | None = None):
-        g, k = grams(w.h, n, seed=n), len(w.counts)
-        m = np.maximum(w.counts - n + 1, 0)
-        doc = np.repeat(np.arange(k), m)
-        token = g[np.arange(len(doc)) + np.repeat(w.first[:-1] - (np.cumsum(m) - m), m)]
-        short = np.flatnonzero((w.counts > 0) & (w.counts < n))
-        if len(short):
-            doc = np.concatenate([doc, short])
-            token = np.concatenate([token, *[grams(w.h[w.first[i] : w.first[i + 1]], w.counts[i], seed=w.counts[i]) for i in short]])
+    def __init__(self, doc: np.ndarray, token: np.ndarray, k: int, counts: np.ndarray | None = None):
         by = np.lexsort((token, doc) if counts is None else (token, counts[_cell(token)], doc))
         doc, token = doc[by], token[by]
         new = np.ones(len(doc), bool)
@@ -84,6 +76,28 @@ class Sets:
         return np.arange(len(self.doc)) - self.first[self.doc]
 
 
+class Shingles:
+    """Makes the sets of word shingles of texts; of fewer words than a shingle has, the whole sequence is one."""
+
+    #: Whether lists hold sets of about the same size only.
+    by_size = False
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __call__(self, texts: pa.Array, counts: np.ndarray | None = None) -> Sets:
+        w, n = Words(texts, True, NON_SPACE), self.n
+        g, k = grams(w.h, n, seed=n), len(w.counts)
+        m = np.maximum(w.counts - n + 1, 0)
+        doc = np.repeat(np.arange(k), m)
+        token = g[np.arange(len(doc)) + np.repeat(w.first[:-1] - (np.cumsum(m) - m), m)]
+        short = np.flatnonzero((w.counts > 0) & (w.counts < n))
+        if len(short):
+            doc = np.concatenate([doc, short])
+            token = np.concatenate([token, *[grams(w.h[w.first[i] : w.first[i + 1]], w.counts[i], seed=w.counts[i]) for i in short]])
+        return Sets(doc, token, k, counts)
+
+
 def _least_overlap(size, percent: int):
     """Of a set with any set that is similar enough."""
     return -(-percent * size // 100)
@@ -111,7 +125,7 @@ def _subsets(s: Sets, docs: np.ndarray, size: int, length: int, c: int, counts:
     return key.reshape(-1), np.repeat(docs, len(at)), room.reshape(-1), least.reshape(-1)
 
 
-def _measure(shingle: int, name_bits: int):
+def _measure(sets: Callable[..., Sets], name_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, then the task's token counts by cell."""
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -119,7 +133,7 @@ def _measure(shingle: int, name_bits: int):
         id_type = pa.int64()
         for batch in pieces(batches):
             id_type, n = batch.column(0).type, batch.num_rows
-            s = Sets(Words(batch.column(2), True, NON_SPACE), shingle)
+            s = sets(batch.column(2))
             counts += np.bincount(_cell(s.token), minlength=len(counts))
             names = [pa.array(signed(x), mask=s.size == 0) for x in s.names(bits=name_bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.size), *names, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=fields)
@@ -132,13 +146,13 @@ def _measure(shingle: int, name_bits: int):
     return run
 
 
-def _sketches(counts, shingle: int, percent: int):
+def _sketches(counts, sets: Callable[..., Sets], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signed counts of the keys that small sets would have: by subset size (1: single tokens), class of set sizes and cell."""
         sums = np.zeros((1 + max(SUBSETS), MOST_LIGHT // STEP, 1 << SKETCH_BITS), np.int64)
         done: set[int] = set()
         for batch in pieces(batches):
-            s = Sets(Words(batch.column(0), True, NON_SPACE), shingle, counts.value)
+            s = sets(batch.column(0), counts.value)
             fresh = _fresh(s, s.names()[0], done)
             for size in range(1, MOST_LIGHT + 1):
                 docs = np.flatnonzero(fresh & (s.size == size))
@@ -175,18 +189,25 @@ def cheapest(sums: np.ndarray, percent: int) -> tuple[int, int]:
     return best[1:]
 
 
+def _boundary(texts: DataFrame, counts, sets: Callable[..., Sets], percent: int) -> tuple[int, int]:
+    signs = texts.where(F.octet_length("text") <= SMALL_TEXT).mapInArrow(_sketches(counts, sets, percent), "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+    sums = np.zeros((1 + max(SUBSETS), MOST_LIGHT // STEP, 1 << SKETCH_BITS), np.int64)
+    sums.reshape(-1)[signs["cell"].to_numpy()] = signs["count"].to_numpy()
+    return cheapest(sums, percent)
+
+
 def parts_of(counts: np.ndarray, usual: float, part: int = PART) -> np.ndarray:
     """How many parts lists have whose rarest token's cell has these counts: one, but where a count stands out from the usual one, one for each ``part`` more."""
     return 1 + (np.maximum(0, counts - usual - 4 * np.sqrt(usual)) // part).astype(np.int64)
 
 
-def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle: int, percent: int, most: int):
+def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, sets: Callable[..., Sets], percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The keys of each set: ``key, part, name, size, room``. ``room`` bounds the overlap with a set that shares the key."""
         by, done = counts.value, set()
         usual = float(np.median(by))
         for batch in pieces(batches):
-            s = Sets(Words(batch.column(0), True, NON_SPACE), shingle, by)
+            s = sets(batch.column(0), by)
             names, overlap = s.names(*naming)[0], _least_overlap(s.size, percent)
             fresh = _fresh(s, names, done)
             light = fresh & (s.size <= boundary)
@@ -198,6 +219,12 @@ def _keys(counts, naming: tuple[np.ndarray, int], boundary: int, c: int, shingle
                 spare = int(size - _least_overlap(size, percent))
                 found.append(_subsets(s, np.flatnonzero(light & (s.size == size)), int(size), min(int(size), spare + c), c, by))
             key, doc, room, count = (np.concatenate(x) for x in zip(*found))
+            if sets.by_size:
+                # Sets that are similar enough are in one band of sizes or in two that follow each other: each set is in the lists of its band and of the next.
+                band = np.floor(np.log(np.maximum(s.size[doc], 1)) / np.log(100 / percent) + 1e-9).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    key = np.concatenate([mix(key ^ mix(band + up)) for up in (np.uint64(0), np.uint64(1))])
+                doc, room, count = (np.tile(x, 2) for x in (doc, room, count))
             name, parts = names[doc], parts_of(count, usual, most)
             part = np.where(parts > 1, 1 + (name >> np.uint64(8)).astype(np.int64) % parts, 0).astype(np.int32)
             columns = [signed(key), part, signed(name), s.size[doc].astype(np.int32), room.astype(np.int32)]
@@ -221,13 +248,13 @@ def folded(bitmaps: np.ndarray, longs: int) -> np.ndarray:
     return bitmaps
 
 
-def _members(filter_, bits: int, naming: tuple[np.ndarray, int], shingle: int):
+def _members(filter_, bits: int, naming: tuple[np.ndarray, int], sets: Callable[..., Sets]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names, sizes, parity bitmaps (one of a fixed length, one that grows with the set) and packed texts of the sets in lists."""
         done: set[int] = set()
         for batch in pieces(batches):
             texts, rows = batch.column(0), []
-            s = Sets(Words(texts, True, NON_SPACE), shingle)
+            s = sets(texts)
             names = s.names(*naming)[0]
             listed = _fresh(s, names, done) & bm.has(filter_.value, bits, names)
             for i in np.flatnonzero(listed):
@@ -250,7 +277,7 @@ def _distinct_members(members: DataFrame) -> DataFrame:
     return members.join(F.broadcast(again), (F.col("name") == F.col("again")) & (F.col("task") != F.col("stays")), "left_anti").drop("task")
 
 
-def _verify(shingle: int, percent: int):
+def _verify(sets: Callable[..., Sets], percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by ``a``, so a batch has few different ones; each is cut into shingles once."""
         for whole in batches:
@@ -259,7 +286,7 @@ def _verify(shingle: int, percent: int):
                 _, first, which = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
                 packed = [*batch.column(2).take(pa.array(first)), *batch.column(3)]
                 texts = pa.array([zlib.decompress(x.as_py()).decode() for x in packed], pa.large_string())
-                s = Sets(Words(texts, True, NON_SPACE), shingle)
+                s = sets(texts)
                 k = len(first)
                 with np.errstate(over="ignore"):
                     own = mix(s.token ^ mix(s.doc.astype(np.uint64)))
@@ -294,7 +321,7 @@ def _within(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int
     return np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent)
 
 
-def _links(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame, sets: Callable[..., Sets], percent: int) -> DataFrame:
     """The pairs ``a, b`` that are similar enough."""
     pairs = written(pairs, "pairs")
     if pairs.count() <= MOST_SENT:
@@ -304,7 +331,7 @@ def _links(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) ->
     rows = pairs.join(side("a", "size", "own"), "a").join(side("b", "size", "own"), "b").select("a", "b", "size_a", "size_b", "own_a", "own_b")
     pairs = written(rows.mapInArrow(_bounded(percent), "a bigint, b bigint"), "bounded")
     texts = pairs.join(side("b", "packed"), "b").join(side("a", "packed"), "a").select("a", "b", "packed_a", "packed_b")
-    return texts.mapInArrow(_verify(shingle, percent), "a bigint, b bigint")
+    return texts.mapInArrow(_verify(sets, percent), "a bigint, b bigint")
 
 
 def _blocks(percent: int):
@@ -368,13 +395,13 @@ def _block_pairs(rooted: DataFrame, members: DataFrame, percent: int) -> DataFra
     return at.mapInArrow(_blocks(percent), "a bigint, b bigint")
 
 
-def _linked(docs: DataFrame, shingle: int, percent: int, name_bits: int = 64) -> DataFrame:
-    """One row per document row: ``doc_id, hash`` (of the text), ``n_shingles``, and ``root``, the name of its component, null without shingles."""
+def _linked(docs: DataFrame, sets: Callable[..., Sets], percent: int, name_bits: int = 64) -> DataFrame:
+    """One row per document row: ``doc_id, hash`` (of the text), ``n_shingles``, and ``root``, the name of its component, null without tokens."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("hash bigint, n_shingles bigint, name bigint, second bigint, cell int, count bigint").fields])
-    first = written(docs.mapInArrow(_measure(shingle, name_bits), schema), "sets")
+    first = written(docs.mapInArrow(_measure(sets, name_bits), schema), "sets")
     sums = first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     counts = np.zeros(1 << CELL_BITS, np.int64)
     counts[sums["cell"].to_numpy()] = sums["count"].to_numpy()
@@ -384,24 +411,21 @@ def _linked(docs: DataFrame, shingle: int, percent: int, name_bits: int = 64) ->
     taken = np.sort(taken["name"].to_numpy().view(np.uint64))
     naming = (taken, name_bits)
     texts = docs.select("text")
-    signs = texts.where(F.octet_length("text") <= SMALL_TEXT).mapInArrow(_sketches(counts, shingle, percent), "cell int, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
-    sums = np.zeros((1 + max(SUBSETS), MOST_LIGHT // STEP, 1 << SKETCH_BITS), np.int64)
-    sums.reshape(-1)[signs["cell"].to_numpy()] = signs["count"].to_numpy()
-    boundary, c = cheapest(sums, percent)
-    keys = texts.mapInArrow(_keys(counts, naming, boundary, c, shingle, percent, PART), "key bigint, part int, name bigint, size int, room int")
+    boundary, c = (0, SUBSETS[0]) if sets.by_size else _boundary(texts, counts, sets, percent)
+    keys = texts.mapInArrow(_keys(counts, naming, boundary, c, sets, percent, PART), "key bigint, part int, name bigint, size int, room int")
     of_key = Window.partitionBy("key", "part")
     lists = keys.withColumn("least", F.min("name").over(of_key)).withColumn("most", F.max("name").over(of_key))
     lists = written(lists.where("part > 0 OR least <> most").drop("most"), "lists")
     listed = lists.select("name").distinct()
     bits = bm.bits_for(listed.count())
     filter_ = spark.sparkContext.broadcast(bm.bitmap(listed, "name", bits))
-    members = _distinct_members(texts.mapInArrow(_members(filter_, bits, naming, shingle), "name bigint, size int, bits binary, own binary, packed binary"))
+    members = _distinct_members(texts.mapInArrow(_members(filter_, bits, naming, sets), "name bigint, size int, bits binary, own binary, packed binary"))
     stars = lists.where("name <> least").select(F.col("least").alias("a"), F.col("name").alias("b"))
     parts = lists.where("part > 0").select("key", "least").distinct()
     tops = parts.groupBy("key").agg(F.min("least").alias("a"))
     stars = stars.unionByName(parts.join(tops, "key").where("least <> a").select("a", F.col("least").alias("b")))
     tested = written(stars.distinct(), "stars")
-    roots = components(written(_links(tested, members, shingle, percent), "links"))
+    roots = components(written(_links(tested, members, sets, percent), "links"))
     # Lists that still hold several components: first all are compared with the member of the fullest lists, mostly what others were copied from.
     rooted = _rooted(lists, tested, roots)
     fullness = rooted.join(rooted.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("name").agg(F.sum("n").alias("fullness"))
@@ -409,10 +433,10 @@ def _linked(docs: DataFrame, shingle: int, percent: int, name_bits: int = 64) ->
     pairs = rooted.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & ((100 + percent) * F.least("room", "hub.room") >= percent * (F.col("size") + F.col("hub.size"))))
     pairs = pairs.select(F.least("name", "hub.name").alias("a"), F.greatest("name", "hub.name").alias("b")).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    roots = _grown(roots, _links(pairs, members, shingle, percent))
+    roots = _grown(roots, _links(pairs, members, sets, percent))
     blocks = _block_pairs(_rooted(lists, tested, roots), members, percent).distinct()
     tested = tested.unionByName(pairs)
-    roots = _grown(roots, _links(blocks.join(tested, ["a", "b"], "left_anti"), members, shingle, percent))
+    roots = _grown(roots, _links(blocks.join(tested, ["a", "b"], "left_anti"), members, sets, percent))
     name = _renamed(taken) if len(taken) else F.col("name")
     named = first.where("cell IS NULL").select("doc_id", "hash", "n_shingles", name.alias("name"))
     return named.join(roots, named["name"] == roots["node"], "left").select("doc_id", "hash", "n_shingles", F.coalesce("root", "name").alias("root"))
@@ -460,7 +484,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     name a component that has an id. Repeated rows and extra columns don't matter; an empty table gives an empty result. A task's memory is bounded by
     the longest text, of which some 60 bytes a word are held.
     """
-    named = _linked(docs, shingle, percent)
+    return grouped(docs, Shingles(shingle), percent)
+
+
+def grouped(docs: DataFrame, sets: Callable[..., Sets], percent: int) -> DataFrame:
+    """As ``near_duplicates``, for sets of any tokens; ``n_shingles`` is the size of a set."""
+    named = _linked(docs, sets, percent)
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     with_words = named.where("root IS NOT NULL").join(ids, "root").select("doc_id", "n_shingles", "component_id")
     return with_words.unionByName(named.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -470,7 +499,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: that with the smallest ``doc_id`` (null is largest), of rows that share it the one with the smallest hash
     of its text, and of equal rows any one. Documents without words, null texts among them, are all kept. An empty table gives an empty result."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
-    named = written(_linked(docs, SHINGLE, PERCENT), "named").where("root IS NOT NULL")
+    named = written(_linked(docs, Shingles(SHINGLE), PERCENT), "named").where("root IS NOT NULL")
     groups = named.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
     first = groups.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))

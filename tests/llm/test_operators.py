@@ -134,7 +134,7 @@ def test_near_duplicates_of_edits(spark, edits):
     want = {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, brute_components(sets)))}
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in similar.near_duplicates(docs).collect()} == want
     # Names of eight bits, so that many sets share one.
-    few = similar._linked(docs.where("doc_id >= 250"), 5, 75, name_bits=8).collect()
+    few = similar._linked(docs.where("doc_id >= 250"), similar.Shingles(5), 75, name_bits=8).collect()
     groups = {}
     for x in few:
         groups.setdefault(x.root, []).append(x.doc_id)
@@ -327,16 +327,54 @@ def test_warc(spark):
         assert got[i] == (len(raw), hashlib.sha256(raw).hexdigest(), *(("revisit", 1) if i == 2 else ("response", None)))
 
 
-def test_fingerprints(spark, texts, docs):
-    order = list(range(len(texts)))[::-1]
-    got = {x.doc_id: x for x in fingerprints.fingerprints(docs).collect()}
-    for i, d in enumerate(order):
-        t, n = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+def spots(t):
+    """Signatures by tuples of words: chains of two content words after common ones, of two words after each word, words alone; the text itself without words."""
+    w = LETTERS.findall((t or "").translate(LOW))
+    common = set(fingerprints.ANCHORS.split())
+    out = {(x,) for x in w} | {("chain", *w[i : i + 3]) for i in range(len(w))}
+    for i, x in enumerate(w):
+        if x in common:
+            out.add(("chain", x, *[y for y in w[i + 1 :] if y not in common][:2]))
+    return out or ({t} if t else set())
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints(spark, texts, docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
+    prose = ["The cat and the dog ran to the house of a friend.", "the cat and the bird ran to the house of a friend", "Das ist ein Haus und der Hund", "!!", "!!", "?", "the a of"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(prose)]
+    table = spark.createDataFrame([(*r, "b", 1) for r in rows], "doc_id long, text string, bucket string, hash int").repartition(3)
+    order = sorted(rows, reverse=True)
+    got = {x.doc_id: x for x in fingerprints.fingerprints(table).collect()}
+    assert len(got) == len(rows)
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
         new = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
-    assert got[10].fingerprint == got[len(texts) - 3].fingerprint
+        assert got[d].near_edited == pytest.approx(alike(spots(t), spots(new))) and got[d].near_next == pytest.approx(alike(spots(t), spots(n)))
+    prints = {}
+    for d, t in rows:
+        prints.setdefault(frozenset(spots(t)), set()).add(got[d].fingerprint)
+        assert len(got[d].fingerprint) == 16 * len(spots(t))
+    assert all(len(x) == 1 for x in prints.values()) and len({y for x in prints.values() for y in x}) == len(prints)
     assert fingerprints.fingerprints(empty(spark)).count() == 0
+    # Many rows without an id and many of one id are divided, and each has the next in order.
+    rows = [(None, f"n{i} x") for i in range(60)] + [(5, f"m{i} y") for i in range(60)] + [(i, f"o{i}") for i in range(3, 9)]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    halves = {hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for _, t in rows for _, n in rows}
+    assert len(found) == len(rows) and {x.edited_sha256 for x in found} <= halves
+
+
+def test_spot_near_duplicates(spark, texts, edits):
+    rows = [t for t in texts[:40]] + edits[:60] + edits[300:340]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_signatures, x.component_id) for x in fingerprints.near_duplicates(docs).collect()}
+    sets = [spots(t) for t in rows]
+    assert got == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, brute_components(sets)))}
+    assert fingerprints.near_duplicates(empty(spark)).count() == 0
 
 
 def test_toxicity(spark):
