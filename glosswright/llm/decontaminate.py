@@ -95,7 +95,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     ``hits`` lists the covered word spans as ``(start, end)``. Null and empty texts have no words, are never hit and hit nothing; repeated
     document rows each get their own result; repeated items count once per ``item_id``, and a null ``item_id`` is no item. With an empty
-    benchmark nothing is hit. Columns other than the ids and texts are ignored.
+    benchmark nothing is hit, and no documents give no rows. Columns other than the ids and texts are ignored; null ids are like others. Texts are read whole: a task
+    holds some 60 bytes for each word of the longest.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -174,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark window occurs in, with all their columns.
 
-    Rows that share a ``doc_id`` (null included) stay or go together.
+    Rows that share a ``doc_id`` (null included) stay or go together. Null and empty texts stay; an empty table gives an empty result.
     """
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -170,7 +170,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document row: ``doc_id, n_words, n_removed, kept_sha256, kept``.
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller integer ``doc_id``. Null ids count as larger than all others and
-    as equal; rows that share an id don't remove each other's words. Null and empty texts have no words. ``kept`` holds the words left, one space apart.
+    as equal; rows that share an id don't remove each other's words. Null and empty texts have no words. ``kept`` holds the words left, one space apart. Other
+    columns are ignored; an empty table gives an empty result. Whole texts are compared: a task holds some 200 bytes for each word of the longest.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -1,6 +1,7 @@
 """URL filter: rules first; for all other pages a list of canonical URLs, of which a blocked Bloom filter passes the possible hits to an exact join.
 
-The filter is a table of at most 2 ** 16 blocks of 512 bits and is broadcast whatever the length of the list. A page looks into one block.
+The filter is a table of blocks of 512 bits, of which there are enough for 16 bits a URL. A page looks into one block. Up to ``MOST_BLOCKS`` blocks (4 MB) the filter is broadcast;
+for longer lists it is joined by block, so it never fills up.
 Only columns and SQL functions are used.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswright.session import written
+
 #: ``(host, path, verdict)``; the longest that fits decides.
 RULES = (
     ("org", "/", "allow"),
@@ -67,19 +70,21 @@ def judged(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFra
 
     ``listed`` has the URLs to block in its column ``url``; they are made canonical here. ``rules`` are a short fixed list (they become one CASE);
     they go before the list. A page that no rule fits is blocked if its canonical URL is on the list, else allowed. Null URLs and those without
-    ``://`` have an empty host and path, fit no rule, are on no list and are allowed. Repeated pages and list entries, an empty list and extra
-    columns don't matter.
+    ``://`` have an empty host and path, fit no rule, are on no list and are allowed. Repeated pages and list entries, null ids, an empty list and extra
+    columns don't matter; no pages give no rows. Long URLs are judged whole.
     """
     url = F.col("url")
     pages = pages.select("page_id", "url").select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("canonical"))
     name, verdict = _rule(rules, F.col("host"), F.col("path"))
     pages = pages.withColumn("rule", name).withColumn("ruled", verdict)
-    listed = listed.select(canonical(url).alias("canonical")).where("canonical IS NOT NULL").distinct()
+    listed = written(listed.select(canonical(url).alias("canonical")).where("canonical IS NOT NULL").distinct(), "listed")
     blocks = 64
     n = listed.count()
-    while blocks < MOST_BLOCKS and blocks * 512 < 16 * n:
+    while blocks * 512 < 16 * n:
         blocks *= 2
-    filter_ = F.broadcast(bloom_blocks(listed, blocks))
+    filter_ = bloom_blocks(listed, blocks)
+    if blocks <= MOST_BLOCKS:
+        filter_ = F.broadcast(filter_)
     probed = pages.withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(blocks))).join(filter_, "block", "left")
     hit = F.forall(_bits(F.col("canonical")), lambda p: F.expr("words")[p["word"]].isNotNull() & (F.call_function("shiftrightunsigned", F.expr("words")[p["word"]], p["bit"]).bitwiseAND(1) == 1))
     probed = probed.withColumn("possible", F.col("canonical").isNotNull() & F.col("ruled").isNull() & F.coalesce(hit, F.lit(False))).drop("block", "words")

@@ -25,6 +25,8 @@ from glosswright.session import scratch_path, ship, written
 LEAST_REVISIT = 100
 DATE = "2000-01-01T00:00:00Z"
 _READ = 1 << 20
+#: Names that Spark's file systems have for those of pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 INDEX = "archive string, offset bigint, length bigint, type string, record string"
 
 
@@ -42,10 +44,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def record(pages: DataFrame) -> Column:
-    """The text of a WARC record; revisits have no block."""
+    """The text of a WARC record: of a response with an HTTP head and the payload as its block; revisits have no block."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(pages[c].cast("string"), F.lit("")), F.lit(">"))
-    revisit = pages["first"].isNotNull()
+    revisit, size = pages["first"].isNotNull(), pages["payload_bytes"].cast("string")
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", size), F.lit("\r\n"))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -53,12 +56,12 @@ def record(pages: DataFrame) -> Column:
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(pages["url"], F.lit("")), r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), pages["payload_digest"])),
-        line("WARC-Payload-Length", pages["payload_bytes"].cast("string")),
+        line("WARC-Payload-Length", size),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn("first")))).otherwise(""),
-        line("Content-Type", F.lit("text/html")),
-        line("Content-Length", F.when(revisit, "0").otherwise(pages["payload_bytes"].cast("string"))),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.when(revisit, "0").otherwise((pages["payload_bytes"] + F.octet_length(head)).cast("string"))),
         F.lit("\r\n"),
-        F.when(revisit, "").otherwise(pages["payload"]),
+        F.when(revisit, "").otherwise(F.concat(head, pages["payload"])),
     )
 
 
@@ -67,15 +70,27 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
     pages.select(record(pages).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def _records(read) -> Iterator[bytes]:
-    """Records, without their closing line ends, of a gzip stream of one or many members."""
-    inflate, data, want, head = zlib.decompressobj(31), bytearray(), -1, -1
+def _inflated(read) -> Iterator[bytes]:
+    """The bytes of a gzip stream of one or many members, at most ``_READ`` at a time however well they were compressed."""
+    inflate = zlib.decompressobj(31)
     while chunk := read(_READ):
         while chunk:
-            data += inflate.decompress(chunk)
-            chunk = inflate.unused_data
+            out = inflate.decompress(chunk, _READ)
+            yield out
+            # What a full piece leaves inside the decompressor comes with the next calls.
+            while len(out) == _READ and not inflate.unconsumed_tail and not inflate.eof:
+                out = inflate.decompress(b"", _READ)
+                yield out
+            chunk = inflate.unconsumed_tail
             if inflate.eof:
-                inflate = zlib.decompressobj(31)
+                chunk, inflate = inflate.unused_data, zlib.decompressobj(31)
+
+
+def _records(read) -> Iterator[bytes]:
+    """Records, without their closing line ends, of a gzip stream."""
+    data, want = bytearray(), -1
+    for piece in _inflated(read):
+        data += piece
         done = 0
         while True:
             if want < 0:
@@ -101,7 +116,9 @@ def fields(head: bytes) -> dict[str, str]:
 def _open(path: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    path = path if "://" in path else path.replace("file:", "file://", 1)
+    scheme, sep, rest = path.partition("://")
+    return FileSystem.from_uri(SCHEMES.get(scheme, scheme) + sep + rest)
 
 
 def _normalise(out: str):
@@ -134,7 +151,8 @@ def _normalise(out: str):
 def normalised(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Normalises every gzip file under ``path`` into ``out``, a folder that executors share; the index: ``archive, offset, length, type, record``.
 
-    One task a file, since a stream can't be split. ``path`` and ``out`` are in a store that pyarrow's file systems reach.
+    One task a file, since a stream can't be split. ``path`` and ``out`` are in a store that pyarrow's file systems reach (local, S3,
+    GCS, HDFS, Azure; Spark's names of these are translated).
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path")
@@ -154,7 +172,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rec = zlib.decompress(stream.read(length), 31)
             cut = rec.index(b"\r\n\r\n")
             f = fields(rec[:cut])
-            payload, digest = rec[cut + 4 : -4], f["WARC-Payload-Digest"].removeprefix("sha256:")
+            block, digest = rec[cut + 4 : -4], f["WARC-Payload-Digest"].removeprefix("sha256:")
+            payload = block[block.index(b"\r\n\r\n") + 4 :] if f["WARC-Type"] == "response" else b""
             if f["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"{archive} at {offset}: the payload does not match its digest")
             page = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None
@@ -174,7 +193,8 @@ def read_archives(index: DataFrame) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Pages through monolithic archives, the normaliser and the reader: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    One row per page row; a null html is an empty payload, null ids and URLs come back null and empty. An empty table gives no archive and no rows.
+    One row per page row; a null html is an empty payload, null ids and URLs come back null and empty. An empty table gives no archive and no rows. Repeated ids and
+    extra columns don't matter. The join that finds revisits moves payloads by digest; Spark splits a digest that many pages have, as the other side has one row for it.
     """
     spark = pages.sparkSession
     raw, out = scratch_path(spark, "warc"), scratch_path(spark, "members")

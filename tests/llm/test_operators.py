@@ -342,6 +342,56 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_warc_streams():
+    """Records from one member, from several, and one that inflates to a thousand times its size in pieces."""
+    import gzip
+    import io
+
+    rec = lambda body: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    bodies = [b"a", b"", b"x\r\n\r\ny" * 10, b"0" * 30_000_000, b"end"]
+    whole = b"".join(rec(b) + b"\r\n\r\n" for b in bodies)
+    for raw in (gzip.compress(whole), b"".join(gzip.compress(rec(b) + b"\r\n\r\n") for b in bodies), gzip.compress(whole[:50]) + gzip.compress(whole[50:])):
+        assert max(map(len, warc._inflated(io.BytesIO(raw).read))) <= 1 << 20
+        assert list(warc._records(io.BytesIO(raw).read)) == [rec(b) for b in bodies]
+    with pytest.raises(ValueError):
+        list(warc._records(io.BytesIO(gzip.compress(whole[:-30])).read))
+
+
+def test_warc_edges(spark):
+    long = "<p>" + "z" * 500_000
+    rows = [(None, "u", "b" * 200, "c"), (3, "u", "b" * 200, "c"), (3, "v", "b" * 200, "c"), (4, None, long, "c"), (5, "u", long, "c"), (6, "u", "e" * 99, "c"), (7, "u", "e" * 99, "c")]
+    got = sorted((x.page_id or 0, x.record_type, x.refers_to or 0, x.payload_bytes) for x in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string, payload string")).collect())
+    assert got == [(0, "revisit", 3, 200), (3, "response", 0, 200), (3, "response", 0, 200), (4, "response", 0, 500_003), (5, "revisit", 4, 500_003), (6, "response", 0, 99), (7, "response", 0, 99)]
+    assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_url_filter_is_exact(spark, monkeypatch):
+    """What the filter passes wrongly the join removes, with a broadcast filter and with one joined by block; null ids and clashing columns don't matter."""
+    pages = spark.createDataFrame([(i if i % 7 else None, f"http://h{i % 400}.net/p{i % 3}", "x", True) for i in range(1200)], "page_id long, url string, canonical string, listed boolean")
+    on_list = spark.createDataFrame([(f"https://www.h{i}.net/p1/",) for i in range(0, 400, 2)], "url string")
+    for most, probes in ((urls.MOST_BLOCKS, 4), (1, 4), (1, 0)):
+        monkeypatch.setattr(urls, "MOST_BLOCKS", most)
+        monkeypatch.setattr(urls, "PROBES", probes or 1)
+        got = urls.judged(pages, on_list).collect()
+        assert len(got) == 1200
+        assert all((x.verdict == "block") == (int(x.host[1:-4]) % 2 == 0 and x.path == "/p1") for x in got)
+    assert urls.judged(pages.limit(0), on_list).count() == 0 and urls.judged(pages, on_list.limit(0)).where("verdict = 'block'").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    words = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(3)]
+    rows = [(None, words[0]), (None, words[0]), (1, words[0]), (2, words[1]), (2, words[1]), (2, words[2]), (9, words[2] + " end")]
+    docs = spark.createDataFrame([(*r, "e", 1, "f") for r in rows], "doc_id long, text string, item_id string, n_hit int, name string")
+    bench = spark.createDataFrame([(7, words[0], "x")], "item_id long, text string, words string")
+    got = sorted((x.doc_id or 0, x.n_hit) for x in decontaminate.contamination(docs, bench).collect())
+    assert got == [(0, 30), (0, 30), (1, 30), (2, 0), (2, 0), (2, 0), (9, 0)]
+    assert sorted(x.doc_id for x in decontaminate.decontaminated(docs, bench).collect()) == [2, 2, 2, 9]
+    got = sorted((x.doc_id or 0, x.n_words, x.n_removed) for x in repeats.without_repeats(docs).collect())
+    assert got == [(0, 30, 30), (0, 30, 30), (1, 30, 0), (2, 30, 0), (2, 30, 0), (2, 30, 0), (9, 31, 30)]
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id) for x in similar.near_duplicates(docs).collect())
+    assert got == [(0, 26, 1), (0, 26, 1), (1, 26, 1), (2, 26, 2), (2, 26, 2), (2, 26, 2), (9, 27, 2)]
+
+
 def test_fingerprints(spark, texts, docs, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     prose = ["The cat and the dog ran to the house of a friend.", "the cat and the bird ran to the house of a friend", "Das ist ein Haus und der Hund", "!!", "!!", "?", "the a of"]
