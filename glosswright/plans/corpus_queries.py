@@ -17,7 +17,7 @@ from glosswright.plans import gate as g
 from glosswright.plans.queries import query, read
 from glosswright.session import scratch_path, written
 from glosswright.sources import files, sinks
-from glosswright.streaming.ingest import posts_of
+from glosswright.streaming.ingest import ingest, posts_of
 
 # The feed: a response for each customer, with a post of one picture that counts, a malformed line, and a bare id.
 
@@ -55,6 +55,21 @@ def feed_posts(spark, d):
     return posts_of(_responses(spark, d), "c_custkey", "g", t.LETTERS).select(*columns)
 
 
+@query(f"""
+SELECT {_ID} AS post_id, c_mktsegment AS caption, 1 AS n, true AS marked FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0""")
+def ingested_posts(spark, d):
+    """The feed landed as files and ingested as a stream; a second run takes new files that repeat what the first had. Each kept post is there once and marked."""
+    landed, posts, seen, cursor, checkpoint = (scratch_path(spark, name) for name in ("landed", "posts", "seen", "cursor", "checkpoint"))
+    rows = _responses(spark, d).withColumn("received_at", F.timestamp_seconds(F.col("c_custkey")))
+    for part in (F.col("c_custkey") % 2 == 0, F.lit(True)):
+        rows.where(part).drop("c_custkey").write.mode("append").json(landed)
+        ingest(files.responses(spark, landed, "FeedQuery", stream=True), posts, seen, cursor, checkpoint, "g", kept=t.LETTERS).awaitTermination()
+    found = spark.read.schema("post_id string, caption string").json(posts)
+    counted = found.groupBy("post_id").agg(F.first("caption").alias("caption"), F.count("*").cast("int").alias("n"))
+    marked = files.seen_ids(spark, seen).select("post_id", F.lit(True).alias("marked"))
+    return counted.join(marked, "post_id", "left").select("post_id", "caption", "n", F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
 def _feed_tree(spark, d) -> DataFrame:
     return written(j.walked(files.response_lines(_responses(spark, d), ["c_custkey"]), ["c_custkey", "line_no"]), "feed")
 
