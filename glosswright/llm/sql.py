@@ -34,7 +34,8 @@ WITH rules(site, start, says) AS (VALUES {rules}),
 parts AS (SELECT row_number() OVER () AS r, page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host,
                  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'),
                  lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS asked FROM pages),
-canon AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS c FROM parts),
+sites AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), CASE WHEN regexp_matches(url, '^[Hh][Tt][Tt][Pp][Ss]:') THEN ':443$' ELSE ':80$' END, ''), '^www\\.', '') AS site FROM parts),
+canon AS (SELECT *, CASE WHEN contains(url, '://') THEN site || regexp_replace(path, '/+$', '') || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS c FROM sites),
 listed AS (SELECT c FROM canon WHERE c IS NOT NULL GROUP BY c HAVING count(*) > 1),
 fits AS (SELECT r, arg_max(site || start, length(site || start)) AS rule, arg_max(says, length(site || start)) AS says
          FROM parts JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY r)

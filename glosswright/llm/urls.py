@@ -36,11 +36,15 @@ def path(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host without ``www.``, path without a closing slash, sorted query without tracking parameters; null for what has no ``://``."""
+    """Host without user, usual port and ``www.``, path without a closing slash, sorted query without tracking parameters; null for what has no ``://``. Percent escapes
+    are left as they are."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(_TRACKING)))
     asked = F.array_join(kept, "&")
-    site = F.regexp_replace(host(url), r"^www\.", "")
+    site = F.regexp_replace(host(url), "^[^@]*@", "")
+    port = F.when(url.rlike("^[Hh][Tt][Tt][Pp][Ss]:"), ":443").otherwise(":80")
+    site = F.when(F.endswith(site, port), F.substring(site, F.lit(1), F.length(site) - F.length(port))).otherwise(site)
+    site = F.regexp_replace(site, r"^www\.", "")
     return F.when(F.contains(url, F.lit("://")), F.concat(site, F.regexp_replace(path(url), "/+$", ""), F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise("")))
 
 

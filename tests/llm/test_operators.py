@@ -194,6 +194,9 @@ def test_urls(spark):
     assert got[2][2:] == ("com/fr/", "allow") and got[3][2:] == ("com/de/", "block")
     assert got[4][2:] == got[5][2:] == (None, "block") and got[8] == ("c.net", "", None, "allow")
     assert got[6] == got[7] == ("", "", None, "allow")
+    forms = ["http://b.net/p", "https://WWW.B.net:443/p/", "http://me:pw@b.net:80/p?ref=1", "https://b.net:80/p", "http://b.net:8080/p"]
+    pages = spark.createDataFrame(list(enumerate(forms)), "page_id long, url string")
+    assert [x.verdict for x in urls.judged(pages, pages.limit(1)).orderBy("page_id").collect()] == ["block", "block", "block", "allow", "allow"]
 
 
 def test_licenses(spark):
