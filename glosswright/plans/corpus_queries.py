@@ -14,7 +14,7 @@ from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import funnel as fu
 from glosswright.plans import gate as g
-from glosswright.plans.queries import query, read
+from glosswright.plans.queries import _layouts, box_clean_sql, query, read
 from glosswright.session import scratch_path, written
 from glosswright.sources import files, sinks
 from glosswright.streaming.ingest import ingest, posts_of
@@ -107,7 +107,8 @@ def seen_marks(spark, d):
     """Ids marked in three passes that overlap: each is there once."""
     path = scratch_path(spark, "seen")
     ids = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("post_id"), "o_orderkey")
-    spark.createDataFrame([], "post_id string, timestamp timestamp").write.parquet(path)
+    for _ in range(2):
+        sinks.ensure_table(spark, path, "post_id string, timestamp timestamp")
     for part in (F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 > 0, F.lit(True)):
         sinks.mark_seen(ids.where(part), written(files.seen_ids(spark, path), "known"), path)
     return files.seen_ids(spark, path).groupBy("post_id").agg(F.count("*").cast("int").alias("n"))
@@ -144,6 +145,29 @@ def document_errors(spark, d):
     return files.error_counts(spark, _nation_files(spark, d), "post_id string, columns int")
 
 
+@query("SELECT 'nation=n' || n_nationkey AS folder, 1 AS n_files FROM nation")
+def folder_listing(spark, d):
+    return files.folders(spark, _nation_files(spark, d)).where("folder LIKE 'nation=%'")
+
+
+@query("""
+SELECT 'nation=n' || n_nationkey AS folder, '{' || chr(10) || ' "post_id": "' || n_nationkey || '",' || chr(10) || ' "columns": ' || n_nationkey || chr(10) AS text, 2 AS n FROM nation WHERE n_nationkey % 4 = 3""")
+def error_table(spark, d):
+    """Unreadable documents of two runs in the error table."""
+    path, errors = _nation_files(spark, d), scratch_path(spark, "errors")
+    for _ in range(2):
+        sinks.append_errors(files.documents(spark, path, "post_id string, columns int", "quarantine"), errors)
+    return spark.read.parquet(errors).groupBy("folder", "text").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT 'n_' || n_nationkey AS folder, 'n:' || n_nationkey AS post_id, n_name AS caption FROM nation")
+def exported_posts(spark, d):
+    path = scratch_path(spark, "export")
+    rows = read(spark, d, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("post_id"), F.col("n_name").alias("caption"))
+    sinks.export_posts(rows, path)
+    return spark.read.schema("post_id string, caption string, folder string").json(path).select("folder", "post_id", "caption")
+
+
 @query("""
 SELECT 'nation=n' || n_nationkey AS folder, '{' || chr(10) || ' "post_id": "' || n_nationkey || '",' || chr(10) || ' "columns": ' || n_nationkey || CASE WHEN n_nationkey % 4 = 3 THEN '' ELSE chr(10) || '}' END AS caption FROM nation""")
 def caption_files(spark, d):
@@ -355,6 +379,24 @@ def allocated_text(spark, d):
     return rows.select("l_orderkey", "counts", F.transform("lines", F.length).alias("lengths"), F.length(F.array_join("lines", "")).alias("total"))
 
 
+_COUNTS = "list_transform({h}, lambda x: CAST(round_even(x / list_sum({h}) * n, 0) AS INT))"
+_GIVEN = "list_transform({c}, lambda x, i: CASE WHEN i = list_position({c}, list_max({c})) THEN x + n - list_sum({c}) ELSE x END)"
+_ORPHAN = "coalesce(list_min(list_filter({g}, lambda x: x > 0)) = 1 AND list_max({g}) >= 3, false)"
+
+
+@query(f"""
+{box_clean_sql()},
+h AS (SELECT l_orderkey, CAST(3 + l_orderkey % 23 AS INT) AS n, l_orderkey % 5 AS read, list_transform(c, lambda x: x.h) AS hb, list_transform(CASE WHEN len(f) = 0 THEN c ELSE f END, lambda x: x.h) AS ha FROM free WHERE len(c) > 0),
+k AS (SELECT *, {_COUNTS.format(h="hb")} AS cb, {_COUNTS.format(h="ha")} AS ca FROM h), z AS (SELECT *, {_GIVEN.format(c="cb")} AS gb, {_GIVEN.format(c="ca")} AS ga FROM k)
+SELECT count(*) AS n, count(*) FILTER (len(hb) <> len(ha)) AS changed, count(*) FILTER (read > 0 AND len(hb) > read) AS extra_before, count(*) FILTER (read > 0 AND len(ha) > read) AS extra_after,
+  count(*) FILTER ({_ORPHAN.format(g="gb")}) AS orphan_before, count(*) FILTER ({_ORPHAN.format(g="ga")}) AS orphan_after FROM z""")
+def column_qa(spark, d):
+    """Columns before and after cleaning, against the lines that a reading has and by lines of one character."""
+    k = F.col("l_orderkey")
+    rows = _layouts(spark, d).where(F.size("columns") > 0).withColumn("label", F.repeat(F.lit("x"), (3 + k % 23).cast("int")))
+    return g.column_qa(rows.withColumn("ocr", F.repeat(F.lit("y\n"), (k % 5).cast("int"))), t.LETTERS)
+
+
 # The gate and the funnel.
 
 _KEPT = "regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswright.functions import boxes as b
 from glosswright.functions import text as t
 from glosswright.functions.similarity import aligned
+from glosswright.operators.relational import tallies
 from glosswright.session import ship
 
 THRESHOLD = 75.0
@@ -58,3 +59,20 @@ def regate(samples: DataFrame, kept: str = t.HAN, simplify: dict[str, str] | Non
         old = F.coalesce(f"{name}_v1", name) if f"{name}_v1" in samples.columns else F.col(name)
         out = out.withColumn(f"{name}_v1", old).withColumn(name, F.coalesce(now, name)).drop(now)
     return out.withColumn("fixes_applied", F.array(*map(F.lit, FIXES[:3])))
+
+
+def column_qa(rows: DataFrame, kept: str = t.HAN) -> DataFrame:
+    """Counters of cleaning over ``columns, signatures, label, ocr``: posts, those whose columns changed, those with more columns than the reading has lines, and those with
+    an orphan line, before and after."""
+    flat = t.keep_chars(F.col("label"), kept)
+    rows = rows.withColumn("clean_", b.clean_columns(F.col("columns"), F.col("signatures"))).withColumn("read_", F.size(t.line_counts(F.col("ocr"), kept)))
+    cut = lambda boxes: b.has_orphan(b.allocated_lines(flat, F.transform(boxes, lambda c: c["height"])))
+    rows = rows.withColumn("before_", cut("columns")).withColumn("after_", cut("clean_"))
+    return tallies(
+        rows,
+        changed=F.size("columns") != F.size("clean_"),
+        extra_before=(F.col("read_") > 0) & (F.size("columns") > F.col("read_")),
+        extra_after=(F.col("read_") > 0) & (F.size("clean_") > F.col("read_")),
+        orphan_before=F.col("before_"),
+        orphan_after=F.col("after_"),
+    )

@@ -334,7 +334,9 @@ _SIDES = "greatest(0.0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * grea
 _INTER = lambda a, b: _SIDES.format(a=a, b=b)
 
 
-@query(f"""
+def box_clean_sql() -> str:
+    """The columns ``c`` of each order, and ``f``, what cleaning leaves of them."""
+    return f"""
 WITH boxes AS (SELECT l_orderkey, l_linenumber AS n, (l_partkey % 300)::DOUBLE AS x1, (l_suppkey % 100)::DOUBLE AS y1, (l_partkey % 300 + 20 + l_quantity)::DOUBLE AS x2, (l_suppkey % 100 + 100 + l_quantity * 4)::DOUBLE AS y2,
   l_discount < 0.02 AS signature, 0.2 + l_tax * 10 >= 0.25 AS sure FROM lineitem),
 placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY -(x1 + x2) / 2, n, x1, y1, x2, y2) AS i, (x1 + x2) / 2 AS cx, y2 - y1 AS h, greatest(0.0, x2 - x1) * greatest(0.0, y2 - y1) AS a FROM boxes WHERE sure),
@@ -342,7 +344,11 @@ lists AS (SELECT o.l_orderkey, coalesce(list({{'k': -a, 'i': i, 'x1': x1, 'y1':
   coalesce(list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY i) FILTER (signature), []) AS s FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN placed USING (l_orderkey) GROUP BY o.l_orderkey),
 single AS (SELECT *, list_sort(list_filter(c, lambda x: len(list_filter(c, lambda y: x.i <> y.i AND y.a > 0 AND {_INTER('x', 'y')} >= 0.7 * y.a)) < 2)) AS o FROM lists),
 kept AS (SELECT *, CASE WHEN len(o) > 0 THEN list_reduce(list_transform(o, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: {_INTER('y[1]', 'k')} / y[1].a >= 0.75)) = 0 THEN list_concat(acc, y) ELSE acc END) ELSE [] END AS r FROM single),
-free AS (SELECT *, list_filter(r, lambda x: len(list_filter(s, lambda g: g.y2 - g.y1 < 0.5 * list_max(list_transform(c, lambda b: b.h)) AND {_INTER('x', 'g')} / x.a >= 0.6)) = 0) AS f FROM kept)
+free AS (SELECT *, list_filter(r, lambda x: len(list_filter(s, lambda g: g.y2 - g.y1 < 0.5 * list_max(list_transform(c, lambda b: b.h)) AND {_INTER('x', 'g')} / x.a >= 0.6)) = 0) AS f FROM kept)"""
+
+
+@query(f"""
+{box_clean_sql()}
 SELECT l_orderkey, len(c)::INT AS before, CASE WHEN len(f) = 0 THEN len(c) ELSE len(f) END::INT AS after,
   list_transform(list_sort(list_transform(CASE WHEN len(f) = 0 THEN c ELSE f END, lambda x: {{'i': x.i, 'cx': x.cx}})), lambda x: x.cx) AS centers FROM free""")
 def box_clean_nms(spark, d):

@@ -79,6 +79,12 @@ def folder(path):
     return F.regexp_extract(path, r"([^/]+)/[^/]*$", 1)
 
 
+def folders(spark: SparkSession, path: str) -> DataFrame:
+    """The names of folders that hold files under ``path``, with their number of files. No file is opened."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select(folder(F.col("path")).alias("folder")).groupBy("folder").agg(F.count("*").alias("n_files"))
+
+
 def captions(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame:
     """``folder, caption`` of whole text files."""
     rows = spark.read.text(path, wholetext=True).select(folder(F.col("_metadata.file_path")).alias("folder"), F.coalesce("value", F.lit("")).alias("caption"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions.text import safe_id
@@ -19,6 +19,23 @@ def append_posts(posts: DataFrame, path: str, with_images_only: bool = False) ->
     posts.withColumn("folder", safe_id(F.col("post_id"))).write.mode("append").json(path)
 
 
+def export_posts(posts: DataFrame, path: str) -> None:
+    """Each post as a document in a folder of its own, under its sanitised id."""
+    posts.withColumn("folder", safe_id(F.col("post_id"))).repartition("folder").write.mode("append").partitionBy("folder").json(path)
+
+
+def ensure_table(spark: SparkSession, path: str, schema: str) -> None:
+    """Makes an empty table where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([], schema).write.parquet(path)
+
+
+def append_errors(rows: DataFrame, path: str) -> None:
+    """Appends unreadable documents (``folder``, ``_corrupt_record``) to an error table, with the time."""
+    rows.select("folder", F.col("_corrupt_record").alias("text"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
 def mark_seen(ids: DataFrame, seen: DataFrame, path: str) -> None:
     """Appends the ids that aren't in the seen table; a repeat changes nothing."""
     new = unseen(ids.select("post_id").distinct(), seen, "post_id")
