@@ -129,6 +129,50 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN sums USING (r)"""
 
 
+def op12_spelling(least_length: int = 5, least_count: int = 3, factor: int = 2, cut: int = 97) -> str:
+    """The checksum byte by byte from a table of 256 remainders; near words through the words that one deletion leaves of them."""
+    step = "CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384::BIGINT) ELSE {x} >> 1 END"
+    levels = ", ".join(f"t{k} AS (SELECT n, {step.format(x='v')} AS v FROM t{k - 1})" for k in range(1, 9))
+    return f"""
+WITH RECURSIVE t0 AS (SELECT n, n::BIGINT AS v FROM range(256) x(n)), {levels}, tab AS (SELECT list(v ORDER BY n) AS tab FROM t8),
+runs AS (SELECT doc_id, {_low("run")} AS run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT run, k, list_concat([4294967295::BIGINT], list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::BIGINT)) AS b
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs)),
+sums AS (SELECT run, k, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM bytes, tab),
+cuts AS (SELECT CASE WHEN h % {cut} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM sums),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM cuts WHERE length(word) >= {least_length} GROUP BY word HAVING sum(k) >= {least_count}),
+less AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+met AS (SELECT x.word AS a, y.word AS b, y.n FROM less x JOIN less y USING (rest) WHERE x.word <> y.word AND length(x.word) = length(y.word)
+  AND len(list_filter(range(1, length(x.word) + 1), lambda i: substr(x.word, i::INT, 1) <> substr(y.word, i::INT, 1))) = 1),
+other AS (SELECT l.word AS a, w.word AS b, w.n AS n_b, l.n AS n_a FROM less l JOIN words w ON l.rest = w.word),
+near AS (SELECT DISTINCT a, b, n FROM (SELECT a, b, n FROM met UNION ALL SELECT a, b, n_b FROM other UNION ALL SELECT b, a, n_a FROM other)),
+ranked AS (SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) AS k FROM near),
+forms AS MATERIALIZED (SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= {factor} * words.n THEN b END AS form, CASE WHEN r.n >= {factor} * words.n THEN r.n END AS form_n FROM words LEFT JOIN ranked r ON a = word AND k = 1),
+chain AS (SELECT word, word AS last, 0 AS far FROM forms UNION ALL SELECT chain.word, forms.form, far + 1 FROM chain JOIN forms ON forms.word = chain.last WHERE forms.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(last, far) AS root FROM chain GROUP BY word) USING (word)"""
+
+
+def op13_divergence(least_docs: int = 30, prior: int = 5, scale: int = 1_000_000_000, most_terms: int = 50) -> str:
+    """Every kept term with every group, group by group."""
+    share = "CAST(1 + ({s}::HUGEINT * (({n})::HUGEINT + {p})) // (({t})::HUGEINT + {p} * v) AS BIGINT)"
+    p = lambda n, t: share.format(s=scale, p=prior, n=n, t=t)
+    terms = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+c AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(regexp_extract_all({_low("text")}, '{terms}')) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING count(*) >= {least_docs}),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS t FROM kept GROUP BY lang),
+grps AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, sum(c.n) AS n FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, coalesce(sum(n), 0) AS t FROM grps LEFT JOIN own USING (lang, source) GROUP BY ALL),
+all_ AS MATERIALIZED (SELECT lang, source, term, coalesce(own.n, 0) AS n, {p("coalesce(own.n, 0)", "tot.t")} AS p, {p("kept.n", "langs.t")} AS q FROM tot JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN own USING (lang, source, term)),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM all_ x JOIN all_ y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM grps x JOIN grps y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM all_ WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {most_terms}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": op1_decontamination(),
@@ -139,4 +183,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": op6_warc(),
         "op8_mixing": op8_mixing(),
         "op9_secret_scan": op9_secret_scan(),
+        "op12_spelling_variants": op12_spelling(),
+        "op13_source_divergence": op13_divergence(),
     }

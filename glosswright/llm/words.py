@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
 
@@ -33,6 +35,14 @@ NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x30:0x3A] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 
+
+
+def ascii_lower(text: Column) -> Column:
+    """``A`` to ``Z`` in lower case, all else as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise hashes so that all bits depend on all bits."""
     x = (x ^ (x >> np.uint64(30))) * _M1

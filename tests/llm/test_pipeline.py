@@ -17,7 +17,9 @@ def test_run(spark, tmp_path):
     save(rows, "doc_id long, text string, lang string, source string, n_chars long", "documents")
     save([(1, passage)], "item_id long, text string", "benchmark")
     save([(i, 0, int(i >= 30)) for i in texts if i not in (5, 6)], "doc_id long, quality int, toxic int", "labels")
-    kept = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    mix = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {x.doc_id: x for x in mix}
+    assert len(mix) > len(kept) and len({(x.doc_id, x.copy) for x in mix}) == len(mix)
     clean = {0, *range(4, 30)}
     assert set(kept) <= clean and {5, 6} <= set(kept)
     assert all(x["taken"] > 0 for d, x in kept.items() if d not in (5, 6))
@@ -26,7 +28,7 @@ def test_run(spark, tmp_path):
     assert set(docs) == clean and "token=abcdefgh123" not in docs[4].text
     goal = {x.source: x.target for x in kept.values()}
     for source, target in goal.items():
-        assert abs(sum(x["taken"] for x in kept.values() if x.source == source) - target) <= 1
+        assert abs(sum(x["taken"] for x in mix if x.source == source) - target) <= 1
 
 
 def rows_before_mixing(spark, sf_dir):
