@@ -39,8 +39,9 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_LETTERS)
     Rows are first thinned to about twice as many as are wanted by their hash, for which only counts by language are needed, so that no language's rows meet in one task.
     """
     named = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) > 0).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    shares = named.groupBy("lang").agg(F.count("*").alias("rows"))
-    thin = named.join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < (2.0 * rows * (1 << 30)) / F.col("rows"))
+    counts = named.groupBy("lang").count().collect()  # a row for each language, of which the tables hold more
+    share = F.create_map(*[F.lit(v) for x in counts for v in (x.lang, 2.0 * rows / x["count"])])
+    thin = named.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) if counts else named
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     thin = thin.withColumn("k", first).where(F.col("k") <= rows).withColumn("text", letters(F.col("text"))).where("text <> ''")
     at = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
