@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from glosswright.functions import boxes as b
 from glosswright.functions import text as t
+from glosswright.functions.similarity import aligned, indel_ratio
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import funnel as fu
 from glosswright.plans import gate as g
 from glosswright.plans.queries import _layouts, box_clean_sql, query, read
-from glosswright.session import scratch_path, written
+from glosswright.session import scratch_path, ship, written
 from glosswright.sources import files, sinks
 from glosswright.streaming.ingest import ingest, posts_of
 
@@ -434,6 +435,69 @@ def realigned_samples(spark, d):
     return g.regate(samples, t.LETTERS).select("conv_id", "turn", "label", "label_v1", "leven_score", "leven_score_v1")
 
 
+# Readings that differ from their captions: lost, added, replaced and exchanged characters, variants, parts, and more than the caption has.
+
+#: The longest common subsequence of ``x`` (of ``a`` characters) and ``w``, a bit for each character of ``x``.
+_COMMON = """{a} - bit_count(list_reduce(list_prepend((1::HUGEINT << {a}) - 1, list_transform(string_split({w}, ''), lambda c: list_sum(list_transform(range(1, {a} + 1), lambda i: CASE WHEN substr({x}, i::INT, 1) = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT)),
+    lambda v, k: ((v + (v & k)) | (v - (v & k))) & ((1::HUGEINT << {a}) - 1)))"""
+_BAG = "list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length({w}) - length(replace({w}, c, '')))))"
+_READ = """
+WITH p AS (SELECT p_partkey AS k, regexp_replace(lower(p_name || p_type || p_brand), '[^a-z]+', '', 'g') AS b, p_size FROM part), q AS (SELECT *, CAST(p_size % length(b) AS INT) AS i FROM p),
+r AS (SELECT k, CASE WHEN k % 3 = 0 THEN replace(b, 'e', 'é') ELSE b END AS o, b AS y, CASE WHEN k % 11 = 0 THEN '' ELSE CASE k % 7 WHEN 0 THEN substr(b, 1, i) || substr(b, i + 2) WHEN 1 THEN substr(b, 1, i) || 'x' || substr(b, i + 1)
+    WHEN 2 THEN substr(b, 1, i) || 'q' || substr(b, i + 2) WHEN 3 THEN substr(b, i + 1, 9) WHEN 4 THEN substr(b, i + 1) || substr(b, 1, i) WHEN 5 THEN b || reverse(b) ELSE reverse(b) END END AS x FROM q)"""
+#: Every window is scored; of a shorter one every shift is.
+_ALIGNED = f"""{_READ},
+jobs AS (SELECT k, 0 AS way, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM r WHERE x <> '' UNION ALL SELECT k, 1, y, x FROM r WHERE length(x) = length(y)),
+spans AS (SELECT k, way, a, b, unnest(list_concat(list_transform(range(1, length(a)), lambda j: [0, j]), list_transform(range(length(b) - length(a) + 1), lambda j: [j, j + length(a)]), list_transform(range(length(b) - length(a) + 1, length(b)), lambda j: [j, length(b)]))) AS w FROM jobs),
+scored AS (SELECT k, way, w[1] AS s, w[2] AS e, 200.0::DOUBLE * ({_COMMON.format(a="length(a)", x="a", w="substr(b, w[1]::INT + 1, (w[2] - w[1])::INT)")}) / (length(a) + w[2] - w[1]) AS score FROM spans),
+tops AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY k, way ORDER BY score DESC, s, e DESC) = 1),
+best AS (SELECT r.*, greatest(t.score, coalesce(u.score, 0)) AS score, CASE WHEN length(x) > length(y) OR u.score > t.score THEN 0 ELSE t.s END AS s, CASE WHEN length(x) > length(y) OR u.score > t.score THEN length(y) ELSE t.e END AS e
+  FROM r JOIN tops t ON r.k = t.k AND t.way = 0 LEFT JOIN tops u ON r.k = u.k AND u.way = 1),
+shifts AS (SELECT *, s AS s2, e AS e2, -1 AS shift FROM best UNION ALL
+  SELECT * EXCLUDE (shift), greatest(0, s - shift), least(length(y), e + length(x) - (e - s) - shift), shift FROM (SELECT *, unnest(range(length(x) - (e - s) + 1)) AS shift FROM best WHERE e - s < least(length(x), length(y)))),
+bags AS (SELECT *, 200.0::DOUBLE * {_BAG.format(w="substr(y, s2::INT + 1, (e2 - s2)::INT)")} / (length(x) + e2 - s2) AS bag FROM shifts),
+found AS (SELECT k, round_even(score, 1) AS score, s::INT AS start, e::INT AS "end", substr(o, s2::INT + 1, (e2 - s2)::INT) AS label FROM bags QUALIFY row_number() OVER (PARTITION BY k ORDER BY bag DESC, shift) = 1)"""
+
+
+def _readings(spark, d) -> DataFrame:
+    """``k, x, y, o``: a reading, a caption of letters, and the caption as it is."""
+    k, b_, i = F.col("k"), F.col("y"), F.col("i")
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("k"), t.keep_chars(F.lower(F.concat("p_name", "p_type", "p_brand")), "a-z").alias("y"), "p_size")
+    rows = rows.withColumn("i", (F.col("p_size") % F.length("y")).cast("int"))
+    head, tail = F.left(b_, i), lambda skipped: F.substring(b_, i + 1 + skipped, F.length(b_))
+    kinds = [F.concat(head, tail(1)), F.concat(head, F.lit("x"), tail(0)), F.concat(head, F.lit("q"), tail(1)), F.substring(b_, i + 1, F.lit(9)), F.concat(tail(0), head), F.concat(b_, F.reverse(b_)), F.reverse(b_)]
+    x = F.when(k % 11 == 0, "").otherwise(F.get(F.array(*kinds), (k % 7).cast("int")))
+    return rows.select("k", x.alias("x"), "y", F.when(k % 3 == 0, F.replace(b_, F.lit("e"), F.lit("é"))).otherwise(b_).alias("o"))
+
+
+@query(f"""{_ALIGNED}
+SELECT r.k AS p_partkey, coalesce(score, 0.0) AS score, coalesce(start, 0)::INT AS start, coalesce("end", 0)::INT AS "end", coalesce(label, '') AS label FROM r LEFT JOIN found USING (k)""")
+def fuzzy_windows(spark, d):
+    """The window of each caption that is most similar to its reading, and the label, widened over variants and shifted where the window is short."""
+    ship(spark)
+    return _readings(spark, d).select(F.col("k").alias("p_partkey"), aligned("x", "y", "o").alias("a")).select("p_partkey", "a.*")
+
+
+@query(f"""{_READ} SELECT k AS p_partkey, CASE WHEN x = '' THEN 0.0 ELSE round_even(200.0::DOUBLE * ({_COMMON.format(a="length(x)", x="x", w="y")}) / (length(x) + length(y)), 1) END AS score FROM r""")
+def fuzzy_ratio(spark, d):
+    """Readings and whole captions compared as sequences."""
+    ship(spark)
+    return _readings(spark, d).select(F.col("k").alias("p_partkey"), F.bround(indel_ratio("x", "y"), 1).alias("score"))
+
+
+@query(f"""{_ALIGNED},
+gated AS (SELECT r.k, coalesce(score, 0.0) AS leven_score, CASE WHEN score >= 75 AND label <> '' THEN label END AS flat FROM r LEFT JOIN found USING (k)),
+cut AS (SELECT *, CAST(round_even(400.0::DOUBLE / 700 * length(flat), 0) AS INT) AS a, CAST(round_even(300.0::DOUBLE / 700 * length(flat), 0) AS INT) AS z FROM gated),
+one AS (SELECT *, CASE WHEN a >= z THEN length(flat) - z ELSE a END AS one FROM cut)
+SELECT k AS p_partkey, leven_score, CASE WHEN flat IS NULL THEN 'REJECT' ELSE 'SUCCESS' END AS status, CASE WHEN flat IS NOT NULL THEN array_to_string(list_filter([substr(flat, 1, one), substr(flat, one + 1)], lambda v: v <> ''), chr(10)) END AS label FROM one""")
+def fuzzy_gate(spark, d):
+    """The gate on readings that are like their captions more or less; variants are unified before, and the label has the caption's."""
+    box = lambda x, h: f"named_struct('bbox', array({x}D, 0D, {x + 40}D, {h}D), 'class', 0, 'conf', 0.9D, 'center_x', {x + 20}D, 'height', {h}D)"
+    columns = F.expr(f"array({box(100, 400)}, {box(101, 390)}, {box(0, 300)})")
+    rows = _readings(spark, d).select(F.col("k").alias("post_id"), F.col("o").alias("caption"), F.col("x").alias("reply"), columns.alias("columns"), F.slice(columns, 1, 0).alias("signatures"))
+    return g.gate(rows, kept="a-zé", simplify={"é": "e"}).select(F.col("post_id").alias("p_partkey"), "leven_score", "status", F.when(F.col("status") == "SUCCESS", F.col("label")).alias("label"))
+
+
 @query(f"""
 WITH p AS (SELECT doc_id, n_chars, lang, {_KEPT} AS own FROM documents),
 q AS (SELECT *, n_chars % 4 AS pics, CAST(n_chars % 3 AS INT) AS cols, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'zzzzqqqq' ELSE substr(own, 1, 6) END AS clean FROM p),

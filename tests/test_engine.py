@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,10 +74,11 @@ def test_clean_columns(spark, columns, signatures, left):
 
 def test_similarity(spark):
     assert round(s.ratio("kitten", "sitting"), 1) == 61.5
-    assert s.align("床前明月光", "題詩床前明月光疑是") == (100.0, 2, 7, "床前明月光")
-    assert s.align("丁甲乙丙", "地天甲乙丙") == (85.7, 2, 5, "甲乙丙")
-    assert s.align("乙甲丙丁", "天甲乙丙丁") == (85.7, 2, 5, "甲乙丙丁")
-    assert s.align("", "x")[0] == 0.0 and s.align("ab", "abc", "ab") == (None,) * 4
+    align = lambda a, c, o=None: s.align_all([(a, c, o or c)])[0]
+    assert align("床前明月光", "題詩床前明月光疑是") == (100.0, 2, 7, "床前明月光")
+    assert align("丁甲乙丙", "地天甲乙丙") == (85.7, 2, 5, "甲乙丙")
+    assert align("乙甲丙丁", "天甲乙丙丁") == (85.7, 2, 5, "甲乙丙丁")
+    assert align("", "x")[0] == 0.0 and align("ab", "abc", "ab") == (None,) * 4
     rng = random.Random(1)
     rows = [("".join(rng.choices("abc", k=rng.randint(0, 9))), "".join(rng.choices("abcd", k=rng.randint(0, 9)))) for _ in range(200)]
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", s.sorted_similarity(F.col("a"), F.col("b")).alias("x")).collect()
@@ -84,7 +86,7 @@ def test_similarity(spark):
     for a, c in rows:
         if 0 < len(a) < len(c):
             spans = [(i, k) for i in range(len(c)) for k in range(i + 1, len(c) + 1) if k - i == len(a) or k - i < len(a) and (i == 0 or k == len(c))]
-            assert s.best_window(a, c)[0] == max(s.ratio(a, c[i:k]) for i, k in spans)
+            assert s.best_windows([(a, c)])[0][0] == max(s.ratio(a, c[i:k]) for i, k in spans)
 
 
 def test_gate(spark):
@@ -149,14 +151,51 @@ def test_stream(spark, tmp_path):
     assert files.cursor(spark, f"{tmp_path}/cursor/*.txt").where("cursor IS NOT NULL").first().cursor == "c1"
 
 
-def test_best_window():
-    rng = random.Random(5)
-    for _ in range(300):
-        short, long = ("".join(rng.choice("abcd") for _ in range(rng.randint(*r))) for r in ((1, 9), (9, 25)))
+def naive_align(anchor, caption, original):
+    """Every window of the text, every shift of the rescue, by definition."""
+    if not anchor or not original:
+        return 0.0, 0, 0, ""
+    if caption is None or len(caption) != len(original):
+        return (None,) * 4
+
+    def best(short, long):
         m, n = len(short), len(long)
         spans = [(0, k) for k in range(1, m)] + [(i, i + m) for i in range(n - m + 1)] + [(i, n) for i in range(n - m + 1, n)]
-        score, start, end = max((s.ratio(short, long[i:k]), -i, k) for i, k in spans)
-        assert s.best_window(short, long) == (score, -start, end)
+        return max((s.ratio(short, long[i:k]), -i, k) for i, k in spans)
+
+    if len(anchor) > len(caption):
+        score, start, end = best(caption, anchor)[0], 0, len(caption)
+    else:
+        score, start, end = best(anchor, caption)
+        start = -start
+        if len(anchor) == len(caption) and best(caption, anchor)[0] > score:
+            score, start, end = best(caption, anchor)[0], 0, len(caption)
+    bag = lambda i, k: 200 * sum((Counter(anchor) & Counter(caption[i:k])).values()) / (len(anchor) + k - i)
+    chosen, missing = (start, end), len(anchor) - (end - start)
+    if missing > 0 and end - start < len(caption):
+        for before in range(missing + 1):
+            shifted = max(0, start - before), min(len(caption), end + missing - before)
+            if bag(*shifted) > bag(*chosen):
+                chosen = shifted
+    return round(score, 1), start, end, original[chosen[0] : chosen[1]]
+
+
+def test_best_windows():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    rows = [(text(rng.randint(0, 12)), text(rng.randint(0, 30))) for _ in range(500)]
+    rows += [(text(40), text(41)), (text(70), text(200)), ("", "ab"), ("ab", ""), ("a", "a"), ("\U0001f600é", "xé\U0001f600éy"), ("x" * 300, "y" * 400), ("ab" * 50, "ba" * 60)]
+    rows = [(a, c, c.upper()) for a, c in rows] + [(None, "ab", "ab"), ("ab", None, "ab"), ("ab", "ab", None), ("ab", "abc", "ab")]
+    assert s.align_all(rows) == [naive_align(*x) for x in rows]
+    # However many are compared together, and one after the other.
+    together, s.TOGETHER = s.TOGETHER, 1
+    try:
+        assert s.align_all(rows) == [s.align_all([x])[0] for x in rows]
+    finally:
+        s.TOGETHER = together
+    # A long text: the copy in it is found in one pass over it.
+    long = "".join(rng.choice("abcdefghij") for _ in range(40_000))
+    assert s.best_windows([(long[30_000:30_050], long)]) == [(100.0, long.index(long[30_000:30_050]), long.index(long[30_000:30_050]) + 50)]
 
 
 def test_pairs_are_whole(spark, tmp_path):
@@ -173,5 +212,5 @@ def test_pairs_are_whole(spark, tmp_path):
     spark.createDataFrame([(*x, "user") for x in turns], "conv_id long, turn int, text string, role string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x.turn: x for x in queries.window_align_gate(spark, str(tmp_path)).collect()}
     flat = ["".join(c for c in x[2] or "" if c.isalpha()) for x in turns]
-    assert {k: (x.score, x.start, x.end, x.label) for k, x in got.items()} == {k: s.align(flat[k - 1], flat[k], flat[k]) for k in (1, 2, 3)}
+    assert {k: (x.score, x.start, x.end, x.label) for k, x in got.items()} == {k: s.align_all([(flat[k - 1], flat[k], flat[k])])[0] for k in (1, 2, 3)}
     assert [got[k].status for k in (1, 2, 3)] == ["SUCCESS", "REJECT", "REJECT"]
