@@ -5,14 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from glosswright.functions import ids
 from glosswright.session import ship
 
-WALK = "pos int, depth int, parent int, path string, key string, type string, value string, scalar string"
+WALK = "pos int, depth int, parent int, path string, key string, type string, scalar string, fields map<string,string>, inner array<string>, filled boolean, value string"
+#: Keys whose values are wanted as text besides.
+TEXTS = ("node",)
+#: Nodes of a batch.
+NODES = 20_000
 
 
 def _kind(x: object) -> str:
@@ -22,8 +28,16 @@ def _kind(x: object) -> str:
     return "null"
 
 
-def walk(text: str) -> Iterator[tuple]:
-    """``pos, depth, parent, path, key, type, value, scalar`` of every node of a tree, in order; nothing for malformed text. No recursion."""
+def _scalar(x: object) -> str | None:
+    return x if isinstance(x, str) else None if x is None or isinstance(x, (dict, list)) else json.dumps(x)
+
+
+def walk(text: str | None, texts: tuple[str, ...] = TEXTS) -> Iterator[tuple]:
+    """``pos, depth, parent, path, key, type, scalar, fields, inner, filled, value`` of every node of a tree, in order; nothing for malformed text. No recursion.
+
+    An object has the scalars below it in ``fields`` and the names of the objects and arrays below it in ``inner``, so that what is found in an object needs no text of it;
+    ``value`` is the text of objects and arrays under ``texts`` alone. Null, an empty text, object or array aren't ``filled``.
+    """
     try:
         root = json.loads(text)
     except (ValueError, TypeError, RecursionError):
@@ -31,108 +45,162 @@ def walk(text: str) -> Iterator[tuple]:
     todo, pos = [(root, 0, -1, "$", None)], 0
     while todo:
         node, depth, parent, path, key = todo.pop()
-        kind = _kind(node)
-        inner = kind in ("object", "array")
-        scalar = None if inner or node is None else node if kind == "string" else json.dumps(node)
-        yield pos, depth, parent, path, key, kind, json.dumps(node, ensure_ascii=False), scalar
+        kind, fields, inner, value = _kind(node), None, None, None
         if kind == "object":
+            fields = [(k, x) for k, v in node.items() if (x := _scalar(v)) is not None]
+            inner = [k for k, v in node.items() if isinstance(v, (dict, list))]
             todo += [(v, depth + 1, pos, f"{path}.{k}", k) for k, v in reversed(node.items())]
         elif kind == "array":
             todo += [(v, depth + 1, pos, f"{path}[{i}]", None) for i, v in reversed(list(enumerate(node)))]
+        if kind in ("object", "array") and key in texts:
+            value = json.dumps(node, ensure_ascii=False)
+        yield pos, depth, parent, path, key, kind, _scalar(node), fields, inner, node is not None and node not in ("", [], {}), value
         pos += 1
 
 
-def walked(df: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
+def walked(df: DataFrame, keys: list[str], text: str = "line", texts: tuple[str, ...] = TEXTS) -> DataFrame:
     """The walk of each row's JSON text, with the row's ``keys``. A row's tree stays in one task; nothing is shuffled."""
     ship(df.sparkSession)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema] + [WALK])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, *(c.split()[0] for c in WALK.split(", "))]
-        for part in parts:
-            rows = []
-            for *own, line in part[[*keys, text]].itertuples(index=False):
-                rows += [(*own, *node) for node in walk(line)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+    df = df.select(*keys, F.col(text).alias("text_"))
+    kinds = StructType([*df.drop("text_").schema, *StructType.fromDDL(WALK)])
+    schema = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = schema.names[: len(keys)]
+        for batch in batches:
+            rows, of = [], []
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = zip(*rows) if rows else [[]] * (len(schema) - len(own))
+                return pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(of, pa.int32())) for i in range(len(own))] + [pa.array(x, t.type) for x, t in zip(columns, list(schema)[len(own) :])], schema=schema)
+
+            for i, line in enumerate(batch.column(len(own)).to_pylist()):
+                for node in walk(line, texts):
+                    rows.append(node)
+                    of.append(i)
+                    if len(rows) >= NODES:
+                        yield made()
+                        rows, of = [], []
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield made()
+
+    return df.mapInArrow(run, kinds)
+
+
+def _field(name: str) -> Column:
+    return F.try_element_at("fields", F.lit(name))
+
 
-    return df.select(*keys, text).mapInPandas(run, schema)
+def _first(where: Column, value: Column) -> Column:
+    """An aggregate: the value of the first node that meets a condition."""
+    return F.min_by(F.when(where, value), F.when(where, F.col("pos")))
 
 
-EMPTY = ("null", '""', "[]", "{}")
+def _filled(key: str) -> tuple[Column, Column]:
+    return (F.col("key") == key) & F.col("filled"), F.coalesce("scalar", "value")
 
 
 def first_value(tree: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """The first filled value of ``key`` of each tree."""
-    found = tree.where((F.col("key") == key) & ~F.col("value").isin(*EMPTY))
-    return found.groupBy(*keys).agg(F.min_by(F.coalesce("scalar", "value"), "pos").alias(key))
+    """The first filled value of ``key`` of each tree; of objects and arrays only where their text was wanted."""
+    where, value = _filled(key)
+    return tree.where(where).groupBy(*keys).agg(F.min_by(value, "pos").alias(key))
+
+
+def _node() -> Column:
+    return (F.col("key") == "node") & (F.col("type") == "object")
+
+
+def _names_post(bare: bool) -> Column:
+    """Whether a node names a post: nodes with ``comet_sections``, and with ``bare`` every number under ``post_id``."""
+    sections = F.array_contains("inner", "comet_sections") | _field("comet_sections").isNotNull()
+    return (_node() & sections & (_field("id") != "")) | (F.lit(bare) & (F.col("key") == "post_id") & F.col("scalar").rlike(r"^\d+$"))
+
+
+def _post() -> Column:
+    return F.when(_node(), _field("id")).otherwise(F.col("scalar"))
 
 
 def post_ids(tree: DataFrame, keys: list[str], bare: bool = True) -> DataFrame:
     """Distinct ids of posts: of nodes with ``comet_sections``, and with ``bare`` every number under ``post_id``; ``first_pos`` orders them."""
-    node = tree.where("key = 'node' AND type = 'object'").select(*keys, "pos", F.get_json_object("value", "$.id").alias("post_id"), F.get_json_object("value", "$.comet_sections").alias("sections"))
-    found = node.where("sections IS NOT NULL AND post_id <> ''").select(*keys, "pos", "post_id")
-    if bare:
-        found = found.unionByName(tree.where(F.col("key").eqNullSafe("post_id") & F.col("scalar").rlike(r"^\d+$")).select(*keys, "pos", F.col("scalar").alias("post_id")))
-    return found.groupBy(*keys, "post_id").agg(F.min("pos").alias("first_pos"))
+    return tree.where(_names_post(bare)).groupBy(*keys, _post().alias("post_id")).agg(F.min("pos").alias("first_pos"))
 
 
 def post_nodes(tree: DataFrame, keys: list[str]) -> DataFrame:
     """The first node of each id: ``post_id, node`` (JSON), an equi-join key for ``post_ids``."""
-    node = tree.where("key = 'node' AND type = 'object' AND value <> '{}'").select(*keys, "pos", F.get_json_object("value", "$.id").alias("post_id"), "value")
-    return node.where("post_id IS NOT NULL").groupBy(*keys, "post_id").agg(F.min_by("value", "pos").alias("node"))
+    node = tree.where(_node() & F.col("filled") & _field("id").isNotNull())
+    return node.groupBy(*keys, _field("id").alias("post_id")).agg(F.min_by("value", "pos").alias("node"))
+
+
+def posts(tree: DataFrame, keys: list[str], bare: bool = True) -> DataFrame:
+    """``post_ids`` with the ``post_nodes`` of the same tree, in one pass."""
+    names, node = _names_post(bare), _node() & F.col("filled") & _field("id").isNotNull()
+    found = tree.where(names | node).groupBy(*keys, _post().alias("post_id")).agg(F.min(F.when(names, F.col("pos"))).alias("first_pos"), _first(node, F.col("value")).alias("node"))
+    return found.where("first_pos IS NOT NULL")
 
 
 def end_cursors(tree: DataFrame, response: list[str], line: str = "line_no") -> DataFrame:
     """Of each response the first filled ``page_info.end_cursor`` of its last line that has one."""
-    found = tree.where((F.col("key") == "page_info") & (F.col("type") == "object")).select(*response, line, "pos", F.get_json_object("value", "$.end_cursor").alias("cursor"))
-    found = found.where("cursor IS NOT NULL AND cursor <> ''").groupBy(*response, line).agg(F.min_by("cursor", "pos").alias("cursor"))
-    return found.groupBy(*response).agg(F.max_by("cursor", line).alias("cursor"))
+    found = tree.where((F.col("key") == "page_info") & (F.col("type") == "object") & (_field("end_cursor") != ""))
+    return found.groupBy(*response).agg(F.min_by(_field("end_cursor"), F.struct(-F.col(line), F.col("pos"))).alias("cursor"))
 
 
 def caption(node: Column) -> Column:
     return F.coalesce(F.get_json_object(node, "$.comet_sections.content.story.message.text"), F.lit(""))
 
 
+#: Where a post's pictures are.
+ATTACHMENTS = "$.comet_sections.content.story.attachments"
+
+
+def _picture(require_height: bool, least_width: int) -> Column:
+    uri = _field("uri")
+    found = F.startswith("path", F.lit(ATTACHMENTS)) & (F.contains(uri, F.lit("scontent")) | F.contains(uri, F.lit("fbcdn"))) & (F.contains(uri, F.lit("jpg")) | F.contains(uri, F.lit(".png")))
+    found = found & (_field("width").try_cast("double") > least_width)
+    return found & _field("height").isNotNull() if require_height else found
+
+
+def _addresses(where: Column) -> Column:
+    """An aggregate: the distinct addresses in their order; as many as one tree has."""
+    return F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(where, F.struct(F.col("pos"), _field("uri").alias("uri"))))), lambda x: x["uri"]))
+
+
 def images(tree: DataFrame, keys: list[str], require_height: bool = True, least_width: int = 400) -> DataFrame:
     """The distinct picture addresses under attachments of each tree of a node, wider than ``least_width``."""
-    under = F.col("path").startswith("$.comet_sections.content.story.attachments")
-    at = lambda k: F.get_json_object("value", f"$.{k}")
-    found = tree.where(under & (F.col("type") == "object")).select(*keys, "pos", at("uri").alias("uri"), at("width").try_cast("double").alias("width"), at("height").alias("height"))
-    found = found.where((F.contains("uri", F.lit("scontent")) | F.contains("uri", F.lit("fbcdn"))) & (F.contains("uri", F.lit("jpg")) | F.contains("uri", F.lit(".png"))) & (F.col("width") > least_width))
-    if require_height:
-        found = found.where("height IS NOT NULL")
-    return found.groupBy(*keys, "uri").agg(F.min("pos").alias("p")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "uri"))), lambda x: x["uri"]).alias("image_urls"))
+    where = _picture(require_height, least_width)
+    return tree.where(where).groupBy(*keys).agg(_addresses(where).alias("image_urls"))
+
+
+def _is_actor() -> Column:
+    return _field("__typename").isin("User", "Page") & (_field("id") != "") & (_field("name") != "")
+
+
+def _actor() -> Column:
+    return F.struct(_field("id").alias("author_id"), _field("name").alias("author_name"))
 
 
 def actors(tree: DataFrame, keys: list[str]) -> DataFrame:
     """The first user or page with id and name of each tree: ``author_id, author_name``."""
-    at = lambda k: F.get_json_object("value", f"$.{k}")
-    found = tree.where("type = 'object'").select(*keys, "pos", at("__typename").alias("kind"), at("id").alias("author_id"), at("name").alias("author_name"))
-    found = found.where("kind IN ('User', 'Page') AND author_id <> '' AND author_name <> ''")
-    return found.groupBy(*keys).agg(F.min_by(F.struct("author_id", "author_name"), "pos").alias("a")).select(*keys, "a.*")
+    return tree.where(_is_actor()).groupBy(*keys).agg(F.min_by(_actor(), "pos").alias("a")).select(*keys, "a.*")
 
 
-def post_metadata(tree: DataFrame, keys: list[str], post_id: str, group: str) -> DataFrame:
-    """Author, address and time of each node's tree (``keys`` hold the column ``post_id``)."""
+def post_facts(tree: DataFrame, keys: list[str], post_id: str, group: str, require_height: bool = True) -> DataFrame:
+    """Author, address, time and pictures of each node's tree (``keys`` hold the column ``post_id``), in one pass."""
     from glosswright.functions.text import iso_time
 
-    base = tree.select(*keys).distinct().withColumn("decoded", ids.decode_id(F.col(post_id)))
-    for found in (actors(tree, keys), *[first_value(tree, keys, k) for k in ("creation_time", "wwwURL", "url")]):
-        base = base.join(found, keys, "left")
+    values = {k: _first(*_filled(k)).alias(k) for k in ("creation_time", "wwwURL", "url")}
+    base = tree.groupBy(*keys).agg(_first(_is_actor(), _actor()).alias("a"), *values.values(), _addresses(_picture(require_height, 400)).alias("image_urls"))
+    base = base.withColumn("decoded", ids.decode_id(F.col(post_id)))
     epoch = F.col("creation_time").try_cast("double")
-    author = F.coalesce("author_id", "decoded.author")
+    author = F.coalesce("a.author_id", "decoded.author")
     return base.select(
         *keys,
         F.lit(group).alias("group_id"),
         F.col("decoded.post").alias("post_id_numeric"),
         author.alias("author_id"),
-        "author_name",
+        F.col("a.author_name").alias("author_name"),
         ids.chosen_url(F.col("wwwURL"), F.col("url"), group, F.col("decoded.post")).alias("post_url"),
         ids.author_url(author).alias("author_url"),
         epoch.alias("creation_time_epoch"),
         iso_time(epoch).alias("publish_time"),
+        "image_urls",
     )

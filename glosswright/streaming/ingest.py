@@ -15,20 +15,26 @@ from glosswright.session import written
 from glosswright.sources import files, sinks
 
 
-def posts_of(responses: DataFrame, key: str, group: str, kept: str = t.HAN_EXT, require_height: bool = True, bare_ids: bool = True) -> DataFrame:
-    """The posts of landed responses (``key`` orders them): ids in order of appearance, captions, pictures, metadata and disposition."""
-    tree = j.walked(files.response_lines(responses, [key]), [key, "line_no"])
-    tree = written(tree, "tree")
-    found = j.post_ids(tree, [key, "line_no"], bare_ids).join(j.post_nodes(tree, [key, "line_no"]), [key, "line_no", "post_id"], "left")
-    found = found.groupBy("post_id").agg(F.min(F.struct(key, "line_no", "first_pos")).alias("at"), F.min_by("node", F.struct(F.col("node").isNull(), key, "line_no")).alias("node"))
-    nodes = j.walked(found.where("node IS NOT NULL"), ["post_id"], "node")
-    nodes = written(nodes, "nodes")
-    out = found.select("post_id", "at", j.caption(F.col("node")).alias("caption")).join(j.images(nodes, ["post_id"], require_height), "post_id", "left")
-    out = out.join(j.post_metadata(nodes, ["post_id"], "post_id", group), "post_id", "left")
+def walked_responses(responses: DataFrame, key: str) -> DataFrame:
+    """The walk of the lines of landed responses; ``key`` and ``line_no`` order them."""
+    return j.walked(files.response_lines(responses, [key]), [key, "line_no"])
+
+
+def posts_in(tree: DataFrame, key: str, group: str, kept: str = t.HAN_EXT, require_height: bool = True, bare_ids: bool = True) -> DataFrame:
+    """The posts of walked responses: ids in order of appearance, captions, pictures, metadata and disposition."""
+    found = j.posts(tree, [key, "line_no"], bare_ids)
+    found = written(found.groupBy("post_id").agg(F.min(F.struct(key, "line_no", "first_pos")).alias("at"), F.min_by("node", F.struct(F.col("node").isNull(), key, "line_no")).alias("node")), "found")
+    facts = j.post_facts(j.walked(found.where("node IS NOT NULL"), ["post_id"], "node", ()), ["post_id"], "post_id", group, require_height)
+    out = found.select("post_id", "at", j.caption(F.col("node")).alias("caption")).join(facts, "post_id", "left")
     out = out.withColumn("image_urls", F.coalesce("image_urls", F.array().cast("array<string>"))).withColumn("img_count", F.size("image_urls"))
     return out.withColumn("disposition", t.disposition(F.col("image_urls"), t.skip_reason(F.col("caption"), kept)))
 
 
+def posts_of(responses: DataFrame, key: str, group: str, kept: str = t.HAN_EXT, require_height: bool = True, bare_ids: bool = True) -> DataFrame:
+    """The posts of landed responses, whose lines are walked once."""
+    return posts_in(walked_responses(responses, key), key, group, kept, require_height, bare_ids)
+
+
 def streak_of(posts: DataFrame, seen: DataFrame, stop: int, start: int = 0) -> DataFrame:
     """Arrivals of a batch with the running streak of already seen ids, which goes on from ``start``."""
     known = seen.select("post_id").distinct().withColumn("known", F.lit(True))
