@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswright.functions.text import let
 from glosswright.llm.words import ascii_lower
 from glosswright.session import written
 
@@ -18,17 +17,6 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, PRIOR, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 
 
-def _counted(terms: Column) -> Column:
-    """The distinct elements with their counts: runs of the sorted array."""
-
-    def runs(s: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(s) - 1)
-        begins = F.filter(places, lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
-        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("n"))))
-
-    return F.when(F.size(terms) > 0, let(F.sort_array(terms), runs))
-
-
 def _share(count: Column, total: Column, terms: Column, prior: int, scale: int) -> Column:
     """``1 + floor(scale * (count + prior) / (total + prior * terms))`` in whole numbers of up to 38 digits; 0 without terms."""
     part = lambda x: F.lit(x).cast("decimal(38,0)")
@@ -37,8 +25,11 @@ def _share(count: Column, total: Column, terms: Column, prior: int, scale: int)
 
 def term_vectors(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``lang, term, cells``: the terms in at least ``least_docs`` documents of a language, with their counts by source (an array of ``source, n``)."""
-    rows = docs.select("lang", "source", F.explode(_counted(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("x")).select("lang", "source", "x.*")
-    counts = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    terms = docs.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms")).withColumn("own", F.array_distinct("terms"))
+    # Each text's distinct terms come first, for the number of documents, then all of them. Empty arrays go after exploding: Spark would infer a filter that extracts all terms again.
+    terms = terms.select("lang", "source", F.size("own").alias("k"), F.concat("own", "terms").alias("both"))
+    rows = terms.select("lang", "source", "k", F.posexplode_outer("both").alias("i", "term")).where("term IS NOT NULL")
+    counts = rows.groupBy("lang", "source", "term").agg(F.count_if(F.col("i") >= F.col("k")).alias("n"), F.count_if(F.col("i") < F.col("k")).alias("docs"))
     vectors = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("cells"))
     return vectors.where(F.col("docs") >= least_docs).drop("docs")
 
