@@ -22,7 +22,7 @@ def words(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int =
     Counted before the shuffle; words in fewer than ``least_count`` places go after the sum over all documents. A null ``doc_id`` is an empty one.
     """
     runs = F.regexp_extract_all("text", F.lit(f"{_LETTER}{{{least_length},}}"), F.lit(0))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.explode(runs).alias("run"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.explode_outer(runs).alias("run")).where("run IS NOT NULL")  # a plain explode would extract twice, for an inferred filter too
     rows = rows.select("doc_id", ascii_lower(F.col("run")).alias("run"))
     rows = rows.select("run", F.crc32(F.concat("doc_id", F.lit(":"), "run")).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
