@@ -19,6 +19,7 @@ from glosswright.plans.queries import _layouts, box_clean_sql, query, read
 from glosswright.session import scratch_path, ship, written
 from glosswright.sources import files, sinks
 from glosswright.streaming.ingest import ingest, posts_of
+from glosswright.streaming.sessions import feed_sessions, store_sessions
 
 # The feed: a response for each customer, with a post of one picture that counts, a malformed line, and a bare id.
 
@@ -65,12 +66,46 @@ def ingested_posts(spark, d):
     for part in (F.col("c_custkey") % 2 == 0, F.lit(True)):
         rows.where(part).drop("c_custkey").write.mode("append").json(landed)
         ingest(files.responses(spark, landed, "FeedQuery", stream=True), posts, seen, cursor, checkpoint, "g", kept=t.LETTERS).awaitTermination()
-    found = spark.read.schema("post_id string, caption string").json(posts)
+    found = files.whole_batches(spark, posts, f"{posts}-batches", "post_id string, caption string")
     counted = found.groupBy("post_id").agg(F.first("caption").alias("caption"), F.count("*").cast("int").alias("n"))
     marked = files.seen_ids(spark, seen).select("post_id", F.lit(True).alias("marked"))
     return counted.join(marked, "post_id", "left").select("post_id", "caption", "n", F.coalesce("marked", F.lit(False)).alias("marked"))
 
 
+@query("""
+WITH a AS (SELECT event_id, event_type, user_id, CASE WHEN row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) > 1 THEN 'repeated' WHEN user_id % 2 = 0 THEN 'duplicate' ELSE 'new' END AS status, ts FROM events),
+i AS (SELECT *, sum(CASE WHEN status = 'new' THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM a)
+SELECT event_id, event_type, status, CAST(sum(CASE WHEN status = 'duplicate' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS streak, status = 'duplicate' AND sum(CASE WHEN status = 'duplicate' THEN 1 ELSE 0 END) OVER w >= 3 AS stop
+FROM i WINDOW w AS (PARTITION BY event_type, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def streamed_streak(spark, d):
+    """Streaks of a stream of events that is stopped in the middle and started again over its checkpoint: they go on."""
+    out = _sessions(spark, d, F.col("event_type"), F.col("user_id"), stop=3)
+    return out.select(F.col("arrival").alias("event_id"), F.col("session").alias("event_type"), "status", "streak", "stop")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 4 HOUR + INTERVAL 2 SECOND < (SELECT max(ts) FROM events)""")
+def streamed_silences(spark, d):
+    """Users silent for more than four hours, told by timers and gaps of a stream that is started twice."""
+    out = _sessions(spark, d, F.col("user_id").cast("string"), F.col("event_id"), silence=4 * 3600.0, by_events=True)
+    return out.where("status = 'silence'").select(F.col("session").cast("long").alias("user_id"), F.col("at").cast("timestamp_ntz").alias("ended"), "n")
+
+
+def _sessions(spark, d, session, post, **options) -> DataFrame:
+    """The sessions of all events as a stream, which is run for the earlier half of them, and run again over its checkpoint for the rest."""
+    landed, path, checkpoint = (scratch_path(spark, name) for name in ("landed", "sessions", "checkpoint"))
+    e = read(spark, d, "events")
+    half = e.agg(F.timestamp_micros(F.expr("cast(avg(unix_micros(cast(ts AS timestamp))) AS bigint)")).alias("half"))
+    rows = e.crossJoin(F.broadcast(half)).select(session.alias("session"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("arrival"), post.cast("string").alias("post_id"), (F.col("user_id") % 2 == 0).alias("known"), (F.col("ts").cast("timestamp") < F.col("half")).alias("early"))
+    for early in (True, False):
+        rows.where(F.col("early") == early).drop("early").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema("session string, at timestamp, arrival long, post_id string, known boolean").parquet(landed)
+        store_sessions(feed_sessions(stream, **options), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
+
+
 def _feed_tree(spark, d) -> DataFrame:
     return written(j.walked(files.response_lines(_responses(spark, d), ["c_custkey"]), ["c_custkey", "line_no"]), "feed")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswright.functions.boxes import BOX
 from glosswright.functions.text import strip
+from glosswright.sources import sinks
 
 RESPONSE = "method string, url string, post_data string, status int, body string, received_at timestamp"
 PROVENANCE = (
@@ -111,6 +112,25 @@ def seen_ids(spark: SparkSession, path: str | None = None, jdbc: dict[str, str]
     return rows.select("post_id", "timestamp") if "timestamp" in rows.columns else rows.select("post_id", F.lit(None).cast("timestamp").alias("timestamp"))
 
 
+def seen_near(spark: SparkSession, path: str, ids: DataFrame, other_than: str | None = None) -> DataFrame:
+    """The rows of the seen table that ``ids`` may be among: those of their buckets, of which there are ``SEEN_BUCKETS`` at most, so that other files aren't read.
+
+    Without those of the batch ``other_than``. None where nothing has been written yet.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "post_id string, timestamp timestamp")
+    buckets = [x.b for x in ids.select(sinks.seen_bucket(F.col("post_id")).alias("b")).distinct().collect()]
+    rows = spark.read.schema(sinks.SEEN).parquet(path).where(F.col("bucket").isin(buckets))
+    return (rows.where(F.col("batch") != other_than) if other_than else rows).select("post_id", "timestamp")
+
+
+def whole_batches(spark: SparkSession, path: str, manifest: str, schema: str = POST) -> DataFrame:
+    """The posts of batches that are on the manifest; what an interrupted batch has left isn't seen."""
+    done = spark.read.schema("batch string").json(manifest).select("batch").distinct()
+    return spark.read.schema(f"{schema}, batch string").json(path).join(done, "batch", "left_semi").drop("batch")
+
+
 def cursor(spark: SparkSession, path: str) -> DataFrame:
     """The stored cursor; blank is null."""
     return spark.read.text(path, wholetext=True).select(F.nullif(strip(F.col("value")), F.lit("")).alias("cursor"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions.text import safe_id
@@ -11,12 +13,24 @@ from glosswright.operators.relational import appended, unseen
 #: The index's columns in their order.
 INDEX_COLUMNS = ("post_id_numeric", "author_id", "post_url", "v11_folder", "merged_folder", "scrape_time", "has_label")
 
+#: The seen table's columns, and the number of buckets it is dealt out to.
+SEEN, SEEN_BUCKETS = "post_id string, timestamp timestamp, batch string, bucket int", 256
+
 
-def append_posts(posts: DataFrame, path: str, with_images_only: bool = False) -> None:
-    """Appends posts as newline-delimited JSON, with their folder name."""
+def append_posts(posts: DataFrame, path: str, with_images_only: bool = False, batch: str | None = None) -> None:
+    """Appends posts as newline-delimited JSON, with their folder name. Those of a ``batch`` are a partition of their own, which a repeat overwrites."""
     if with_images_only:
         posts = posts.where(F.size("image_urls") > 0)
-    posts.withColumn("folder", safe_id(F.col("post_id"))).write.mode("append").json(path)
+    posts = posts.withColumn("folder", safe_id(F.col("post_id")))
+    if batch is None:
+        posts.write.mode("append").json(path)
+    else:
+        posts.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def commit_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """Puts a batch on the manifest of a table: readers of whole batches see it from now on. A repeat changes nothing."""
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def export_posts(posts: DataFrame, path: str) -> None:
@@ -36,10 +50,25 @@ def append_errors(rows: DataFrame, path: str) -> None:
     rows.select("folder", F.col("_corrupt_record").alias("text"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
-def mark_seen(ids: DataFrame, seen: DataFrame, path: str) -> None:
-    """Appends the ids that aren't in the seen table; a repeat changes nothing."""
-    new = unseen(ids.select("post_id").distinct(), seen, "post_id")
-    new.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(path)
+def seen_bucket(post_id: Column, buckets: int = SEEN_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(post_id), F.lit(buckets)).cast("int")
+
+
+def mark_seen(ids: DataFrame, seen: DataFrame, path: str, batch: str | None = None) -> None:
+    """Appends the ids that aren't in the seen table, by buckets of their hash and sorted, so that readers skip files and row groups; a repeat changes nothing.
+
+    The marks of a ``batch`` are a partition of their own, which a repeat overwrites; ``seen`` then holds those of other batches.
+    """
+    new = unseen(ids.select("post_id").distinct(), seen, "post_id").withColumn("timestamp", F.current_timestamp()).withColumn("bucket", seen_bucket(F.col("post_id")))
+    new = new.repartition("bucket").sortWithinPartitions("bucket", "post_id")
+    new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
+
+
+def compact_seen(spark: SparkSession, path: str, into: str) -> None:
+    """The marks of all batches as one, each id with its first time: a new table beside the old."""
+    rows = spark.read.schema(SEEN).parquet(path).groupBy("post_id").agg(F.min("timestamp").alias("timestamp"))
+    rows = rows.withColumn("bucket", seen_bucket(F.col("post_id"))).repartition("bucket").sortWithinPartitions("bucket", "post_id")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/batch=compact")
 
 
 def store_cursor(cursor: DataFrame, path: str) -> None:

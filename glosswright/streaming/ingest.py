@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,34 +43,42 @@ def streak_of(posts: DataFrame, seen: DataFrame, stop: int, start: int = 0) -> D
     return duplicate_streak(rows, "session", ["at"], "post_id", F.coalesce("known", F.lit(False)), stop, start)
 
 
+def _streak_before(spark: SparkSession, path: str, batch: int) -> int:
+    """The streak that the batches before have left."""
+    rows = files.results(spark, path, "streak long, batch long").where(F.col("batch") < batch)
+    found = rows.agg(F.max_by("streak", "batch").alias("streak")).first()
+    return found["streak"] or 0
+
+
 def ingest(responses: DataFrame, posts_path: str, seen_path: str, cursor_path: str, checkpoint: str, group: str, key: str = "received_at", stop: int = 300, on_stop: Callable[[], None] | None = None, kept: str = t.HAN_EXT) -> StreamingQuery:
-    """Runs the stream until its input is used up. Posts are written before their ids are marked, and a repeated batch finds them marked or
-    writes them again: nothing is lost, and ``post_id`` tells repeats. Two streams with checkpoints of their own may share a seen table. The streak of
-    duplicates goes on from batch to batch of a run, which is a session; a new run begins a new one."""
-    session = {"streak": 0}
-
-    def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        empty = spark.createDataFrame([], "post_id string, timestamp timestamp")
-        try:
-            seen = spark.read.schema("post_id string, timestamp timestamp").parquet(seen_path)
-        except Exception as e:  # no batch has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = empty
-        seen = written(seen, "seen")
-        posts = written(posts_of(rows, key, group, kept), "posts")
+    """Runs the stream until its input is used up. Posts and marks of a batch are partitions that a repeat of the batch overwrites, and the repeat doesn't take its own marks
+    for seen: however often a batch is begun, each of its posts is there once. Then the batch is put on the manifest (``<posts_path>-batches``), which ``files.whole_batches`` reads.
+
+    Two streams with checkpoints of their own may share posts and a seen table. The streak of duplicates goes on from batch to batch and over restarts: it is kept by batch
+    beside the checkpoint. ``on_stop`` is called when it reaches ``stop``.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, label = rows.sparkSession, f"{stream}-{number:09d}"
+        tree = written(walked_responses(rows, key), "tree")
+        posts = written(posts_in(tree, key, group, kept), "posts")
+        seen = files.seen_near(spark, seen_path, posts, label)
         new = written(unseen(posts, seen, "post_id"), "new")
-        sinks.append_posts(new.where("disposition = 'kept'").drop("at", "disposition"), posts_path)
-        sinks.mark_seen(new, seen, seen_path)
-        cursors = j.end_cursors(j.walked(files.response_lines(rows, [key]), [key, "line_no"]), [key]).agg(F.max_by("cursor", key).alias("cursor"))
+        sinks.append_posts(new.where("disposition = 'kept'").drop("at", "disposition"), posts_path, batch=label)
+        cursors = j.end_cursors(tree, [key]).agg(F.max_by("cursor", key).alias("cursor"))
         if cursors.where("cursor IS NOT NULL").count():
             sinks.store_cursor(cursors, cursor_path)
+        ends = None
         if on_stop:
-            ends = streak_of(posts, seen, stop, session["streak"]).agg(F.max_by("streak", "at").alias("last"), F.coalesce(F.bool_or("stop"), F.lit(False)).alias("stop")).first()
-            session["streak"] = session["streak"] if ends["last"] is None else ends["last"]
-            if ends["stop"]:
-                on_stop()
+            before = _streak_before(spark, f"{checkpoint.rstrip('/')}-streak", number)
+            ends = streak_of(posts, seen, stop, before).agg(F.max_by("streak", "at").alias("last"), F.coalesce(F.bool_or("stop"), F.lit(False)).alias("stop")).first()
+            last = before if ends["last"] is None else ends["last"]
+            spark.createDataFrame([(last,)], "streak long").write.mode("overwrite").parquet(f"{checkpoint.rstrip('/')}-streak/batch={number}")
+        sinks.mark_seen(new, seen, seen_path, label)
+        sinks.commit_batch(spark, f"{posts_path.rstrip('/')}-batches", label)
+        if ends and ends["stop"]:
+            on_stop()
 
     return responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
