@@ -1,6 +1,7 @@
 """Secret scan: all rules are compiled into one minimised deterministic automaton and found in one pass over the bytes of each text.
 
 The automaton tells where matches end; an automaton of the reversed rule, read back from an end, tells where the leftmost match begins.
+A key block is found by its first line; what follows it up to its last line is part of the match.
 Matches of one rule never overlap: the next one begins after the last, also after one that is dropped for being short.
 
 Rules whose tokens may hold the separators of other rules' prefixes ("-" and "_") multiply the automaton's states: with five more such rules it had some hundred
@@ -47,6 +48,8 @@ RULES: dict[str, tuple] = {
 BASE = ("assign", "access", "hex")
 #: Shorter matches are dropped; for `assign` the value counts. (Counting in the automaton would multiply its states; `hex` has to, or every word ends one.)
 LEAST = {"assign": 6, "access": 20, "hex": 24, "github": 40, "slack": 15, "awstemp": 20, "stripe": 32, "npm": 40, "hub": 37, "cloud": 71, "shop": 38, "hook": 45}
+#: What follows the first line of a key block: lines of base64 and headers (with line ends escaped or not) up to the last line.
+_BLOCK = re.compile(rb"[A-Za-z0-9+/=\\\s\x22',:.]*+(?:-[A-Za-z0-9][A-Za-z0-9+/=\\\s\x22',:.]*+)*+-----END [A-Z ]*PRIVATE KEY-----")
 _VALUE_OF = re.compile(rb"[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
@@ -85,6 +88,7 @@ class Secrets:
         of = np.searchsorted(offsets, at, "right") - 1
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
         last: dict[tuple[int, int], int] = {}
+        whole = memoryview(buf)
         for i, doc in zip(at.tolist(), of.tolist()):
             here = int(flags[i] & ~following[i])
             for k in range(len(self.kinds)):
@@ -92,13 +96,16 @@ class Secrets:
                     start = self.begins(k, buf, i + 1, last.get((doc, k), int(offsets[doc])))
                     if start < 0:
                         continue
-                    last[doc, k] = i + 1
-                    found = buf[start : i + 1].tobytes()
+                    end = i + 1
+                    if self.kinds[k] == "pem" and (block := _BLOCK.match(whole, end, int(offsets[doc + 1]))):
+                        end = block.end()
+                    last[doc, k] = end
+                    found = buf[start:end].tobytes()
                     if self.kinds[k] == "assign":
                         found = _VALUE_OF.fullmatch(found)[1]
                     if len(found) < LEAST.get(self.kinds[k], 0):
                         continue
-                    out[doc].append((start, k, i + 1))
+                    out[doc].append((start, k, end))
         return [sorted(x) for x in out]
 
 
@@ -164,10 +171,13 @@ def _redact(at: int):
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with each found span replaced by its kind in brackets; overlapping spans are replaced together. ``n_chars``, if there is
-    such a column, is counted anew. Null texts stay null; an empty table and extra columns pass through."""
+    such a column, is counted anew. Null texts stay null; repeated rows, an empty table and extra columns, whatever their names, pass through. Texts are scanned whole, as ``secret_spans`` says."""
     ship(docs.sparkSession)
-    out = docs.mapInArrow(_redact(docs.columns.index("text")), docs.schema)
+    # Names by place: Spark would read some names as paths or quotes.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = docs.columns.index("text")
+    out = plain.mapInArrow(_redact(text), plain.schema)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out
+        n, text = f"c{docs.columns.index('n_chars')}", f"c{text}"
+        out = out.withColumn(n, F.when(F.col(text).isNull(), F.col(n)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.toDF(*docs.columns)

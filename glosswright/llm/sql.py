@@ -104,7 +104,7 @@ _SECRETS = (
     ("cloud", "dop_v1_[0-9a-f]+", 71),
     ("shop", "shp(?:at|ca|pa|ss)_[0-9a-f]+", 38),
     ("hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]+", 45),
-    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\\\s\"',:.]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?", 0),
 )
 
 
