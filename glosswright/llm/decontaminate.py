@@ -173,9 +173,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no benchmark window occurs in, with all their columns.
+    """The documents that no benchmark window occurs in, with all their columns, whatever their names.
 
-    Rows that share a ``doc_id`` (null included) stay or go together. Null and empty texts stay; an empty table gives an empty result.
+    Texts are judged: rows of equal texts (told by a digest of 128 bits) stay or go together, rows that share a ``doc_id``, null ones too, don't. Null and empty texts stay; repeated
+    rows stay repeated; an empty table gives an empty result. Texts are read whole, as ``contamination`` says.
     """
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    bad = contamination(docs.select(digest.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_digest")).distinct()
+    return docs.join(bad, F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["bad_digest"], "left_anti")

@@ -85,7 +85,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     ``size, source_size, target, taken`` (the words of this copy) and ``copy`` (from 0), which replace columns of the same names.
 
     Documents without words, null texts among them, are kept once; of others those of which nothing is taken go. Equal rows are separate documents. The one
-    document of a source that is cut has single spaces between its words. An empty table gives an empty result.
+    document of a source that is cut has single spaces between its words. Other columns pass through, whatever their names; an empty table gives an empty result. Texts are counted whole, and
+    only that of a cut is taken apart.
     """
     new = ["size", "source_size", "target", "taken", "copy"]
     row = "row"
@@ -104,5 +105,5 @@ def mixed(docs: DataFrame) -> DataFrame:
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(whole, F.col("d.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    kept = [changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns if c not in new]
+    kept = [changed.get(c, F.col(f"d.`{c.replace('`', '``')}`")).alias(c) for c in docs.columns if c not in new]
     return out.select(*kept, *[F.col(f"s.{c}").alias(c) for c in new])

@@ -497,7 +497,8 @@ def grouped(docs: DataFrame, sets: Callable[..., Sets], percent: int) -> DataFra
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: that with the smallest ``doc_id`` (null is largest), of rows that share it the one with the smallest hash
-    of its text, and of equal rows any one. Documents without words, null texts among them, are all kept. An empty table gives an empty result."""
+    of its text, and of equal rows any one. Documents without words, null texts among them, are all kept. Other columns pass through, whatever their names. An empty table gives an empty
+    result. Texts are compared whole, as ``near_duplicates`` says."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
     named = written(_linked(docs, Shingles(SHINGLE), PERCENT), "named").where("root IS NOT NULL")
     groups = named.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
@@ -510,5 +511,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return rows.join(keys, rows["doc_id"].eqNullSafe(keys["at_id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == keys["at_hash"]), how)
 
     kept = those(docs, gone, "left_anti")
-    once = those(kept, several, "left_semi").groupBy("doc_id", "text").agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
+    once = those(kept, several, "left_semi").groupBy("doc_id", "text").agg(F.first(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])).alias("one")).select("one.*")
     return those(kept, several, "left_anti").unionByName(once)
