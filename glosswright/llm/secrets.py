@@ -152,7 +152,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def _redact(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = _secrets()
-        for batch in pieces(batches):
+        for batch in pieces(batches, f"c{at}"):
             column = batch.column(at)
             buf, offsets = text_bytes(column)
             texts = column.to_pylist()
