@@ -101,8 +101,10 @@ def skip_reason(caption: Column, kept: str = HAN_EXT, patterns: tuple[str, ...]
     )
 
 
-def disposition(images: Column, reason: Column) -> Column:
-    """``no_images`` goes silently, ``skipped`` is counted, the rest is ``kept``."""
+def disposition(images: Column, reason: Column, counted: bool = True) -> Column:
+    """``no_images`` goes silently, ``skipped`` is counted, the rest is ``kept``. Not ``counted``: either is ``dropped``, and both have been marked as seen before."""
+    if not counted:
+        return F.when((F.coalesce(F.size(images), F.lit(0)) <= 0) | reason.isNotNull(), "dropped").otherwise("kept")
     return F.when(F.coalesce(F.size(images), F.lit(0)) <= 0, "no_images").when(reason.isNotNull(), "skipped").otherwise("kept")
 
 
@@ -139,6 +141,11 @@ def iso_time(epoch: Column) -> Column:
     return F.when(ok, F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss+00:00"))
 
 
+def stamp(time: Column | None = None) -> Column:
+    """A time of the session's zone as text, by default now: the same for all rows of a query."""
+    return F.date_format(F.current_timestamp() if time is None else time, "yyyy-MM-dd HH:mm:ss")
+
+
 def folder_name(n: Column) -> Column:
     return F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))
 

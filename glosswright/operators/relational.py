@@ -211,14 +211,29 @@ def corpus_stats(rows: DataFrame, text: str, score: str, kept: str = t.HAN) -> D
     return stats.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(chars))
 
 
-def fix_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Counters of a fixing pass over ``post_id, label, columns``: changed labels and columns, characters gained, skipped."""
-    b = before.select("post_id", F.col("label").alias("l0"), F.col("columns").alias("c0"))
+def fix_deltas(before: DataFrame, after: DataFrame, caption: str = "caption") -> DataFrame:
+    """Counters of a fixing pass over ``post_id, label, columns`` and the caption: changed labels and columns, characters gained, labels that gained any, captions with
+    bracketed annotations, skipped."""
+    b = before.select("post_id", F.col("label").alias("l0"), F.col("columns").alias("c0"), F.coalesce(F.col(caption), F.lit("")).alias("caption_"))
     both = b.join(after.select("post_id", "label", "columns"), "post_id", "left")
     changed = F.coalesce(F.col("label") != F.col("l0"), F.lit(False))
     return both.agg(
         F.count_if(changed).alias("labels_changed"),
         F.count_if(F.coalesce(F.col("columns") != F.col("c0"), F.lit(False))).alias("columns_changed"),
         F.coalesce(F.sum(F.when(changed, F.length("label") - F.length("l0"))), F.lit(0)).alias("chars_gained"),
+        F.count_if(F.coalesce(F.length("label") > F.length("l0"), F.lit(False))).alias("labels_longer"),
+        F.count_if(t.strip_annotations(F.col("caption_")) != F.col("caption_")).alias("annotated"),
         F.count_if(F.col("label").isNull()).alias("skipped"),
     )
+
+
+def cache_counts(cache: DataFrame) -> DataFrame:
+    """How many posts a cache of detections has, with and without columns."""
+    n = F.coalesce("num_columns", F.lit(0))
+    return tallies(cache, with_columns=n > 0, without_columns=n <= 0)
+
+
+def best_by(rows: DataFrame, key: list[str], measure: str, *ties: Column) -> DataFrame:
+    """Of the rows of each key that of the greatest measure, then of the greatest ``ties``, by a partial aggregate."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(measure), *ties)).alias("x_")).select(*key, "x_.*")

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswright.functions import boxes as b
+from glosswright.functions import phrases as ph
 from glosswright.functions import text as t
 from glosswright.functions.similarity import aligned, indel_ratio
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import funnel as fu
 from glosswright.plans import gate as g
+from glosswright.plans import prepared as pr
 from glosswright.plans.queries import _layouts, box_clean_sql, query, read
 from glosswright.session import scratch_path, ship, written
 from glosswright.sources import files, sinks
@@ -158,73 +160,103 @@ def stored_cursor(spark, d):
     return files.cursor(spark, path)
 
 
-def _nation_files(spark, d) -> str:
-    """A folder for each nation with one JSON document; every fourth is cut off."""
-    path, k = scratch_path(spark, "nations"), F.col("n_nationkey").cast("string")
-    text = F.concat(F.lit('{\n "post_id": "'), k, F.lit('",\n "columns": '), k, F.when(F.col("n_nationkey") % 4 == 3, "").otherwise("\n}"))
-    read(spark, d, "nation").select(F.concat(F.lit("n"), k).alias("nation"), text.alias("value")).repartition("nation").write.partitionBy("nation").text(path)
+_DOCUMENT = """'{' || chr(10) || ' "post_id": "' || doc_id || '",' || chr(10) || ' "columns": ' || n_chars || CASE WHEN doc_id % 4 = 3 THEN '' ELSE chr(10) || '}' END"""
+
+
+def _document_files(spark, d) -> str:
+    """A folder for each document with one JSON document; every fourth is cut off."""
+    path, k = scratch_path(spark, "documents"), F.col("doc_id").cast("string")
+    text = F.concat(F.lit('{\n "post_id": "'), k, F.lit('",\n "columns": '), F.col("n_chars").cast("string"), F.when(F.col("doc_id") % 4 == 3, "").otherwise("\n}"))
+    sinks.write_files(read(spark, d, "documents").select(F.concat(F.lit("d"), k).alias("folder"), F.lit("post_info.json").alias("name"), text.alias("content")), path)
     return path
 
 
 @query("""
-SELECT 'nation=n' || n_nationkey AS folder, CASE WHEN n_nationkey % 4 <> 3 THEN CAST(n_nationkey AS VARCHAR) END AS post_id, CASE WHEN n_nationkey % 4 <> 3 THEN n_nationkey END AS columns, n_nationkey % 4 <> 3 AS whole FROM nation""")
+SELECT 'd' || doc_id AS folder, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id AS VARCHAR) END AS post_id, CASE WHEN doc_id % 4 <> 3 THEN CAST(n_chars AS INT) END AS columns, doc_id % 4 <> 3 AS whole FROM documents""")
 def whole_documents(spark, d):
     """Whole-file documents: what is left when unreadable ones are left out, and null rows for them."""
-    path = _nation_files(spark, d)
-    skipped = files.documents(spark, path, "post_id string, columns int", "skip").select(F.col("folder").alias("at"), F.lit(True).alias("whole"))
-    rows = files.documents(spark, path, "post_id string, columns int", "default")
+    path = _document_files(spark, d)
+    skipped = files.documents(spark, f"{path}/*", "post_id string, columns int", "skip").select(F.col("folder").alias("at"), F.lit(True).alias("whole"))
+    rows = files.documents(spark, f"{path}/*", "post_id string, columns int", "default")
     return rows.join(skipped, rows["folder"] == skipped["at"], "left").select("folder", "post_id", "columns", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (n_nationkey % 4 = 3) AS errors FROM nation")
+@query("SELECT count(*) AS n, count(*) FILTER (doc_id % 4 = 3) AS errors FROM documents")
 def document_errors(spark, d):
-    return files.error_counts(spark, _nation_files(spark, d), "post_id string, columns int")
+    return files.error_counts(spark, f"{_document_files(spark, d)}/*", "post_id string, columns int")
 
 
-@query("SELECT 'nation=n' || n_nationkey AS folder, 1 AS n_files FROM nation")
+@query("SELECT 'd' || doc_id AS folder, 1 AS n_files FROM documents")
 def folder_listing(spark, d):
-    return files.folders(spark, _nation_files(spark, d)).where("folder LIKE 'nation=%'")
+    return files.folders(spark, _document_files(spark, d))
 
 
-@query("""
-SELECT 'nation=n' || n_nationkey AS folder, '{' || chr(10) || ' "post_id": "' || n_nationkey || '",' || chr(10) || ' "columns": ' || n_nationkey || chr(10) AS text, 2 AS n FROM nation WHERE n_nationkey % 4 = 3""")
+@query(f"SELECT 'd' || doc_id AS folder, {_DOCUMENT} AS text, 2 AS n FROM documents WHERE doc_id % 4 = 3")
 def error_table(spark, d):
     """Unreadable documents of two runs in the error table."""
-    path, errors = _nation_files(spark, d), scratch_path(spark, "errors")
+    path, errors = _document_files(spark, d), scratch_path(spark, "errors")
     for _ in range(2):
-        sinks.append_errors(files.documents(spark, path, "post_id string, columns int", "quarantine"), errors)
+        sinks.append_errors(files.documents(spark, f"{path}/*", "post_id string, columns int", "quarantine"), errors)
     return spark.read.parquet(errors).groupBy("folder", "text").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT 'n_' || n_nationkey AS folder, 'n:' || n_nationkey AS post_id, n_name AS caption FROM nation")
+@query("SELECT 'c_' || c_custkey AS folder, 'c:' || c_custkey AS post_id, c_name AS caption FROM customer")
 def exported_posts(spark, d):
     path = scratch_path(spark, "export")
-    rows = read(spark, d, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("post_id"), F.col("n_name").alias("caption"))
+    rows = read(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("post_id"), F.col("c_name").alias("caption"))
     sinks.export_posts(rows, path)
     return spark.read.schema("post_id string, caption string, folder string").json(path).select("folder", "post_id", "caption")
 
 
-@query("""
-SELECT 'nation=n' || n_nationkey AS folder, '{' || chr(10) || ' "post_id": "' || n_nationkey || '",' || chr(10) || ' "columns": ' || n_nationkey || CASE WHEN n_nationkey % 4 = 3 THEN '' ELSE chr(10) || '}' END AS caption FROM nation""")
+@query(r"SELECT 'd' || doc_id AS folder, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS caption FROM documents")
 def caption_files(spark, d):
-    return files.captions(spark, _nation_files(spark, d)).select("folder", "caption")
+    """Whole texts as caption files, read back."""
+    path = scratch_path(spark, "captions")
+    sinks.write_files(read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("folder"), F.lit("metadata.txt").alias("name"), F.col("text").alias("content")), path)
+    return files.captions(spark, f"{path}/*").select("folder", "caption")
+
 
+@query("SELECT 'd' || doc_id AS folder, CAST(doc_id AS VARCHAR) AS post_id, CAST(n_chars + 1 AS INT) AS columns, CAST(n_chars AS INT) AS columns_v1 FROM documents WHERE doc_id % 4 <> 3")
+def rewritten_documents(spark, d):
+    """Documents rewritten twice as a new version beside the old; the first values stay."""
+    rows = files.documents(spark, f"{_document_files(spark, d)}/*", "post_id string, columns int")
+    for n in range(2):
+        old = F.coalesce("columns_v1", "columns") if "columns_v1" in rows.columns else F.col("columns")
+        path = scratch_path(spark, "rewritten")
+        sinks.write_documents(rows.withColumn("columns_v1", old).withColumn("columns", F.col("columns_v1") + n), path)
+        rows = spark.read.schema("folder string, post_id string, columns int, columns_v1 int").json(path)
+    return rows
 
-@query("SELECT r_name AS post_id, r_regionkey AS num_columns, r_name || '.jpg' AS best_image, r_regionkey AS n, CASE WHEN r_regionkey = 0 THEN 'no columns' END AS reason FROM region")
+
+def _detections(spark, d) -> DataFrame:
+    """Boxes of parts: as many as the size says, none for some."""
+    n = (F.col("p_size") % 4).cast("int")
+    box = F.expr(f"CAST(named_struct('bbox', array(0, 0, 10, 30), 'class', 0, 'conf', 0.5, 'center_x', 5, 'height', 30) AS {b.BOX})")
+    key = F.col("p_partkey").cast("string")
+    return read(spark, d, "part").select(key.alias("post_id"), n.alias("num_columns"), F.concat(key, F.lit(".jpg")).alias("best_image"), F.array_repeat(box, n).alias("columns"), F.array().cast(f"array<{b.BOX}>").alias("signatures"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS post_id, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size % 4 AS INT) END AS num_columns, CASE WHEN p_partkey % 5 > 0 THEN p_partkey || '.jpg' END AS best_image, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size % 4 AS INT) END AS n,
+  CASE WHEN p_partkey % 5 = 0 OR p_size % 4 = 0 THEN 'no columns' END AS reason FROM part""")
 def detection_cache_probe(spark, d):
-    """A cache document read as rows, and ids without columns diverted."""
-    box = '{"bbox":[0,0,10,30],"class":0,"conf":0.5,"center_x":5,"height":30}'
-    k = F.col("r_regionkey").cast("string")
-    entry = F.concat(F.lit('"'), F.col("r_name"), F.lit('":{"num_columns":'), k, F.lit(',"best_image":"'), F.col("r_name"), F.lit('.jpg","columns":['), F.array_join(F.array_repeat(F.lit(box), F.col("r_regionkey").cast("int")), ","), F.lit('],"signatures":[]}'))
+    """A cache read as rows; ids without columns or not in it diverted."""
+    path, found = scratch_path(spark, "cache"), _detections(spark, d)
+    sinks.store_detections(found.where("CAST(post_id AS BIGINT) % 5 > 0"), path)
+    out = r.cache_probe(found.select("post_id"), files.detection_cache(spark, path))
+    return out.select("post_id", "num_columns", "best_image", F.when(F.col("columns").isNotNull(), F.size("columns")).alias("n"), "reason")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (p_size % 4 > 0) AS with_columns, count(*) FILTER (p_size % 4 = 0) AS without_columns FROM part")
+def cache_counts(spark, d):
     path = scratch_path(spark, "cache")
-    regions = read(spark, d, "region")
-    regions.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")).alias("value")).write.text(path)
-    return r.cache_probe(regions.select(F.col("r_name").alias("post_id")), files.detection_cache(spark, path)).select("post_id", "num_columns", "best_image", F.size("columns").alias("n"), "reason")
+    sinks.store_detections(_detections(spark, d), path)
+    return r.cache_counts(files.detection_cache(spark, path))
 
 
 @query("SELECT 'job-' || ((n - 1) // 80) AS job, CAST((n - 1) % 80 AS INT) AS ordinal, CAST(s_suppkey AS VARCHAR) AS post_id FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)")
 def batch_state_document(spark, d):
-    """Chunks of posts as a state document, read back as the places of replies."""
+    """Chunks of posts as state documents, read back as the places of replies."""
     chunks = r.chunked(read(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"])
     rows = chunks.select(F.concat(F.lit("job-"), F.col("chunk").cast("string")).alias("job"), F.col("chunk").cast("long").alias("chunk"), F.col("ordinal").cast("long").alias("ordinal"), F.col("s_suppkey").cast("string").alias("post_id"))
     path = scratch_path(spark, "state")
@@ -232,6 +264,98 @@ def batch_state_document(spark, d):
     return files.batch_state(spark, path)
 
 
+# Pictures: heads of PNG and JPEG files made of the columns of parts.
+
+
+def _hex(n, width: int):
+    return F.lpad(F.hex(n.cast("long")), width, "0")
+
+
+def _pictures(spark, d) -> DataFrame:
+    """``post_id, name, content``: for each part a picture as wide as its key (in 16 bits) and 100 times as high as its size; JPEG files have a segment before the frame, every seventh is cut off."""
+    k, w, h = F.col("p_partkey"), F.col("p_partkey") % 65000 + 1, F.col("p_size") * 100
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex(w, 8), _hex(h, 8), F.lit("0802000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB0004FFFFFFC0000B08"), _hex(h, 4), _hex(w, 4), F.lit("01"))
+    jpeg = F.when(k % 7 == 0, F.substring(jpeg, 1, 40)).otherwise(jpeg)
+    return read(spark, d, "part").select(k.cast("string").alias("post_id"), F.when(k % 2 == 0, "0.PNG").otherwise("1.jpg").alias("name"), F.unhex(F.when(k % 2 == 0, png).otherwise(jpeg)).alias("content"))
+
+
+@query("""
+WITH x AS (SELECT *, p_partkey % 2 = 1 AND p_partkey % 7 = 0 AS cut FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS post_id, CASE WHEN p_partkey % 2 = 0 THEN '0.PNG' ELSE '1.jpg' END AS name, CASE WHEN NOT cut THEN CAST(p_partkey % 65000 + 1 AS INT) END AS width, CASE WHEN NOT cut THEN CAST(p_size * 100 AS INT) END AS height,
+  CASE WHEN p_partkey % 2 = 0 THEN 'iVBORw' ELSE '/9j/4A' END AS head FROM x""")
+def picture_sizes(spark, d):
+    """Picture files with their sizes and contents; files of other kinds beside them aren't listed."""
+    path, made = scratch_path(spark, "pictures"), _pictures(spark, d).withColumn("folder", F.concat("post_id", F.lit("/images")))
+    sinks.write_files(made.unionByName(made.select("post_id", F.lit("note.txt").alias("name"), F.lit("x").cast("binary").alias("content"), "folder")), path)
+    return files.images(spark, path, content=True, sizes=True).select("post_id", "name", "width", "height", F.left("base64", F.lit(6)).alias("head"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS post_id, p_name AS original_metadata, CAST(p_size % 3 AS INT) AS n_columns, CAST(p_size % 2 AS INT) AS n_signatures, CASE WHEN p_size % 3 > 1 THEN 15.0::DOUBLE WHEN p_size % 3 = 1 THEN 5.0::DOUBLE END AS rightmost,
+  p_brand AS author_name, NULL::VARCHAR AS post_url, 'made' AS source, CASE WHEN p_partkey % 2 = 0 THEN '0.PNG' ELSE '1.jpg' END AS image FROM part WHERE p_partkey % 3 > 0""")
+def prepared_posts(spark, d):
+    """Posts that aren't prepared yet with their boxes from right to left and their origin; an unsure box goes."""
+    p, key = read(spark, d, "part"), F.col("p_partkey").cast("string")
+    box = lambda x, kind, conf: F.expr(f"named_struct('bbox', array({x}D, 0D, {x + 10}D, 30D), 'class', {kind}, 'conf', {conf}D)")
+    found = F.concat(F.array(box(50, 0, 0.1)), F.slice(F.array(box(0, 0, 0.9), box(10, 0, 0.5)), 1, (F.col("p_size") % 3).cast("int")), F.slice(F.array(box(0, 1, 0.7)), 1, (F.col("p_size") % 2).cast("int")))
+    pictures = _pictures(spark, d).select("post_id", "name")
+    posts = p.select(key.alias("post_id"), F.col("p_name").alias("caption"), F.col("p_brand").alias("author_name"))
+    done = p.where("p_partkey % 3 = 0").select(key.alias("post_id"))
+    rows = pr.prepared(posts, pictures, pictures.join(p.select(key.alias("post_id"), found.alias("boxes")), "post_id"), "made", done)
+    path = scratch_path(spark, "prepared")
+    sinks.write_documents(rows, path)
+    rows = spark.read.schema(f"{files.PREPARED}, image string").json(path)
+    return rows.select("post_id", "original_metadata", F.size("yolo_columns").alias("n_columns"), F.size("yolo_signatures").alias("n_signatures"), F.get("yolo_columns", F.lit(0))["center_x"].alias("rightmost"), "facebook.author_name", "facebook.post_url", "source", "image")
+
+
+@query("""
+WITH p AS (SELECT 'p_' || s_suppkey AS folder, 's:' || s_suppkey AS id, s_name FROM supplier WHERE s_suppkey % 3 > 0)
+SELECT replace(folder, 'p_', 's_') AS folder, 'label.txt' AS name, upper(s_name) AS value FROM p UNION ALL SELECT replace(folder, 'p_', 's_'), 'metadata.txt', s_name FROM p
+UNION ALL SELECT replace(folder, 'p_', 's_'), 'post_info.json', '{"post_id":"' || id || '","label":"' || upper(s_name) || '","caption":"' || s_name || '"}' FROM p UNION ALL SELECT 'images', replace(id, 's:', '') || '.jpg', id FROM p""")
+def exported_samples(spark, d):
+    """Passes as folders: label, caption, document, and the picture; rejects aren't there."""
+    key, name = F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")), F.col("s_name")
+    rows = read(spark, d, "supplier").select(key.alias("post_id"), F.when(F.col("s_suppkey") % 3 > 0, F.upper(name)).alias("label"), name.alias("caption"))
+    pictures = rows.select("post_id", F.concat(F.replace("post_id", F.lit("s:"), F.lit("")), F.lit(".jpg")).alias("name"), F.col("post_id").cast("binary").alias("content"))
+    path = scratch_path(spark, "samples")
+    sinks.export_samples(rows, pictures, path)
+    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return found.select(files.folder(F.col("_metadata.file_path")).alias("folder"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"), "value")
+
+
+#: Rules of phrases and characters for the texts there are.
+_RULES = {"tion": "<t>", "tionn": "N", "th": "z", "the": "zee", "ther": "zr", "ou": "u", "an": "na", "and": "&", "ent": "", "a": "4", "é": "e", "ç": "ss"}
+_LONGEST = "|".join(sorted(_RULES, key=lambda x: (-len(x), x)))
+
+
+@query(f"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(?s){_LONGEST}|.'), lambda x: CASE x {" ".join(f"WHEN '{k}' THEN '{v}' " for k, v in _RULES.items())} ELSE x END), '') AS converted FROM documents""")
+def phrase_rules(spark, d):
+    """Texts converted by landed rules: the longest phrase at each place, else the character."""
+    path = scratch_path(spark, "rules")
+    rules = spark.createDataFrame([*_RULES.items(), ("the", "zz"), ("", "never"), (None, "never")], "phrase string, becomes string")
+    rules.write.parquet(path)
+    return ph.simplified(read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("converted")), "converted", spark.read.parquet(path))
+
+
+@query("""
+SELECT doc_id, CASE WHEN n_chars < 100 OR length(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) < 400 THEN 'dropped' ELSE 'kept' END AS disposition, true AS marked FROM documents""")
+def marked_dispositions(spark, d):
+    """Documents marked as seen first; those without pictures or of few characters are dropped after, and neither is counted."""
+    path, docs = scratch_path(spark, "seen"), read(spark, d, "documents")
+    ids = docs.select(F.col("doc_id").cast("string").alias("post_id"))
+    sinks.mark_seen(ids, files.seen_near(spark, path, ids), path)
+    images = F.when(F.col("n_chars") >= 100, F.array(F.lit("x"))).otherwise(F.array())
+    rows = docs.select(F.col("doc_id").cast("string").alias("post_id"), "doc_id", t.disposition(images, t.skip_reason(F.col("text"), t.LETTERS, (), 400), counted=False).alias("disposition"))
+    return rows.join(files.seen_ids(spark, path).select("post_id", F.lit(True).alias("marked")), "post_id", "left").select("doc_id", "disposition", F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamped FROM events")
+def stamped_times(spark, d):
+    return read(spark, d, "events").select("event_id", t.stamp(F.col("ts")).alias("stamped"))
+
+
 def _outcomes(spark, d) -> DataFrame:
     o = read(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("post_id"), F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("REJECT").alias("status"), F.col("o_totalprice").alias("leven_score"), F.col("o_orderpriority").alias("ocr"), F.col("o_orderstatus").alias("caption"))
@@ -299,6 +423,21 @@ def lookup_with_fallback(spark, d):
     return r.lookup_or_scan(index, documents, "17").unionByName(r.lookup_or_scan(index, documents, "18"))
 
 
+@query(f"""
+WITH x AS ({_INDEX}) SELECT * EXCLUDE (author_id, post_url), CASE WHEN CAST(post_id_numeric AS BIGINT) % 10 = 0 THEN 'new' ELSE author_id END AS author_id, CASE WHEN CAST(post_id_numeric AS BIGINT) % 10 = 5 THEN NULL ELSE post_url END AS post_url FROM x
+UNION ALL SELECT 'n' || doc_id AS post_id_numeric, NULL AS v11_folder, NULL AS merged_folder, NULL AS scrape_time, true AS has_label, 'later' AS author_id, NULL AS post_url FROM documents WHERE doc_id % 50 = 1""")
+def index_upserts(spark, d):
+    """An index built in one upsert; a second one changes some ids and adds others, and leaves what it has no values for."""
+    path, key = scratch_path(spark, "index"), F.col("post_id_numeric")
+    index = _index(spark, d).select(*sinks.INDEX_COLUMNS)
+    none = F.lit(None).cast("string")
+    sinks.upsert_index(index.withColumn("post_url", F.when(key.cast("long") % 10 == 5, none).otherwise(F.col("post_url"))), path)
+    changed = index.where(key.cast("long") % 10 == 0).select(key, F.lit("new").alias("author_id"), *[none.cast("boolean" if c == "has_label" else "string").alias(c) for c in sinks.INDEX_COLUMNS[2:]])
+    added = read(spark, d, "documents").where("doc_id % 50 = 1").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("post_id_numeric"), F.lit("later").alias("author_id"), *[none.alias(c) for c in sinks.INDEX_COLUMNS[2:-1]], F.lit(True).alias("has_label"))
+    sinks.upsert_index(changed.unionByName(added), path)
+    return spark.read.parquet(path).drop("bucket")
+
+
 @query(f"WITH x AS ({_INDEX}) SELECT count(*) AS n, count(*) FILTER (merged_folder IS NOT NULL) AS with_merged, count(*) FILTER (merged_folder IS NULL) AS only_v11 FROM x")
 def index_counts(spark, d):
     return r.tallies(_index(spark, d), with_merged=F.col("merged_folder").isNotNull(), only_v11=F.col("merged_folder").isNull())

@@ -191,7 +191,9 @@ def id_roundtrip_base64(spark, d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_extract(spark, d):
-    return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    """A property found in the walk of each event's own text."""
+    tree = j.walked(read(spark, d, "events").select("event_id", "props"), ["event_id"], "props")
+    return j.first_value(tree, ["event_id"], "k").select("event_id", F.col("k").try_cast("long").alias("k"))
 
 
 def _trees(spark, d):
@@ -312,8 +314,8 @@ def response_zip(spark, d):
 @query("""
 SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n = 1""")
 def best_by_measure(spark, d):
-    best = F.max_by(F.struct("l_linenumber", "l_extendedprice"), F.struct(F.col("l_extendedprice"), -F.col("l_linenumber"), -F.col("l_partkey")))
-    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("x")).select("l_orderkey", "x.*")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    return r.best_by(rows, ["l_orderkey"], "l_extendedprice", -F.col("l_linenumber"), -F.col("l_partkey")).drop("l_partkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 50 OFFSET 100")
@@ -419,12 +421,14 @@ def log_occurrences(spark, d):
 
 
 @query("""
-WITH a AS (SELECT doc_id, lang AS label, quality AS columns FROM documents JOIN labels USING (doc_id)), z AS (SELECT doc_id, lang || CASE WHEN toxic = 1 THEN '!' ELSE '' END AS label, toxic AS columns FROM documents JOIN labels USING (doc_id) WHERE n_chars > 200)
-SELECT count(*) FILTER (WHERE z.label <> a.label) AS labels_changed, count(*) FILTER (WHERE z.columns <> a.columns) AS columns_changed,
-  CAST(coalesce(sum(length(z.label) - length(a.label)) FILTER (WHERE z.label <> a.label), 0) AS BIGINT) AS chars_gained, count(*) FILTER (WHERE z.label IS NULL) AS skipped FROM a LEFT JOIN z ON a.doc_id = z.doc_id""")
+WITH a AS (SELECT doc_id, lang AS label, quality AS columns, text FROM documents JOIN labels USING (doc_id)), z AS (SELECT doc_id, lang || CASE WHEN toxic = 1 THEN '!' ELSE '' END AS label, toxic AS columns FROM documents JOIN labels USING (doc_id) WHERE n_chars > 200)
+SELECT count(*) FILTER (WHERE z.label <> a.label) AS labels_changed, count(*) FILTER (WHERE z.columns <> a.columns) AS columns_changed, count(*) FILTER (WHERE length(z.label) > length(a.label)) AS labels_longer, count(*) FILTER (doc_id % 4 = 0) AS annotated,
+  CAST(coalesce(sum(length(z.label) - length(a.label)) FILTER (WHERE z.label <> a.label), 0) AS BIGINT) AS chars_gained, count(*) FILTER (WHERE z.label IS NULL) AS skipped FROM a LEFT JOIN z USING (doc_id)""")
 def fix_deltas(spark, d):
+    """Counters of a pass; every fourth caption has a bracketed annotation, every fifth one in brackets of no kind that is stripped."""
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
-    before = rows.select(F.col("doc_id").alias("post_id"), F.col("lang").alias("label"), F.col("quality").alias("columns"))
+    caption = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, "（ 上聯】").when(F.col("doc_id") % 5 == 0, "<上聯>").otherwise(""))
+    before = rows.select(F.col("doc_id").alias("post_id"), F.col("lang").alias("label"), F.col("quality").alias("columns"), caption.alias("caption"))
     after = rows.where("n_chars > 200").select(F.col("doc_id").alias("post_id"), F.concat("lang", F.when(F.col("toxic") == 1, "!").otherwise("")).alias("label"), F.col("toxic").alias("columns"))
     return r.fix_deltas(before, after)
 

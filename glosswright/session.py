@@ -67,6 +67,15 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_store(path: str):
+    """A path's file system and its path there, for tasks that read or write files of their own."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}://{rest}" if colon else f"file://{path.removeprefix('file:')}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions.boxes import BOX
+from glosswright.functions.pictures import picture_sizes
 from glosswright.functions.text import strip
+from glosswright.session import ship
 from glosswright.sources import sinks
 
 RESPONSE = "method string, url string, post_data string, status int, body string, received_at timestamp"
@@ -21,6 +23,7 @@ SAMPLE = (
     f"yolo_columns_clean array<{BOX}>, fixes_applied array<string>, label_v1 string, leven_score_v1 double, columns_v1 int, visible_ratio double"
 )
 DETECTION = f"map<string, struct<num_columns int, best_image string, columns array<{BOX}>, signatures array<{BOX}>>>"
+DETECTION_ROW = f"post_id string, num_columns int, best_image string, columns array<{BOX}>, signatures array<{BOX}>"
 IMAGES = ("jpg", "jpeg", "png")
 #: Marks of a supervisor's log; the last is found in either case.
 LOG_MARKS = ("Da luu", "XONG", "STOP", "posts")
@@ -92,16 +95,22 @@ def captions(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame
     return rows.withColumn("caption", strip(F.col("caption"))) if stripped else rows
 
 
-def images(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """``post_id, name`` of pictures under ``…/<post>/images/``; with ``content`` also ``base64``. Without, files aren't opened."""
+def images(spark: SparkSession, path: str, content: bool = False, sizes: bool = False) -> DataFrame:
+    """``post_id, name`` of pictures under ``…/<post>/images/``; with ``content`` also ``base64``, with ``sizes`` also ``width, height`` from their heads. Without either, files aren't opened."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     at = F.col("path")
     rows = rows.where(F.lower(F.regexp_extract(at, r"\.([^./]+)$", 1)).isin(*IMAGES)).withColumn("post_id", F.regexp_extract(at, r"([^/]+)/images/[^/]+$", 1)).withColumn("name", F.regexp_extract(at, r"([^/]+)$", 1))
-    return rows.select("post_id", "name", F.base64("content").alias("base64")) if content else rows.select("post_id", "name")
+    more = []
+    if sizes:
+        ship(spark)
+        rows, more = rows.withColumn("size", picture_sizes("content")), ["size.width", "size.height"]
+    return rows.select("post_id", "name", *more, *([F.base64("content").alias("base64")] if content else []))
 
 
-def detection_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A cache file as rows: ``post_id, num_columns, best_image, columns, signatures``."""
+def detection_cache(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
+    """A cache as rows: ``post_id, num_columns, best_image, columns, signatures``, from a document for each post; or from one document of all posts, which is one task's work."""
+    if not one_document:
+        return spark.read.schema(DETECTION_ROW).json(path)
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", DETECTION)).alias("post_id", "d"))
     return rows.select("post_id", "d.*")
 
@@ -137,12 +146,9 @@ def cursor(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batch_state(spark: SparkSession, path: str) -> DataFrame:
-    """``job, ordinal, post_id`` of a state document (``jobs`` with counts, ``order`` of all ids)."""
-    state = spark.read.schema("jobs array<struct<name string, count int>>, `order` array<string>").json(path, multiLine=True)
-    jobs = state.select("order", F.posexplode("jobs").alias("j", "job"), F.expr("transform(jobs, x -> x.count)").alias("counts"))
-    jobs = jobs.withColumn("start", F.aggregate(F.slice("counts", 1, F.col("j")), F.lit(0), lambda a, c: a + c))
-    ids = jobs.select(F.col("job.name").alias("job"), F.posexplode(F.slice("order", F.col("start") + 1, F.col("job.count"))).alias("ordinal", "post_id"))
-    return ids
+    """``job, ordinal, post_id`` of the state of submitted chunks."""
+    state = spark.read.schema("name string, `order` array<string>").json(path)
+    return state.select(F.col("name").alias("job"), F.posexplode("order").alias("ordinal", "post_id"))
 
 
 def last_marked(lines: DataFrame, order: str, line: str, marks: tuple[str, ...] = LOG_MARKS) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions.text import safe_id
 from glosswright.operators.relational import appended, unseen
+from glosswright.session import in_store, ship, written
 
 #: The index's columns in their order.
 INDEX_COLUMNS = ("post_id_numeric", "author_id", "post_url", "v11_folder", "merged_folder", "scrape_time", "has_label")
+INDEX = ", ".join(f"{c} {'boolean' if c == 'has_label' else 'string'}" for c in INDEX_COLUMNS)
+INDEX_KEYS, INDEX_BUCKETS = ("post_id_numeric", "post_url", "v11_folder"), 64
 
 #: The seen table's columns, and the number of buckets it is dealt out to.
 SEEN, SEEN_BUCKETS = "post_id string, timestamp timestamp, batch string, bucket int", 256
@@ -38,6 +43,36 @@ def export_posts(posts: DataFrame, path: str) -> None:
     posts.withColumn("folder", safe_id(F.col("post_id"))).repartition("folder").write.mode("append").partitionBy("folder").json(path)
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """Each row (``folder, name, content``; text or bytes) as a file of its own. A repeated task writes the same files again."""
+    ship(rows.sparkSession)
+    rows = rows.select("folder", "name", F.col("content").cast("binary").alias("content"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = in_store(path)
+        for batch in batches:
+            for folder, name, content in zip(*[c.to_pylist() for c in batch.columns]):
+                store.create_dir(f"{at}/{folder}")
+                with store.open_output_stream(f"{at}/{folder}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def export_samples(passes: DataFrame, pictures: DataFrame, path: str) -> None:
+    """Each pass (``post_id, label, caption`` and what else its document holds) as a folder: its picture (``post_id, name, content``), label, caption and document.
+
+    Rejects have no label and aren't written; a pass without a picture has the rest.
+    """
+    passes = passes.where("label IS NOT NULL").withColumn("folder", safe_id(F.col("post_id")))
+    text = lambda name, content: F.struct(F.lit(name).alias("name"), F.coalesce(content, F.lit("")).cast("binary").alias("content"))
+    document = F.to_json(F.struct(*[c for c in passes.columns if c != "folder"]))
+    files = passes.select("folder", F.explode(F.array(text("label.txt", F.col("label")), text("metadata.txt", F.col("caption")), text("post_info.json", document))).alias("f")).select("folder", "f.*")
+    own = pictures.join(passes.select("post_id", "folder"), "post_id").select(F.concat("folder", F.lit("/images")).alias("folder"), "name", "content")
+    write_files(files.unionByName(own), path)
+
+
 def ensure_table(spark: SparkSession, path: str, schema: str) -> None:
     """Makes an empty table where there is none."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,11 +111,15 @@ def store_cursor(cursor: DataFrame, path: str) -> None:
 
 
 def store_batch_state(rows: DataFrame, path: str) -> None:
-    """The state document of submitted chunks (``job, chunk, ordinal, post_id``): its jobs with their counts, and the order of all ids. It is one document by its nature."""
-    jobs = rows.groupBy("chunk", "job").agg(F.count("*").cast("int").alias("count"))
-    jobs = jobs.agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "job", "count"))), lambda x: F.struct(x["job"].alias("name"), x["count"].alias("count"))).alias("jobs"))
-    order = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ordinal", "post_id"))), lambda x: x["post_id"]).alias("order"))
-    jobs.crossJoin(order).write.mode("overwrite").json(path)
+    """The state of submitted chunks (``job, chunk, ordinal, post_id``): a document for each job with its number of posts and their order, as many as a chunk holds."""
+    order = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "post_id"))), lambda x: x["post_id"])
+    jobs = rows.groupBy("chunk", F.col("job").alias("name")).agg(F.count("*").cast("int").alias("count"), order.alias("order"))
+    jobs.write.mode("overwrite").json(path)
+
+
+def store_detections(cache: DataFrame, path: str) -> None:
+    """A cache of detections (``post_id, num_columns, best_image, columns, signatures``) as a document for each post."""
+    cache.write.mode("overwrite").json(path)
 
 
 def write_outcomes(outcomes: DataFrame, path: str) -> None:
@@ -97,13 +136,40 @@ def merge_results(old: DataFrame, new: DataFrame, path: str) -> None:
     appended(old, new, "post_id").write.mode("overwrite").parquet(path)
 
 
+def _with_filters(writer: DataFrameWriter, keys: tuple[str, ...]) -> DataFrameWriter:
+    """Parquet Bloom filters on key columns: a lookup of a value that a row group lacks doesn't read it, sorted or not."""
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    return writer
+
+
 def write_index(index: DataFrame, path: str, as_csv: bool = False) -> None:
-    """The trace index, sorted within files by id so that lookups skip row groups; as CSV with a byte-order mark before the header of every file."""
+    """The trace index, sorted within files by id and with filters on ids and addresses so that lookups skip row groups; as CSV with a byte-order mark before the header of every file."""
     if not as_csv:
-        index.repartitionByRange("post_id_numeric").sortWithinPartitions("post_id_numeric").write.mode("overwrite").parquet(path)
+        ranged = index.repartitionByRange("post_id_numeric").sortWithinPartitions("post_id_numeric")
+        _with_filters(ranged.write.mode("overwrite"), INDEX_KEYS).parquet(path)
         return
     first, *rest = INDEX_COLUMNS
-    index.select(F.col(first).alias("﻿" + first), *rest).write.mode("overwrite").option("header", True).csv(path)
+    index.select(F.col(first).alias("\ufeff" + first), *rest).write.mode("overwrite").option("header", True).csv(path)
+
+
+def upsert_index(new: DataFrame, path: str) -> int:
+    """Merges rows (``INDEX_COLUMNS``) into the index kept by buckets of the id's hash. Only buckets that have one of the new ids are read and rewritten; how many.
+
+    What a new row leaves null keeps its old value; of several new rows of an id the greatest counts. A repeat changes nothing. Readers of a bucket see it before or after.
+    """
+    spark, key = new.sparkSession, INDEX_COLUMNS[0]
+    rows = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*INDEX_COLUMNS[1:])).alias("x")).select(key, "x.*")
+    rows = written(rows.withColumn("bucket", seen_bucket(F.col(key), INDEX_BUCKETS)), "new")
+    buckets = [x.bucket for x in rows.select("bucket").distinct().collect()]  # INDEX_BUCKETS at most
+    ensure_table(spark, path, f"{INDEX}, bucket int")
+    old = spark.read.schema(f"{INDEX}, bucket int").parquet(path).where(F.col("bucket").isin(buckets))
+    a, b = old.alias("a"), rows.alias("b")
+    pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
+    merged = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.bucket") == F.col("b.bucket")), "full_outer").select(*[pick(c) for c in (*INDEX_COLUMNS, "bucket")])
+    merged = written(merged, "merged").repartition("bucket").sortWithinPartitions("bucket", key)
+    _with_filters(merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket"), INDEX_KEYS).parquet(path)
+    return len(buckets)
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
