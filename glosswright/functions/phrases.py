@@ -63,4 +63,4 @@ def simplified(rows: DataFrame, column: str, rules: DataFrame, into: str | None
     if len(found) > most:
         raise ValueError(f"more than {most} rules")
     sent = spark.sparkContext.broadcast({x.phrase: x.becomes for x in found})
-    return rows.withColumn(into or column, F.pandas_udf(_run(sent), "string", functionType=F.PandasUDFType.SCALAR_ITER)(F.col(column)))
+    return rows.withColumn(into or column, F.pandas_udf(_run(sent), "string")(F.col(column)))
