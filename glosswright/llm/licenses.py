@@ -181,13 +181,33 @@ RULES = (
 VERSIONED = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 TAGS = (*[f"{spdx}-{which}" for spdx in VERSIONED for which in ("only", "or-later")], *sorted({spdx for _, spdx in RULES} - set(NAMES.values())))
 
+#: Titles of licence texts, normalised, with their dates where they have such.
+TITLES = {
+    "mit license": "MIT",
+    "the mit license": "MIT",
+    "the mit license mit": "MIT",
+    "apache license version 2.0 january 2004": "Apache-2.0",
+    "apache license version 2.0 january 2004 www.apache.org licenses": "Apache-2.0",
+    "gnu general public license version 2 june 1991": "GPL-2.0",
+    "gnu general public license version 3 29 june 2007": "GPL-3.0",
+    "gnu lesser general public license version 2.1 february 1999": "LGPL-2.1",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL-3.0",
+    "gnu affero general public license version 3 19 november 2007": "AGPL-3.0",
+    "mozilla public license version 2.0": "MPL-2.0",
+    "eclipse public license v 2.0": "EPL-2.0",
+    "isc license": "ISC",
+    "bsd 2 clause license": "BSD-2-Clause",
+    "bsd 3 clause license": "BSD-3-Clause",
+    "boost software license version 1.0 august 17th 2003": "BSL-1.0",
+}
+
 #: Each known sentence has one of these. None has white space in it, which texts may wrap.
 STEMS = ("licens", "licenc", "permi", "distribut", "warrant", "copyright", "unencumbered", "spdx", "liab", "software", "profits")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Normalising, in this order: marks of comments at the beginning of lines, quotes, then all ASCII but letters, digits and ends of sentences.
 LEADERS = r"\n[ \t]*[/*#;%>!|-]+"
-SPELLING = (("licence", "license"), ("https://", ""), ("http://", ""), ("spdx-license-identifier:", "spdx "))
+SPELLING = (("licence", "license"), ("https://", ""), ("http://", ""), ("spdx-license-identifier:", "spdx "), ("-or-later", " orlater"), *[(f"{x.lower()}+", f"{x.lower()} orlater") for x in VERSIONED])
 OTHER = r"[\x00-\x09\x0B-\x20\x22-\x2D\x2F\x3C-\x3E\x40-\x60\x7B-\x7F“”‘’«»]+"
 PARAGRAPH = r"\n *\n"
 ENDS = r"[.!?:;]+( |\x01|$)"
@@ -201,6 +221,8 @@ OWNERS = (
 )
 #: In a sentence the forms of a grant.
 GRANT = r"^(?:(?:this|the) [a-z]+ (?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|available|provided) under (?:the terms of )?(?:the |a )?"
+#: In a grant: how a choice of licences begins, and how later versions are allowed.
+CHOICE, LATER = r"^(?:either )?(?:of )?(?:the |a )?", r" or (?:at your option )?(?:any )?later(?: version)?"
 #: Sentences that may stand between those of a rule.
 IGNORED = r"^(?:.{0,3}|(?:c )?copyright .*|all rights reserved|this product includes software developed by .*)$"
 
@@ -232,11 +254,47 @@ def known() -> dict[str, str]:
             found.setdefault(sentence, part)
     grants = {f"licensed under {name}": f"is-{spdx}" for name, spdx in NAMES.items()}
     tags = {_tag(spdx): f"is-{spdx}" for spdx in (*NAMES.values(), *TAGS)}
-    return grants | tags | found
+    return {title: f"is-{spdx}" for title, spdx in TITLES.items()} | grants | tags | found
 
 
 def _tag(spdx: str) -> str:
-    return f"spdx {spdx.lower().replace('-', ' ')}"
+    return f"spdx {spdx.lower().replace('-or-later', ' orlater').replace('-', ' ')}"
+
+
+@cache
+def tagged() -> dict[str, str]:
+    """The licences of tags, as they stand in an expression, and the old tags of versioned ones."""
+    return {_tag(spdx).removeprefix("spdx "): spdx for spdx in (*NAMES.values(), *TAGS)}
+
+
+@cache
+def granted() -> dict[str, str]:
+    """Names of licences in a grant, longer ones first, and with later versions before without."""
+    later = {f"{name} orlater": f"{spdx}-or-later" for name, spdx in NAMES.items() if spdx in VERSIONED}
+    return dict(sorted((later | NAMES).items(), key=lambda x: (-len(x[0]), x[0])))
+
+
+def _literal(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
+def _marks(licenses: Column) -> Column:
+    """An identifier for each licence, a dash for nulls."""
+    return F.array_join(F.transform(licenses, lambda x: F.coalesce(F.concat(F.lit("<is-"), x, F.lit(">")), F.lit("-"))), "")
+
+
+def _expression(s: Column) -> Column:
+    """The licences of a tag's expression, whichever way it joins them; exceptions after "with" go."""
+    return _marks(F.transform(F.split(F.substring(s, F.lit(6), F.length(s)), " (?:or|and) "), lambda x: _literal(tagged())[F.split_part(x, F.lit(" with "), F.lit(1))]))
+
+
+def _grant(s: Column) -> Column:
+    """The licences that a grant names at its beginning or in a choice, what follows the names aside."""
+    names = F.array(*map(F.lit, granted()))
+    named = lambda x: F.get(F.filter(names, lambda n: F.startswith(F.concat(x, F.lit(" ")), F.concat(n, F.lit(" ")))), F.lit(0))
+    rest = F.regexp_replace(F.regexp_replace(F.substring(s, F.lit(16), F.length(s)), LATER, " orlater"), CHOICE, "")
+    found = F.filter(F.transform(F.split(rest, " or (?:the |a )?"), named), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, _marks(F.transform(found, lambda x: _literal(granted())[x]))).otherwise("-")
 
 
 def rules() -> list[tuple[str, str]]:
@@ -256,9 +314,13 @@ def _sentences(plain: Column, joined: bool) -> Column:
 
 
 def _sequence(sentences: Column, table: dict[str, str]) -> Column:
-    """``<id>`` for each known sentence, a dash for others; sentences that may be anywhere are left out."""
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    ids = F.transform(sentences, lambda s: F.when(s.isin(*table), F.concat(F.lit("<"), lookup[s], F.lit(">"))).when(s.rlike(IGNORED), "").otherwise("-"))
+    """``<id>`` for each known sentence, for each licence of a tag's expression and of a grant, a dash for others; sentences that may be anywhere are left out."""
+    lookup = _literal(table)
+    known_ = lambda s: F.concat(F.lit("<"), lookup[s], F.lit(">"))
+    ids = F.transform(
+        sentences,
+        lambda s: F.when(s.isin(*table), known_(s)).when(s.rlike(IGNORED), "").when(s.startswith("spdx "), _expression(s)).when(s.startswith("licensed under "), _grant(s)).otherwise("-"),
+    )
     return F.regexp_replace(F.array_join(ids, ""), "-+", "-")
 
 
@@ -308,6 +370,7 @@ def oracle_sql() -> str:
         matched = f"regexp_replace({matched}, {quoted(pattern)}, {quoted('{' + spdx + '}')}, 'g')"
     for pattern, put in OWNERS:
         owned = f"regexp_replace({owned}, {quoted(pattern)}, {quoted(put)}, 'g')"
+    tags, names = ("MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in t.items()) + "}" for t in (tagged(), granted()))
     return f"""
 WITH known(sentence, id) AS (VALUES {values}),
 lows AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
@@ -318,8 +381,11 @@ owned AS (SELECT r, doc_id, way, {owned} AS t FROM ways),
 cut AS (SELECT r, doc_id, way, string_split(regexp_replace(t, {quoted(ENDS)}, chr(1), 'g'), chr(1)) AS list FROM owned),
 each AS (SELECT r, doc_id, way, unnest(list) AS s, unnest(range(len(list))) AS i FROM cut),
 sentences AS (SELECT r, doc_id, way, i, regexp_replace(trim(s, ' '), {quoted(GRANT)}, 'licensed under ') AS s FROM each),
-named AS (SELECT r, doc_id, way, i, id, CASE WHEN id IS NOT NULL THEN '<' || id || '>' WHEN regexp_matches(s, {quoted(IGNORED)}) THEN '' ELSE '-' END AS mark FROM sentences LEFT JOIN known ON s = sentence),
-raw AS (SELECT r, doc_id, way, count(id) AS n, regexp_replace(string_agg(mark, '' ORDER BY i), '-+', '-', 'g') AS seq FROM named GROUP BY r, doc_id, way),
+named AS (SELECT r, doc_id, way, i, CASE WHEN id IS NOT NULL THEN '<' || id || '>' WHEN regexp_matches(s, {quoted(IGNORED)}) THEN ''
+  WHEN starts_with(s, 'spdx ') THEN array_to_string(list_transform(string_split_regex(substr(s, 6), ' (?:or|and) '), lambda x: coalesce('<is-' || {tags}[split_part(x, ' with ', 1)] || '>', '-')), '')
+  WHEN starts_with(s, 'licensed under ') THEN coalesce(nullif(array_to_string(list_transform(string_split_regex(regexp_replace(regexp_replace(substr(s, 16), {quoted(LATER)}, ' orlater', 'g'), {quoted(CHOICE)}, ''), ' or (?:the |a )?'),
+    lambda x: coalesce('<is-' || {names}[list_filter(map_keys({names}), lambda n: starts_with(x || ' ', n || ' '))[1]] || '>', '')), ''), ''), '-') ELSE '-' END AS mark FROM sentences LEFT JOIN known ON s = sentence),
+raw AS (SELECT r, doc_id, way, sum(length(mark) - length(replace(mark, '<', '')))::BIGINT AS n, regexp_replace(string_agg(mark, '' ORDER BY i), '-+', '-', 'g') AS seq FROM named GROUP BY r, doc_id, way),
 done AS (SELECT r, doc_id, way, n, regexp_replace({matched}, '<is-([^>]*)>', '{{\\1}}', 'g') AS m FROM raw),
 found AS (SELECT *, list_distinct(regexp_extract_all(m, '\\{{([^}}]*)\\}}', 1)) AS l FROM done)
 SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list(l)))), ',') AS licenses, max(n) AS n_known,
