@@ -170,23 +170,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document row: ``doc_id, n_words, n_removed, kept_sha256, kept``.
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller integer ``doc_id``. Null ids count as larger than all others and
-    as equal; rows that share an id don't remove each other's words. Null and empty texts have no words. ``kept`` holds the words left, one space apart. Other
+    as equal; rows that share an id don't remove each other's words (texts of rows without an id are told apart by 64 bits, those of one id by 32). Null and empty texts have no words. ``kept`` holds the words left, one space apart. Other
     columns are ignored; an empty table gives an empty result. Whole texts are compared: a task holds some 200 bytes for each word of the longest.
     """
     spark = docs.sparkSession
     ship(spark)
-    # `version` tells rows that share an id apart.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text", F.hash(F.coalesce("text", F.lit(""))).alias("version"), "doc_id")
+    # `version` tells rows that share an id apart: by 64 bits those without an id, of which there may be any number, by 32 bits others, whose upper half of zeros isn't shuffled for long.
+    text = F.coalesce("text", F.lit(""))
+    version = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text", version.alias("version"), "doc_id")
     texts = rows.select("id", "text", "version")
     found = texts.mapInArrow(_symbols(window), "key bigint, context bigint, id bigint")
     found = found.groupBy("key").agg(F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 < i1")
     found = written(found.select("key", (F.col("c0") != F.col("c1")).alias("split")), "symbols")
     bits = bm.bits_for(found.count())
     shared, split = (spark.sparkContext.broadcast(bm.bitmap(x, "key", bits)) for x in (found, found.where("split")))
-    parts = texts.mapInArrow(_compared(shared, split, bits, window), "k1 bigint, k2 bigint, id bigint, version int, low int, n int")
+    parts = texts.mapInArrow(_compared(shared, split, bits, window), "k1 bigint, k2 bigint, id bigint, version bigint, low int, n int")
     least = parts.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k1", "k2", "least")
     spans = parts.join(least, ["k1", "k2"]).where("id > least").groupBy("id", "version").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
-    packed = T.StructType([T.StructField("id", T.LongType()), T.StructField("packed", T.BinaryType()), T.StructField("version", T.IntegerType()), rows.schema["doc_id"]])
+    packed = T.StructType([T.StructField("id", T.LongType()), T.StructField("packed", T.BinaryType()), T.StructField("version", T.LongType()), rows.schema["doc_id"]])
     joined = rows.mapInArrow(_pack, packed).join(spans, ["id", "version"], "left").select("doc_id", "packed", "spans")
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_words bigint, n_removed bigint, kept_sha256 string, kept string").fields])
     return joined.mapInArrow(_cut(window), schema)

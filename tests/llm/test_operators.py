@@ -565,3 +565,13 @@ def test_fingerprints_of_near_copies(spots):
     words = [f"the w{i} v{i}" for i in range(spots)]
     long, short, other = fingerprints.signatures(fingerprints.pa.array([" ".join(words), " ".join(words[:-1]), "x y z " * spots]), fingerprints._anchor_hashes())
     assert fingerprints.pruned_jaccard(long, short) > 0.8 and fingerprints.pruned_jaccard(long, other) == 0
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """Two texts of one 32-bit hash, both without an id: the words of one are repeats, those of the other occur nowhere else."""
+    repeated, single = " ".join(f"w{i}" for i in range(1, 17)), " ".join(f"v{i}" for i in range(1, 17))
+    rows = [(1, repeated), (None, f"e157784 {repeated}"), (None, f"o47959 {single}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.where("doc_id IS NULL").selectExpr("hash(text) AS h").distinct().count() == 1
+    got = sorted((x.n_words, x.n_removed, x.kept) for x in repeats.without_repeats(docs).collect())
+    assert got == [(16, 0, repeated), (17, 0, f"o47959 {single}"), (17, 16, "e157784")]
