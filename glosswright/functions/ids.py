@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How encoded ids begin, the site, and the patterns of ids below.
 ENCODED = "Uzpf"
 SITE = "https://www.facebook.com"
-LEAST_DIGITS = 8
 
 
 def _parts(encoded: Column) -> Column:
@@ -21,7 +21,7 @@ def decode_id(encoded: Column) -> Column:
     """``author, post`` of an encoded id: the last ``_I…`` part and the last part of more than eight digits."""
     author = F.try_element_at(F.filter(_parts(encoded), lambda p: p.startswith("_I")), F.lit(-1))
     post = F.try_element_at(F.filter(_parts(encoded), lambda p: p.rlike(r"^\d{9,}$")), F.lit(-1))
-    return F.struct(F.substring(author, 3, 1_000).alias("author"), post.alias("post"))
+    return F.struct(F.substring(author, F.lit(3), F.length(author)).alias("author"), post.alias("post"))
 
 
 def first_post(encoded: Column) -> Column:

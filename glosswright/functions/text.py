@@ -127,11 +127,12 @@ def verify_label(clean: Column, caption: Column, kept: str = HAN_EXT, share: flo
 
 
 def reply_fields(reply: Column, kept: str = HAN_EXT) -> Column:
-    """The fields of a structured model reply: ``has_calligraphy, clean_text, high_count``; what is missing is false, empty or 0."""
+    """The fields of a structured model reply: ``has_calligraphy, clean_text, high_count``; what is missing is false, empty or 0, and a count beyond 32 bits is the largest of them."""
+    digits = F.regexp_extract(F.coalesce(reply, F.lit("")), r"HIGH_COUNT:\s*0*(\d+)", 1)
     return F.struct(
         (F.upper(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?i)HAS_CALLIGRAPHY:\s*(YES|NO)", 1)) == "YES").alias("has_calligraphy"),
         keep_chars(F.regexp_extract(F.coalesce(reply, F.lit("")), r"CLEAN_TEXT:\s*(.+)", 1), kept).alias("clean_text"),
-        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(reply, F.lit("")), r"HIGH_COUNT:\s*(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0)).alias("high_count"),
+        F.when(F.length(digits) > 10, (1 << 31) - 1).otherwise(F.least(F.coalesce(digits.try_cast("long"), F.lit(0)), F.lit((1 << 31) - 1)).cast("int")).alias("high_count"),
     )
 
 

@@ -138,6 +138,21 @@ def posts(tree: DataFrame, keys: list[str], bare: bool = True) -> DataFrame:
     return found.where("first_pos IS NOT NULL")
 
 
+def tree_facts(tree: DataFrame, keys: list[str], values: tuple[str, ...] = (), bare: bool = True) -> DataFrame:
+    """Of each tree in one pass: ``n`` nodes, the first filled ``cursor``, the ``ids`` of posts in order, ``nodes`` (``post_id, node``) of its posts, and the first filled value of each of ``values``."""
+    names, node = _names_post(bare), _node() & F.col("filled") & _field("id").isNotNull()
+    cursor = (F.col("key") == "page_info") & (_field("end_cursor") != "")
+    ordered = lambda where, **x: F.sort_array(F.collect_list(F.when(where, F.struct(F.col("pos"), *[v.alias(k) for k, v in x.items()]))))
+    out = tree.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        _first(cursor, _field("end_cursor")).alias("cursor"),
+        F.array_distinct(F.transform(ordered(names, post_id=_post()), lambda x: x["post_id"])).alias("ids"),
+        ordered(node, post_id=_field("id"), node=F.col("value")).alias("nodes"),
+        *[_first(*_filled(k)).alias(k) for k in values],
+    )
+    return out.withColumn("nodes", F.transform("nodes", lambda x: F.struct(x["post_id"].alias("post_id"), x["node"].alias("node"))))
+
+
 def end_cursors(tree: DataFrame, response: list[str], line: str = "line_no") -> DataFrame:
     """Of each response the first filled ``page_info.end_cursor`` of its last line that has one."""
     found = tree.where((F.col("key") == "page_info") & (F.col("type") == "object") & (_field("end_cursor") != ""))

@@ -291,6 +291,19 @@ def picture_sizes(spark, d):
     return files.images(spark, path, content=True, sizes=True).select("post_id", "name", "width", "height", F.left("base64", F.lit(6)).alias("head"))
 
 
+@query("""
+WITH x AS (SELECT *, CASE WHEN NOT (p_partkey % 2 = 1 AND p_partkey % 7 = 0) THEN CAST(p_size * 100 AS INT) END AS h FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS post_id, h AS image_height, 200.0::DOUBLE / length(p_name) < h / 150.0::DOUBLE AS dense FROM x""")
+def picture_density(spark, d):
+    """Posts whose characters are too small for their picture, of which files of heads tell the height; unknown where the head is cut off."""
+    path = scratch_path(spark, "pictures")
+    sinks.write_files(_pictures(spark, d).withColumn("folder", F.concat("post_id", F.lit("/images"))), path)
+    box = F.struct(F.array(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(200.0)).alias("bbox"), F.lit(200.0).alias("height"))
+    posts = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("post_id"), F.col("p_name").alias("text"), F.array(box).alias("columns"))
+    rows = fu.with_picture(posts, files.images(spark, path, sizes=True))
+    return rows.select("post_id", "image_height", fu.too_dense(F.col("columns"), F.col("text"), F.col("image_height")).alias("dense"))
+
+
 @query("""
 SELECT CAST(p_partkey AS VARCHAR) AS post_id, p_name AS original_metadata, CAST(p_size % 3 AS INT) AS n_columns, CAST(p_size % 2 AS INT) AS n_signatures, CASE WHEN p_size % 3 > 1 THEN 15.0::DOUBLE WHEN p_size % 3 = 1 THEN 5.0::DOUBLE END AS rightmost,
   p_brand AS author_name, NULL::VARCHAR AS post_url, 'made' AS source, CASE WHEN p_partkey % 2 = 0 THEN '0.PNG' ELSE '1.jpg' END AS image FROM part WHERE p_partkey % 3 > 0""")

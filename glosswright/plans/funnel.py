@@ -21,6 +21,17 @@ def best_image(detections: DataFrame) -> DataFrame:
     return detections.groupBy("post_id").agg(F.max_by(F.struct("image", "columns", "signatures"), F.struct(F.size("columns"), -F.col("ordinal"))).alias("d")).select("post_id", "d.*")
 
 
+def with_picture(posts: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Posts with ``image, image_height`` of their first ``.jpg`` by name, else their first file (``post_id, name, height``, as the files' heads tell); nulls without one."""
+    first = pictures.groupBy("post_id").agg(F.min(F.struct((~F.col("name").endswith(".jpg")).alias("k"), F.col("name").alias("image"), F.col("height").alias("image_height"))).alias("p"))
+    return posts.join(first.select("post_id", "p.image", "p.image_height"), "post_id", "left")
+
+
+def too_dense(columns: Column, text: Column, image_height: Column) -> Column:
+    """Whether characters are too small for the picture; null where its height isn't known."""
+    return b.char_height(columns, text) < image_height / b.DENSITY_DIVISOR
+
+
 def layout_checks(rows: DataFrame, kept: str = t.HAN_EXT) -> DataFrame:
     """``post_id, caption, n_images, columns`` with ``reason`` where images or layout rule a post out."""
     n, chars = F.coalesce(F.size("columns"), F.lit(0)), F.length(t.keep_chars(F.col("caption"), kept))
@@ -60,7 +71,7 @@ def funnel(posts: DataFrame, readings: DataFrame, sightings: DataFrame, kept: st
     ratio = F.coalesce("high", F.lit(0)) / F.length("clean_text")
     height = b.char_height(F.col("columns"), F.col("clean_text"))
     left = left.withColumn("visible_ratio", F.bround(ratio, 3)).withColumn("avg_char_h", height)
-    left = left.withColumn("reason", first_reason((ratio < LEAST_VISIBLE, "low visibility"), (height < F.col("image_height") / b.DENSITY_DIVISOR, "too dense"))).drop("high")
+    left = left.withColumn("reason", first_reason((ratio < LEAST_VISIBLE, "low visibility"), (too_dense(F.col("columns"), F.col("clean_text"), F.col("image_height")), "too dense"))).drop("high")
     lines = b.allocated_lines(F.col("clean_text"), F.transform("columns", lambda c: c["height"]), keep_empty=True)
     left = left.withColumn("lines", F.when(F.col("reason").isNull(), lines)).withColumn("label", F.array_join("lines", "\n")).withColumn("char_counts", F.transform("lines", F.length))
     left = left.withColumn("coverage", t.coverage(F.col("clean_text"), F.col("caption"), kept))

@@ -29,19 +29,17 @@ def cleaned(rows: DataFrame, kept: str = t.HAN, markers: bool = True, simplify:
 def gate(rows: DataFrame, threshold: float = THRESHOLD, kept: str = t.HAN, simplify: dict[str, str] | None = None, markers: bool = True) -> DataFrame:
     """One row per post of ``post_id, caption, reply, columns, signatures`` (box arrays): with ``status``, ``label``, ``leven_score``, ``lines``.
 
-    Rows whose texts are empty never reach Python, nor does anything but the two texts.
+    Rows are read once. Nothing but the two texts reaches Python, and nulls for those of rows of which either is empty; the boxes of rejects aren't cleaned (``columns_clean`` is null).
     """
     ship(rows.sparkSession)
     rows = cleaned(rows, kept, markers, simplify)
     open_ = (F.col("anchor_n") != "") & (F.col("target") != "")
-    tried = rows.where(open_).withColumn("a", aligned("anchor_n", "target_n", "target"))
-    none = rows.where(~open_).withColumn("a", F.lit(None).cast("struct<score:double,start:int,end:int,label:string>"))
-    out = tried.unionByName(none)
+    out = rows.withColumn("a", aligned(*[F.when(open_, F.col(c)) for c in ("anchor_n", "target_n", "target")]))
     score, flat = F.coalesce("a.score", F.lit(0.0)), F.coalesce("a.label", F.lit(""))
     out = out.withColumn("leven_score", score).withColumn("flat", flat)
     passed = (F.col("leven_score") >= threshold) & (F.col("flat") != "")
     out = out.withColumn("status", F.when(passed, "SUCCESS").otherwise("REJECT"))
-    out = out.withColumn("columns_clean", b.clean_columns(F.col("columns"), F.col("signatures")))
+    out = out.withColumn("columns_clean", F.when(F.col("status") == "SUCCESS", b.clean_columns(F.col("columns"), F.col("signatures"))))
     heights = F.transform("columns_clean", lambda c: c["height"])
     out = out.withColumn("lines", F.when(F.col("status") == "SUCCESS", b.allocated_lines(F.col("flat"), heights)))
     return out.withColumn("label", F.array_join("lines", "\n")).withColumn("n_columns", F.size("lines")).drop("a", "flat", "anchor_n", "target_n")

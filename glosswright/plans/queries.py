@@ -17,7 +17,7 @@ from glosswright.functions import text as t
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import funnel as fu
-from glosswright.session import ship, written
+from glosswright.session import ship
 from glosswright.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,19 +203,16 @@ def _trees(spark, d):
         F.lit('{"data":[{"empty":{"k":""}},{"node":{"id":"p'), i, F.lit('","comet_sections":{"content":{"story":{"message":{"text":"t'), i, F.lit('"}}}},"props":'), F.col("props"),
         F.lit('}},{"node":{"id":"q'), i, F.lit('"}},{"post_id":"'), i, F.lit('"}],"page_info":{"end_cursor":"c'), i, F.lit('"}}'),
     )
-    return written(j.walked(e.select("event_id", F.lit(0).alias("line_no"), line.alias("line")), ["event_id", "line_no"]), "tree")
+    return j.walked(e.select("event_id", line.alias("line")), ["event_id"])
 
 
 @query("""
 SELECT event_id, CAST(x.n AS BIGINT) AS n, 'c' || event_id AS cursor, json_extract_string(props, '$.k') AS k, ['p' || event_id, CAST(event_id AS VARCHAR)] AS ids, 't' || event_id AS caption
 FROM events, (SELECT 21 + 1 AS n) x""")
 def json_tree_walk(spark, d):
-    tree, keys = _trees(spark, d), ["event_id"]
-    counted = tree.groupBy(*keys).agg(F.count("*").alias("n"))
-    found = j.post_ids(tree, keys).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "post_id"))), lambda x: x["post_id"]).alias("ids"))
-    nodes = j.post_nodes(tree, keys).where("post_id LIKE 'p%'").select(*keys, j.caption(F.col("node")).alias("caption"))
-    out = counted.join(j.end_cursors(tree, keys), keys).join(j.first_value(tree, keys, "k"), keys, "left")
-    return out.join(found, keys).join(nodes, keys).select("event_id", "n", "cursor", "k", "ids", "caption")
+    facts = j.tree_facts(_trees(spark, d), ["event_id"], ("k",))
+    caption = j.caption(F.get(F.filter("nodes", lambda x: x["post_id"].startswith("p")), F.lit(0))["node"])
+    return facts.select("event_id", "n", "cursor", "k", "ids", caption.alias("caption"))
 
 
 @query("SELECT o_orderkey AS post_id, c_name AS scrape_time FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
