@@ -21,15 +21,7 @@ TEXTS = ("node",)
 NODES = 20_000
 
 
-def _kind(x: object) -> str:
-    for kinds, name in (((bool,), "boolean"), ((dict,), "object"), ((list,), "array"), ((str,), "string"), ((int, float), "number")):
-        if isinstance(x, kinds):
-            return name
-    return "null"
-
-
-def _scalar(x: object) -> str | None:
-    return x if isinstance(x, str) else None if x is None or isinstance(x, (dict, list)) else json.dumps(x)
+_KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
 def walk(text: str | None, texts: tuple[str, ...] = TEXTS) -> Iterator[tuple]:
@@ -45,16 +37,24 @@ def walk(text: str | None, texts: tuple[str, ...] = TEXTS) -> Iterator[tuple]:
     todo, pos = [(root, 0, -1, "$", None)], 0
     while todo:
         node, depth, parent, path, key = todo.pop()
-        kind, fields, inner, value = _kind(node), None, None, None
+        kind = _KINDS[type(node)]
+        scalar = fields = inner = value = None
         if kind == "object":
-            fields = [(k, x) for k, v in node.items() if (x := _scalar(v)) is not None]
-            inner = [k for k, v in node.items() if isinstance(v, (dict, list))]
-            todo += [(v, depth + 1, pos, f"{path}.{k}", k) for k, v in reversed(node.items())]
+            fields, inner, below = [], [], []
+            for k, v in node.items():
+                if isinstance(v, (dict, list)):
+                    inner.append(k)
+                elif v is not None:
+                    fields.append((k, v if isinstance(v, str) else json.dumps(v)))
+                below.append((v, depth + 1, pos, f"{path}.{k}", k))
+            todo += below[::-1]
         elif kind == "array":
-            todo += [(v, depth + 1, pos, f"{path}[{i}]", None) for i, v in reversed(list(enumerate(node)))]
-        if kind in ("object", "array") and key in texts:
+            todo += [(v, depth + 1, pos, f"{path}[{i}]", None) for i, v in enumerate(node)][::-1]
+        elif node is not None:
+            scalar = node if kind == "string" else json.dumps(node)
+        if key in texts and kind in ("object", "array"):
             value = json.dumps(node, ensure_ascii=False)
-        yield pos, depth, parent, path, key, kind, _scalar(node), fields, inner, node is not None and node not in ("", [], {}), value
+        yield pos, depth, parent, path, key, kind, scalar, fields, inner, node is not None and node not in ("", [], {}), value
         pos += 1
 
 
