@@ -156,7 +156,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # Null ids get the number past the last; descending, the first range is that of the largest ids.
     keyed = keyed.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(len(splits) - F.col("range")).cast("int")).drop("as_double")
     sizes = keyed.groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one_id")).collect()  # a row for each range
-    many = [(r.range, -(-r.n // BUCKET_ROWS)) for r in sizes if r.one_id and r.n > 4 * BUCKET_ROWS]
+    # Parts of all ranges together are at most as many as buckets may be, and one for each range.
+    rows = max(BUCKET_ROWS, -(-n // MOST_BUCKETS))
+    many = [(r.range, -(-r.n // rows)) for r in sizes if r.one_id and r.n > 4 * rows]
     most = max([1, *[k for _, k in many]])
     many = F.broadcast(spark.createDataFrame(many, "of_range int, parts bigint"))
     part = F.floor((0.5 - F.col("hash") / F.lit(2.0**64)) * F.col("parts"))
