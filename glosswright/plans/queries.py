@@ -23,7 +23,7 @@ from glosswright.sources import files
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-KEY_WORDS = 5
+KEY_WORDS, KEY_CHARS = 5, 4
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -134,22 +134,26 @@ def indel_ratio(spark, d):
 def _contained(spark, d):
     """Candidate pairs of documents and benchmark items: all in which the document may hold the item.
 
-    A document that holds an item has the item's words but the first and the last unchanged; up to ``KEY_WORDS`` of them are the key. Items without such words
-    meet every document.
+    A document that holds an item has the item's words but the first and the last unchanged; up to ``KEY_WORDS`` of them are the key. Of items without such words
+    the first ``KEY_CHARS`` characters are, or fewer if they have no more. Only items without characters meet every document, which holds them.
     """
     words = F.split("item", r"\s+")
-    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).where("item IS NOT NULL").withColumn("n", F.greatest(F.lit(0), F.least(F.lit(KEY_WORDS), F.size(words) - 2)))
-    items = items.withColumn("k", F.xxhash64("n", F.slice(words, 2, F.col("n"))))
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).where("item IS NOT NULL")
+    inner = F.least(F.lit(KEY_WORDS), F.size(words) - 2)
+    items = items.withColumn("n", F.when(inner > 0, inner).otherwise(-F.least(F.lit(KEY_CHARS), F.length("item"))))
+    items = items.withColumn("k", F.when(F.col("n") > 0, F.xxhash64("n", F.slice(words, 2, F.greatest(F.lit(0), "n")))).otherwise(F.xxhash64("n", F.left("item", -F.col("n")))))
     docs = read(spark, d, "documents").select("doc_id", "text")
-    used = [x.n for x in items.select("n").distinct().collect()]  # KEY_WORDS + 1 rows at most
-    keys = lambda n: t.let(F.split("text", r"\s+"), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.slice(c, i, n))))
-    out = docs.crossJoin(items.where("n = 0").drop("n", "k")) if 0 in used else None
-    if lengths := [n for n in used if n]:
-        all_keys = F.array_distinct(F.concat(*[keys(n) for n in lengths]))
-        hits = docs.select("doc_id", F.explode(all_keys).alias("k")).join(items.where("n > 0").select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
-        keyed = hits.join(docs, "doc_id").join(items.where("n > 0").drop("n", "k"), "item_id").select("doc_id", "text", "item_id", "item")
-        out = out.unionByName(keyed) if out else keyed
-    return out if out else docs.crossJoin(items.drop("n", "k"))
+    used = [x.n for x in items.select("n").distinct().collect()]  # KEY_WORDS + KEY_CHARS + 1 rows at most
+    each = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - n + 1)), lambda i: F.slice(c, i, n))
+    of_words = lambda n: t.let(F.split("text", r"\s+"), lambda c: F.transform(each(c, n), lambda w: F.xxhash64(F.lit(n), w)))
+    of_chars = lambda n: t.let(F.split("text", ""), lambda c: F.transform(each(c, n), lambda w: F.xxhash64(F.lit(-n), F.array_join(w, ""))))
+    keys = [of_words(n) if n > 0 else of_chars(-n) for n in used if n]
+    empty = docs.where("text IS NOT NULL").crossJoin(items.where("n = 0").drop("n", "k"))
+    if not keys:
+        return empty
+    hits = docs.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*keys))).alias("k")).join(items.where("n <> 0").select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
+    keyed = hits.join(docs, "doc_id").join(items.where("n <> 0").drop("n", "k"), "item_id").select("doc_id", "text", "item_id", "item")
+    return keyed.unionByName(empty) if 0 in used else keyed
 
 
 @query("""

@@ -202,7 +202,7 @@ def test_pairs_are_whole(spark, tmp_path):
     rng = random.Random(2)
     words = [rng.choice("abcdef") * rng.randint(1, 2) + rng.choice("xyz") for _ in range(400)]
     docs = [(i, " ".join(words[12 * i : 12 * i + 20]) + ".") for i in range(30)]
-    items = [(i, " ".join(words[9 * i : 9 * i + 1 + i % 9])) for i in range(36)] + [(99, None)]
+    items = [(i, " ".join(words[9 * i : 9 * i + 1 + i % 9])) for i in range(36)] + [(97, words[0][:1]), (98, f"{words[2]} {words[3][:1]}"), (99, None), (100, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(x.doc_id, x.item_id): (x.start, x.label) for x in queries.verbatim_slice(spark, str(tmp_path)).collect()}
