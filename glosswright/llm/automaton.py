@@ -167,8 +167,8 @@ class Scanner:
     Texts are cut after bytes from which every state returns to the start, so long texts are scanned in parallel too.
     """
 
-    def __init__(self, patterns: list[tuple]):
-        moves, self.ends = tables(patterns, search=True)
+    def __init__(self, patterns: list[tuple], search: bool = True):
+        moves, self.ends = tables(patterns, search)
         # Bytes that move all states alike share a column.
         columns, self.kind = np.unique(moves, axis=1, return_inverse=True)
         self.kind = self.kind.reshape(-1).astype(np.uint8)

@@ -1,11 +1,11 @@
-"""Secret scan: all rules are compiled into one minimised deterministic automaton and found in one pass over the bytes of each text.
+"""Secret scan: all rules are compiled into minimised deterministic automata and found in one pass over the bytes of each text.
 
-The automaton tells where matches end; an automaton of the reversed rule, read back from an end, tells where the leftmost match begins.
+The automata tell where matches end; an automaton of the reversed rule, read back from an end, tells where the leftmost match begins.
 A key block is found by its first line; what follows it up to its last line is part of the match.
 Matches of one rule never overlap: the next one begins after the last, also after one that is dropped for being short.
 
-Rules whose tokens may hold the separators of other rules' prefixes ("-" and "_") multiply the automaton's states: with five more such rules it had some hundred
-thousand. So the rules are those of tokens of letters and digits after a fixed prefix, and some others.
+Rules that may begin anywhere multiply each other's states where the tokens of one may hold the beginning of another, so those with "-" and "_" in their tokens begin
+where no letter, digit, "-" or "_" stands before: inside a token no other rule can then begin. They have an automaton of their own, which is stepped beside the first.
 """
 
 from __future__ import annotations
@@ -45,9 +45,35 @@ RULES: dict[str, tuple] = {
     "hook": seq(word("hooks.slack.com/services/"), plus(chars("A-Z", "a-z", "0-9", "/"))),
     "pem": seq(word("-----BEGIN "), star(chars("A-Z", " ")), word("PRIVATE KEY-----")),
 }
+_TOKEN = chars("a-z", "A-Z", "0-9", "_", "-")
+_LOWER_HEX, _DOT = chars("0-9", "a-f"), chars(".")
+_USER = chars("a-z", "A-Z", "0-9", "._~%+-")
+#: Rules whose matches begin where no byte of ``_TOKEN`` stands before.
+BOUNDED: dict[str, tuple] = {
+    "jwt": seq(word("eyJ"), plus(_TOKEN), _DOT, plus(_TOKEN), _DOT, plus(_TOKEN)),
+    "google": seq(word("AIza"), plus(_TOKEN)),
+    "gitlab": seq(word("glpat-"), plus(_TOKEN)),
+    "githubpat": seq(word("github_pat_"), plus(chars("a-z", "A-Z", "0-9", "_"))),
+    "sk": seq(word("sk-"), plus(_TOKEN)),
+    "sendgrid": seq(word("SG."), plus(_TOKEN), _DOT, plus(_TOKEN)),
+    "twilio": seq(alt(word("AC"), word("SK")), plus(_LOWER_HEX)),
+    "urluser": seq(alt(*map(word, ("http", "https", "ftp", "postgres", "postgresql", "mysql", "mongodb", "redis", "amqp"))), word("://"), plus(_USER), chars(":"), plus(_USER), chars("@")),
+    "pypi": seq(word("pypi-"), plus(_TOKEN)),
+    "slackapp": seq(word("xapp-"), plus(chars("a-z", "A-Z", "0-9", "-"))),
+    "square": seq(word("sq0"), alt(word("atp"), word("csp")), chars("-"), plus(_TOKEN)),
+    "databricks": seq(word("dapi"), plus(_LOWER_HEX)),
+    "mailgun": seq(word("key-"), plus(_LOWER_HEX)),
+    "telegram": seq(plus(chars("0-9")), word(":AA"), plus(_TOKEN)),
+    "oauth": seq(word("ya29."), plus(_TOKEN)),
+    "vault": seq(word("hvs."), plus(_TOKEN)),
+    "linear": seq(word("lin_api_"), plus(_ALNUM)),
+    "age": seq(word("AGE-SECRET-KEY-1"), plus(chars("A-Z", "0-9"))),
+}
 BASE = ("assign", "access", "hex")
 #: Shorter matches are dropped; for `assign` the value counts. (Counting in the automaton would multiply its states; `hex` has to, or every word ends one.)
-LEAST = {"assign": 6, "access": 20, "hex": 24, "github": 40, "slack": 15, "awstemp": 20, "stripe": 32, "npm": 40, "hub": 37, "cloud": 71, "shop": 38, "hook": 45}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "github": 40, "slack": 15, "awstemp": 20, "stripe": 32, "npm": 40, "hub": 37, "cloud": 71, "shop": 38, "hook": 45} | {
+    "jwt": 40, "google": 39, "gitlab": 26, "githubpat": 50, "sk": 40, "sendgrid": 60, "twilio": 34, "pypi": 60, "slackapp": 30, "square": 29, "databricks": 36, "mailgun": 36, "telegram": 43, "oauth": 30, "vault": 28, "linear": 48, "age": 70,
+}
 #: What follows the first line of a key block: lines of base64 and headers (with line ends escaped or not) up to the last line.
 _BLOCK = re.compile(rb"[A-Za-z0-9+/=\\\s\x22',:.]*+(?:-[A-Za-z0-9][A-Za-z0-9+/=\\\s\x22',:.]*+)*+-----END [A-Z ]*PRIVATE KEY-----")
 _VALUE_OF = re.compile(rb"[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -57,43 +83,50 @@ class Secrets:
     """The compiled rules; built once per worker."""
 
     def __init__(self):
-        self.kinds = list(RULES)
-        self.scanner = Scanner(list(RULES.values()))
+        self.kinds = [*RULES, *BOUNDED]
+        inside = _TOKEN[1]
+        self.inside = np.array([b in inside for b in range(256)])
+        # From the start and from every byte outside tokens on a rule may begin.
+        lead = star(seq(star(_TOKEN), ("set", frozenset(range(256)) - inside)))
+        self.scanners = [Scanner(list(RULES.values())), Scanner([seq(lead, p) for p in BOUNDED.values()], search=False)]
         self.back = []
-        for p in RULES.values():
+        for p in (*RULES.values(), *BOUNDED.values()):
             moves, ends = tables([backwards(p)], search=False)
             dead = next((s for s in range(len(ends)) if not ends[s] and (moves[s] == s).all()), -1)
             self.back.append((moves, ends, dead))
 
-    def begins(self, k: int, buf: np.ndarray, end: int, least: int) -> int:
-        """The leftmost start, at ``least`` or later, of a match of rule ``k`` that ends at ``end``; -1 if there is none."""
+    def begins(self, k: int, buf: np.ndarray, end: int, least: int, first: int) -> int:
+        """The leftmost start, at ``least`` or later in the text from ``first`` on, of a match of rule ``k`` that ends at ``end``; -1 if there is none."""
         moves, ends, dead = self.back[k]
+        bounded = k >= len(RULES)
         state, found = 0, -1
         for i in range(end - 1, least - 1, -1):
             state = moves[state, buf[i]]
             if state == dead:
                 break
-            if ends[state]:
+            if ends[state] and not (bounded and i > first and self.inside[buf[i - 1]]):
                 found = i
         return found
 
     def spans(self, buf: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """For each text its ``(start, kind, end)`` byte spans, ordered."""
-        flags = self.scanner.flags(buf, offsets)
-        following = np.zeros_like(flags)
-        following[:-1] = flags[1:]
-        inner = offsets[(offsets > 0) & (offsets < len(buf))]
-        following[inner - 1] = 0
-        at = np.flatnonzero(flags & ~following)
-        of = np.searchsorted(offsets, at, "right") - 1
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+        inner = offsets[(offsets > 0) & (offsets < len(buf))]
         last: dict[tuple[int, int], int] = {}
         whole = memoryview(buf)
-        for i, doc in zip(at.tolist(), of.tolist()):
-            here = int(flags[i] & ~following[i])
-            for k in range(len(self.kinds)):
-                if here >> k & 1:
-                    start = self.begins(k, buf, i + 1, last.get((doc, k), int(offsets[doc])))
+        for zero, scanner in zip((0, len(RULES)), self.scanners):
+            flags = scanner.flags(buf, offsets)
+            following = np.zeros_like(flags)
+            following[:-1] = flags[1:]
+            following[inner - 1] = 0
+            at = np.flatnonzero(flags & ~following)
+            of = np.searchsorted(offsets, at, "right") - 1
+            for i, doc in zip(at.tolist(), of.tolist()):
+                here, first = int(flags[i] & ~following[i]), int(offsets[doc])
+                while here:
+                    k = zero + (here & -here).bit_length() - 1
+                    here &= here - 1
+                    start = self.begins(k, buf, i + 1, last.get((doc, k), first), first)
                     if start < 0:
                         continue
                     end = i + 1
@@ -103,9 +136,8 @@ class Secrets:
                     found = buf[start:end].tobytes()
                     if self.kinds[k] == "assign":
                         found = _VALUE_OF.fullmatch(found)[1]
-                    if len(found) < LEAST.get(self.kinds[k], 0):
-                        continue
-                    out[doc].append((start, k, end))
+                    if len(found) >= LEAST.get(self.kinds[k], 0):
+                        out[doc].append((start, k, end))
         return [sorted(x) for x in out]
 
 

@@ -107,13 +107,37 @@ _SECRETS = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\\\s\"',:.]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?", 0),
 )
 
+#: Those that begin where no letter, digit, "-" or "_" stands before; the byte before is part of the match here.
+_BOUNDED_SECRETS = (
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    ("google", "AIza[A-Za-z0-9_-]+", 39),
+    ("gitlab", "glpat-[A-Za-z0-9_-]+", 26),
+    ("githubpat", "github_pat_[A-Za-z0-9_]+", 50),
+    ("sk", "sk-[A-Za-z0-9_-]+", 40),
+    ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 60),
+    ("twilio", "(?:AC|SK)[0-9a-f]+", 34),
+    ("urluser", r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+-]+@", 0),
+    ("pypi", "pypi-[A-Za-z0-9_-]+", 60),
+    ("slackapp", "xapp-[A-Za-z0-9-]+", 30),
+    ("square", "sq0(?:atp|csp)-[A-Za-z0-9_-]+", 29),
+    ("databricks", "dapi[0-9a-f]+", 36),
+    ("mailgun", "key-[0-9a-f]+", 36),
+    ("telegram", "[0-9]+:AA[A-Za-z0-9_-]+", 43),
+    ("oauth", r"ya29\.[A-Za-z0-9_-]+", 30),
+    ("vault", r"hvs\.[A-Za-z0-9_-]+", 28),
+    ("linear", "lin_api_[A-Za-z0-9]+", 48),
+    ("age", "AGE-SECRET-KEY-1[A-Z0-9]+", 70),
+)
+
 
 def op9_secret_scan() -> str:
-    """A match begins after the lengths of all matches and of the pieces between them that come before it."""
+    """A match begins after the lengths of all matches and of the pieces between them that come before it, and after the byte before it that it may hold."""
+    rules = (*_SECRETS, *[(name, f"(?:^|[^A-Za-z0-9_-])(?:{p})", least) for name, p, least in _BOUNDED_SECRETS])
+    bounded = ", ".join(f"'{name}'" for name, *_ in _BOUNDED_SECRETS)
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     kinds = " UNION ALL ".join(
         f"SELECT r, {n} AS k, {quoted(name)} AS kind, {least} AS least, regexp_extract_all(t, {quoted(p)}) AS found, string_split_regex(t, {quoted(p)}) AS between FROM d WHERE regexp_matches(t, {quoted(p)})"
-        for n, (name, p, least) in enumerate(_SECRETS)
+        for n, (name, p, least) in enumerate(rules)
     )
     value = r"regexp_extract(m, '^[A-Za-z_]+[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)"
     base = "kind IN ('assign', 'access', 'hex')"
@@ -122,7 +146,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 lists AS ({kinds}),
 each AS (SELECT r, k, kind, least, unnest(found) AS m, unnest(between[:len(found)]) AS b, unnest(range(len(found))) AS i FROM lists),
 placed AS (SELECT r, k, kind, least, m, sum(length(b) + length(m)) OVER (PARTITION BY r, k ORDER BY i)::BIGINT AS stop FROM each),
-spans AS (SELECT r, k, kind, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS span FROM placed WHERE length(CASE WHEN kind = 'assign' THEN {value} ELSE m END) >= least),
+bare AS (SELECT * REPLACE (CASE WHEN kind IN ({bounded}) AND regexp_matches(m, '^[^A-Za-z0-9_-]') THEN substr(m, 2) ELSE m END AS m) FROM placed),
+spans AS (SELECT r, k, kind, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS span FROM bare WHERE length(CASE WHEN kind = 'assign' THEN {value} ELSE m END) >= least),
 sums AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                 string_agg(span, ',' ORDER BY start, k) FILTER ({base}) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM spans GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

@@ -236,18 +236,33 @@ PLAIN_SECRETS = {
     "access": ("(AKIA[A-Z0-9]+)", 20), "hex": ("([0-9a-f]+)", 24), "github": ("(gh[pousr]_[A-Za-z0-9]+)", 40), "slack": ("(xox[abprs]-[A-Za-z0-9-]+)", 15),
     "awstemp": ("(ASIA[A-Z0-9]+)", 20), "stripe": ("([sr]k_live_[A-Za-z0-9]+)", 32), "npm": ("(npm_[A-Za-z0-9]+)", 40), "hub": ("(hf_[A-Za-z0-9]+)", 37),
     "cloud": ("(dop_v1_[0-9a-f]+)", 71), "shop": ("(shp(?:at|ca|pa|ss)_[0-9a-f]+)", 38), "hook": (r"(hooks\.slack\.com/services/[A-Za-z0-9/]+)", 45),
-    "pem": ("(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 0),
+    "pem": (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\\\s\"',:.]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?)", 0),
+} | {
+    k: (f"(?<![A-Za-z0-9_-])({p})", least) for k, p, least in [
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40), ("google", "AIza[A-Za-z0-9_-]+", 39), ("gitlab", "glpat-[A-Za-z0-9_-]+", 26), ("githubpat", "github_pat_[A-Za-z0-9_]+", 50),
+        ("sk", "sk-[A-Za-z0-9_-]+", 40), ("sendgrid", r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 60), ("twilio", "(?:AC|SK)[0-9a-f]+", 34),
+        ("urluser", r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+-]+@", 0), ("pypi", "pypi-[A-Za-z0-9_-]+", 60), ("slackapp", "xapp-[A-Za-z0-9-]+", 30),
+        ("square", "sq0(?:atp|csp)-[A-Za-z0-9_-]+", 29), ("databricks", "dapi[0-9a-f]+", 36), ("mailgun", "key-[0-9a-f]+", 36), ("telegram", "[0-9]+:AA[A-Za-z0-9_-]+", 43), ("oauth", r"ya29\.[A-Za-z0-9_-]+", 30),
+        ("vault", r"hvs\.[A-Za-z0-9_-]+", 28), ("linear", "lin_api_[A-Za-z0-9]+", 48), ("age", "AGE-SECRET-KEY-1[A-Z0-9]+", 70),
+    ]
 }
 
 
 def test_secrets_against_expressions(spark):
     rng = random.Random(1)
-    bits = ["password", "API_KEY", "secret", "=", ":", " ", '"', "'", "AKIA", "ASIA", "ghp_", "xoxb-", "sk_live_", "npm_", "hf_", "dop_v1_", "shpat_", "hooks.slack.com/services/", "-----BEGIN ", "RSA PRIVATE KEY-----", "é", "\n", "_", "-"]
+    bits = ["password", "API_KEY", "secret", "=", ":", " ", '"', "'", "AKIA", "ASIA", "ghp_", "xoxb-", "sk_live_", "npm_", "hf_", "dop_v1_", "shpat_", "hooks.slack.com/services/", "-----BEGIN ", "-----END ", "RSA PRIVATE KEY-----", "é", "\n", "_", "-", " ", ".", "@"]
+    bits += "eyJ AIza glpat- github_pat_ sk- SG. AC SK http:// redis://u:p@ pypi- xapp- sq0atp- dapi key- 123:AA ya29. hvs. lin_api_ AGE-SECRET-KEY-1".split()
     run = lambda: "".join(rng.choice(rng.choice(["0123456789abcdef", "ABCDEFGHIJ0123456789", "abcXYZ019/"])) for _ in range(rng.choice([3, 10, 25, 45, 70])))
     rows = [(i, "".join(rng.choice(bits) if rng.random() < 0.5 else run() for _ in range(rng.randint(1, 30)))) for i in range(400)]
+    rows += [(1000 + i, rng.choice(["", "é", "x", " ", "-"]) + rng.choice(bits) + run() + rng.choice(["", ".", "_", "-"]) + run() + rng.choice(["", ".", " "]) + run()) for i in range(600)]
+    n = "0123456789" * 8
+    whole = ["token=abcdefgh", f"AKIA{n}", n[:30], f"ghp_{n}", f"xoxb-{n}", f"ASIA{n}", f"sk_live_{n}", f"npm_{n}", f"hf_{n}", f"dop_v1_{n}", f"shpat_{n}", f"hooks.slack.com/services/{n}", "-----BEGIN EC PRIVATE KEY-----\nab=\n-----END EC PRIVATE KEY-----"]
+    whole += [f"eyJ{n}.{n}.x", f"AIza{n}", f"glpat-{n}", f"github_pat_{n}", f"sk-{n}", f"SG.{n}.x", f"AC{n}", "mysql://me:you@host", f"pypi-{n}", f"xapp-{n}", f"sq0csp-{n}", f"dapi{n}", f"key-{n}", f"12:AA{n}", f"ya29.{n}", f"hvs.{n}", f"lin_api_{n}", f"AGE-SECRET-KEY-1{n}"]
+    rows += [(2000, "\n".join(whole))]
     rows += [(400, None), (401, ""), (None, "token=abcdefgh"), (7, rows[7][1]), (402, "x " * 100_000 + "token=abcdefgh " + "y" * 100_000)]
     table = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, spans string")
     want = []
+    assert list(PLAIN_SECRETS) == [*secrets.RULES, *secrets.BOUNDED]
     for d, t in rows:
         found = []
         for k, (kind, (p, least)) in enumerate(PLAIN_SECRETS.items()):
@@ -257,6 +272,7 @@ def test_secrets_against_expressions(spark):
         want.append((-1 if d is None else d, *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for *_, x in found)))
     got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans) for x in secrets.secret_spans(table).collect())
     assert got == sorted(want)
+    assert {x.split(":")[0] for *_, spans in got for x in spans.split(",") if x} == set(PLAIN_SECRETS)
     assert secrets.secret_spans(table.limit(0)).count() == 0 and secrets.redacted(table.limit(0)).count() == 0
 
 
