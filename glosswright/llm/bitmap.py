@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswright.session import ship
+
 #: At most 2 ** 26 bits, 8 MB, whatever the input; with more members than bits more non-members pass, never fewer members.
 MOST_BITS = 26
 
@@ -33,3 +38,22 @@ def has(words: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be members."""
     at = hashes >> np.uint64(64 - bits)
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def may_be_in(members: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test whether a row's 64-bit hash may be among those in ``column`` of ``members`` (a written table). What can't be needs no join, and so isn't shuffled, whatever its size."""
+    ship(members.sparkSession)
+    bits = bits_for(members.count())
+    sent = members.sparkSession.sparkContext.broadcast(bitmap(members, column, bits))
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(has(sent.value, bits, hashes.to_numpy().astype(np.int64).view(np.uint64)))
+
+    return test
+
+
+def without(docs: DataFrame, key: Callable[[DataFrame], Column], bad: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``key`` isn't in ``column`` of ``bad`` (a written table). Only rows that may be in it are joined; all columns pass, whatever their names."""
+    may = may_be_in(bad.select(F.xxhash64(column).alias("hash")), "hash")(F.xxhash64(key(docs)))
+    return docs.where(~may).unionByName(docs.where(may).join(bad, key(docs) == bad[column], "left_anti"))

@@ -178,6 +178,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts are judged: rows of equal texts (told by a digest of 128 bits) stay or go together, rows that share a ``doc_id``, null ones too, don't. Null and empty texts stay; repeated
     rows stay repeated; an empty table gives an empty result. Texts are read whole, as ``contamination`` says.
     """
-    digest = F.md5(F.coalesce("text", F.lit("")))
-    bad = contamination(docs.select(digest.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_digest")).distinct()
-    return docs.join(bad, F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["bad_digest"], "left_anti")
+    digest = lambda df: F.md5(F.coalesce(df["text"], F.lit("")))
+    bad = contamination(docs.select(digest(docs).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_digest")).distinct()
+    return bm.without(docs, digest, written(bad, "contaminated"), "bad_digest")

@@ -505,11 +505,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first = groups.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
     judged = groups.join(first, "root").select("doc_id", "hash", "n", stays.alias("stays"))
-    gone, several = (written(judged.where(x).select(F.col("doc_id").alias("at_id"), F.col("hash").alias("at_hash")), "gone") for x in ("NOT stays", "stays AND n > 1"))
-
-    def those(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["at_id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == keys["at_hash"]), how)
-
-    kept = those(docs, gone, "left_anti")
-    once = those(kept, several, "left_semi").groupBy("doc_id", "text").agg(F.first(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])).alias("one")).select("one.*")
-    return those(kept, several, "left_anti").unionByName(once)
+    acts = written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("at_id"), F.col("hash").alias("at_hash"), "stays"), "acts")
+    hash_ = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    may = bm.may_be_in(acts.select(F.xxhash64("at_id", "at_hash").alias("key")), "key")(F.xxhash64(docs["doc_id"], hash_))
+    # Rows that none of this concerns aren't shuffled; of the others those that go have gone when equal rows become one.
+    found = docs.where(may)
+
+    def those(which: str, how: str) -> DataFrame:
+        keys = acts.where(which).select("at_id", "at_hash")
+        return found.join(keys, found["doc_id"].eqNullSafe(keys["at_id"]) & (hash_ == keys["at_hash"]), how)
+
+    each = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    once = those("stays", "left_semi").groupBy("doc_id", "text").agg(F.first(F.struct(*each)).alias("one")).select("one.*")
+    return docs.where(~may).unionByName(those("true", "left_anti")).unionByName(once)
