@@ -73,9 +73,7 @@ def error_counts(spark: SparkSession, path: str, schema: str = SAMPLE) -> DataFr
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The results of earlier runs; none where nothing has been written yet."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if sinks.exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def folder(path):
@@ -126,8 +124,7 @@ def seen_near(spark: SparkSession, path: str, ids: DataFrame, other_than: str |
 
     Without those of the batch ``other_than``. None where nothing has been written yet.
     """
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not sinks.exists(spark, path):
         return spark.createDataFrame([], "post_id string, timestamp timestamp")
     buckets = [x.b for x in ids.select(sinks.seen_bucket(F.col("post_id")).alias("b")).distinct().collect()]
     rows = spark.read.schema(sinks.SEEN).parquet(path).where(F.col("bucket").isin(buckets))

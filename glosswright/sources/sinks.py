@@ -73,10 +73,14 @@ def export_samples(passes: DataFrame, pictures: DataFrame, path: str) -> None:
     write_files(files.unionByName(own), path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def ensure_table(spark: SparkSession, path: str, schema: str) -> None:
     """Makes an empty table where there is none."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         spark.createDataFrame([], schema).write.parquet(path)
 
 
@@ -162,8 +166,8 @@ def upsert_index(new: DataFrame, path: str) -> int:
     rows = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*INDEX_COLUMNS[1:])).alias("x")).select(key, "x.*")
     rows = written(rows.withColumn("bucket", seen_bucket(F.col(key), INDEX_BUCKETS)), "new")
     buckets = [x.bucket for x in rows.select("bucket").distinct().collect()]  # INDEX_BUCKETS at most
-    ensure_table(spark, path, f"{INDEX}, bucket int")
-    old = spark.read.schema(f"{INDEX}, bucket int").parquet(path).where(F.col("bucket").isin(buckets))
+    schema = f"{INDEX}, bucket int"
+    old = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(buckets)) if exists(spark, path) else spark.createDataFrame([], schema)
     a, b = old.alias("a"), rows.alias("b")
     pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}").alias(c)
     merged = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.bucket") == F.col("b.bucket")), "full_outer").select(*[pick(c) for c in (*INDEX_COLUMNS, "bucket")])
