@@ -205,7 +205,7 @@ def exported_posts(spark, d):
     path = scratch_path(spark, "export")
     rows = read(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("post_id"), F.col("c_name").alias("caption"))
     sinks.export_posts(rows, path)
-    return spark.read.schema("post_id string, caption string, folder string").json(path).select("folder", "post_id", "caption")
+    return files.documents(spark, f"{path}/*", "post_id string, caption string").select("folder", "post_id", "caption")
 
 
 @query(r"SELECT 'd' || doc_id AS folder, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS caption FROM documents")

@@ -40,7 +40,7 @@ def commit_batch(spark: SparkSession, path: str, batch: str) -> None:
 
 def export_posts(posts: DataFrame, path: str) -> None:
     """Each post as a document in a folder of its own, under its sanitised id."""
-    posts.withColumn("folder", safe_id(F.col("post_id"))).repartition("folder").write.mode("append").partitionBy("folder").json(path)
+    write_files(posts.select(safe_id(F.col("post_id")).alias("folder"), F.lit("post_info.json").alias("name"), F.to_json(F.struct(*posts.columns)).alias("content")), path)
 
 
 def write_files(rows: DataFrame, path: str) -> None:
