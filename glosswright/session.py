@@ -6,13 +6,18 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: The scopes of scratch tables that a thread has open.
+_open = threading.local()
 
 #: Texts are long: Arrow batches are bounded by bytes, not by the usual ten thousand rows alone.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
@@ -57,6 +62,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
     return path
 
 
@@ -67,6 +74,29 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch tables that this thread makes inside go at the end, but those (as ``written`` gives them) that the function it yields is called for."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    made: list[str] = []
+    kept: list[str] = []
+    scopes.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for path in made:
+            if path not in kept:
+                drop_scratch(spark, path)
+        if scopes:
+            scopes[-1] += kept
+
+
 def in_store(path: str):
     """A path's file system and its path there, for tasks that read or write files of their own."""
     from pyarrow import fs
@@ -81,4 +111,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out

@@ -209,3 +209,18 @@ def test_cache_documents(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"a": {"num_columns": 1, "best_image": "a.jpg", "columns": [], "signatures": []}}))
     assert files.detection_cache(spark, f"file://{tmp_path}/one.json", one_document=True).first().best_image == "a.jpg"
     assert tuple(r.cache_counts(cache).first()) == (3, 1, 2)
+
+
+def test_scratch_scopes(spark):
+    from glosswright.session import scratch_scope, written
+
+    there = lambda df: sinks.exists(spark, df.scratch_path)
+    before = written(spark.range(3), "before")
+    with scratch_scope(spark) as keep:
+        gone = written(spark.range(3), "gone")
+        with scratch_scope(spark) as inner:
+            deep, shallow = inner(written(gone, "deep")), written(gone, "shallow")
+        assert there(deep) and not there(shallow)
+        kept = keep(written(deep.unionByName(before), "kept"))
+    assert there(before) and there(kept) and not there(gone) and not there(deep)
+    assert kept.count() == 6 and there(written(kept, "after"))
