@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from glosswright.llm import bitmap as bm
 from glosswright.llm.words import LETTERS, Words, grams, pieces, signed
-from glosswright.session import ship, written
+from glosswright.session import scratch_scope, ship, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -179,5 +179,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows stay repeated; an empty table gives an empty result. Texts are read whole, as ``contamination`` says.
     """
     digest = lambda df: F.md5(F.coalesce(df["text"], F.lit("")))
-    bad = contamination(docs.select(digest(docs).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_digest")).distinct()
-    return bm.without(docs, digest, written(bad, "contaminated"), "bad_digest")
+    with scratch_scope(docs.sparkSession) as keep:
+        bad = contamination(docs.select(digest(docs).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_digest")).distinct()
+        bad = keep(written(bad, "contaminated"))
+    return bm.without(docs, digest, bad, "bad_digest")

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from glosswright.llm import bitmap as bm
 from glosswright.llm.components import components
 from glosswright.llm.words import NON_SPACE, Words, grams, mix, pieces, signed
-from glosswright.session import ship, written
+from glosswright.session import scratch_scope, ship, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -500,12 +500,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     of its text, and of equal rows any one. Documents without words, null texts among them, are all kept. Other columns pass through, whatever their names. An empty table gives an empty
     result. Texts are compared whole, as ``near_duplicates`` says."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
-    named = written(_linked(docs, Shingles(SHINGLE), PERCENT), "named").where("root IS NOT NULL")
-    groups = named.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
-    first = groups.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
-    judged = groups.join(first, "root").select("doc_id", "hash", "n", stays.alias("stays"))
-    acts = written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("at_id"), F.col("hash").alias("at_hash"), "stays"), "acts")
+    with scratch_scope(docs.sparkSession) as keep:
+        named = written(_linked(docs, Shingles(SHINGLE), PERCENT), "named").where("root IS NOT NULL")
+        groups = named.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+        first = groups.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+        stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+        judged = groups.join(first, "root").select("doc_id", "hash", "n", stays.alias("stays"))
+        acts = keep(written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("at_id"), F.col("hash").alias("at_hash"), "stays"), "acts"))
     hash_ = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     may = bm.may_be_in(acts.select(F.xxhash64("at_id", "at_hash").alias("key")), "key")(F.xxhash64(docs["doc_id"], hash_))
     # Rows that none of this concerns aren't shuffled; of the others those that go have gone when equal rows become one.
