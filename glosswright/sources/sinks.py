@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glosswright.functions.text import safe_id
 from glosswright.operators.relational import appended, unseen
-from glosswright.session import in_store, ship, written
+from glosswright.session import dealt, in_store, ship, written
 
 #: The index's columns in their order.
 INDEX_COLUMNS = ("post_id_numeric", "author_id", "post_url", "v11_folder", "merged_folder", "scrape_time", "has_label")
@@ -46,7 +46,7 @@ def export_posts(posts: DataFrame, path: str) -> None:
 def write_files(rows: DataFrame, path: str) -> None:
     """Each row (``folder, name, content``; text or bytes) as a file of its own. A repeated task writes the same files again."""
     ship(rows.sparkSession)
-    rows = rows.select("folder", "name", F.col("content").cast("binary").alias("content"))
+    rows = dealt(rows.select("folder", "name", F.col("content").cast("binary").alias("content")), "folder", "name")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = in_store(path)

@@ -148,6 +148,25 @@ def test_unreadable_documents(spark, tmp_path):
         read("raise").collect()
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/x"
+    rows = spark.range(120).select(F.concat(F.lit("d "), F.col("id").cast("string")).alias("folder"), F.lit("a.json").alias("name"), F.concat(F.lit('{"post_id": "'), F.col("id").cast("string"), F.lit('"}')).alias("content"))
+    sinks.write_files(rows.coalesce(1), path)
+    sinks.write_files(rows.limit(3).select(F.concat("folder", F.lit("/images")).alias("folder"), F.lit("p.png").alias("name"), F.lit(png(3, 4)).alias("content")), path)
+    (tmp_path / "x" / "none").mkdir()
+    (tmp_path / "x" / "d 1" / ".hidden").write_text("h")
+    (tmp_path / "x" / "d 1" / "_hidden.json").write_text("h")
+    (tmp_path / "x" / "top.txt").write_bytes(b"\xc3\xa9")
+    found = files.documents(spark, f"{path}/*", "post_id string", "default")
+    assert {(x.folder, x.post_id) for x in found.collect()} == {(f"d {i}", str(i)) for i in range(120)} | {("x", None)}
+    # Spark's own listing keeps every file's name and size on the driver.
+    assert all(len(x.inputFiles()) < 60 for x in (found, files.captions(spark, f"{path}/*"), files.folders(spark, path), files.images(spark, path, sizes=True)))
+    assert {x.folder: x.n_files for x in files.folders(spark, path).collect()} == {"x": 1, "images": 3} | {f"d {i}": 1 for i in range(120)}
+    assert [(x.name, x.width, x.height) for x in files.images(spark, path, sizes=True).collect()] == [("p.png", 3, 4)] * 3
+    assert [x.caption for x in files.captions(spark, path).collect()] == ["é"] and files.captions(spark, f"{path}/*/*").count() == 123
+    assert files.captions(spark, f"{path}/d 1*").count() == 31
+
+
 def test_deep_and_broken_trees(spark):
     deep = '{"k":' * 500 + '"v"' + "}" * 500
     odd = json.dumps({"post_id": "12", "e": [], "n": None, "f": False, "node": {"id": "p1", "comet_sections": None, "z": 1.5}, "x": [{"node": {"id": "p2", "comet_sections": {"a": 1}}}, {"post_id": 13}, {"post_id": "no"}]})
