@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glosswright.functions.text import let
+
 BOX = "struct<bbox:array<double>,class:int,conf:double,center_x:double,height:double>"
 # Thresholds.
 CONTAINED, COVERED, ON_SIGNATURE, SMALL_SIGNATURE = 0.7, 0.75, 0.6, 0.5
@@ -42,18 +44,23 @@ def right_to_left(boxes: Column) -> Column:
 
 def clean_columns(columns: Column, signatures: Column) -> Column:
     """Without boxes that hold two others, near-copies of larger boxes, and columns on a small signature; the input where none would be left."""
-    columns, signatures = F.coalesce(columns, F.array().cast(f"array<{BOX}>")), F.coalesce(signatures, F.array().cast(f"array<{BOX}>"))
+    none = F.array().cast(f"array<{BOX}>")
+    return let(F.coalesce(columns, none), lambda c: let(F.coalesce(signatures, none), lambda s: _cleaned(c, s)))
+
+
+def _cleaned(columns: Column, signatures: Column) -> Column:
+    # What a lambda uses of the whole array is computed before it: inside, it would be computed again for each box.
     numbered = F.transform(columns, lambda b, i: F.struct((-area(b["bbox"])).alias("k"), i.alias("i"), b.alias("b")))
     holds = lambda x, y: (x["i"] != y["i"]) & (area(y["b"]["bbox"]) > 0) & (intersection(x["b"]["bbox"], y["b"]["bbox"]) >= CONTAINED * area(y["b"]["bbox"]))
-    single = F.filter(numbered, lambda x: F.size(F.filter(numbered, lambda y: holds(x, y))) < 2)
+    single = let(numbered, lambda n: F.filter(n, lambda x: F.size(F.filter(n, lambda y: holds(x, y))) < 2))
     covered = lambda x, kept: F.exists(kept, lambda k: intersection(x["b"]["bbox"], k["b"]["bbox"]) / -x["k"] >= COVERED)
     none = F.filter(numbered, lambda x: F.lit(False))
     kept = F.aggregate(F.array_sort(single), none, lambda acc, x: F.when((x["k"] < 0) & ~covered(x, acc), F.array_append(acc, x)).otherwise(acc))
     tallest = F.coalesce(F.nullif(F.array_max(F.transform(columns, lambda b: F.coalesce(b["height"], F.lit(0.0)))), F.lit(0.0)), F.lit(1.0))
-    small = F.filter(signatures, lambda s: s["bbox"][3] - s["bbox"][1] < SMALL_SIGNATURE * tallest)
-    free = F.filter(kept, lambda x: ~F.exists(small, lambda s: intersection(x["b"]["bbox"], s["bbox"]) / -x["k"] >= ON_SIGNATURE))
+    small = let(tallest, lambda most: F.filter(signatures, lambda s: s["bbox"][3] - s["bbox"][1] < SMALL_SIGNATURE * most))
+    free = let(small, lambda found: F.filter(kept, lambda x: ~F.exists(found, lambda s: intersection(x["b"]["bbox"], s["bbox"]) / -x["k"] >= ON_SIGNATURE)))
     ordered = F.transform(F.array_sort(F.transform(free, lambda x: F.struct(x["i"].alias("i"), x["b"].alias("b")))), lambda x: x["b"])
-    return F.when(F.size(ordered) == 0, columns).otherwise(ordered)
+    return let(ordered, lambda left: F.when(F.size(left) == 0, columns).otherwise(left))
 
 
 def allocation(heights: Column, n: Column, compat: bool = False) -> Column:
@@ -62,28 +69,35 @@ def allocation(heights: Column, n: Column, compat: bool = False) -> Column:
     A remainder larger than that count would make it negative; then the excess is taken from the following counts instead, so that the counts always
     add up to ``n``. ``compat`` leaves the negative count.
     """
-    heights = F.transform(heights, lambda h: F.coalesce(h, F.lit(1.0)))
-    total = F.aggregate(heights, F.lit(0.0), lambda a, h: a + h)
-    total = F.when(total == 0, 1.0).otherwise(total)
-    counts = F.transform(heights, lambda h: F.bround(h / total * n, 0).cast("int"))
-    rest = n.cast("int") - F.aggregate(counts, F.lit(0), lambda a, c: a + c)
-    at = (F.array_position(counts, F.array_max(counts)) - 1).cast("int")
-    given = F.transform(counts, lambda c, i: F.when(i == at, c + rest).otherwise(c))
-    if compat:
-        return given
-    start = F.struct(F.lit(0).alias("owed"), F.array().cast("array<int>").alias("out"))
-    order = F.transform(given, lambda c: F.greatest(c, F.lit(0)))
-    owed = F.aggregate(given, F.lit(0), lambda a, c: a + F.greatest(-c, F.lit(0)))
-    return F.aggregate(
-        order,
-        F.struct(owed.alias("owed"), start["out"].alias("out")),
-        lambda a, c: F.struct((a["owed"] - F.least(a["owed"], c)).alias("owed"), F.array_append(a["out"], c - F.least(a["owed"], c)).alias("out")),
-        lambda a: a["out"],
-    )
+
+    def shares(h: Column) -> Column:
+        total = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
+        return let(F.when(total == 0, 1.0).otherwise(total), lambda all_: F.transform(h, lambda x: F.bround(x / all_ * n, 0).cast("int")))
+
+    def rounded(counts: Column) -> Column:
+        rest = n.cast("int") - F.aggregate(counts, F.lit(0), lambda a, c: a + c)
+        at = (F.array_position(counts, F.array_max(counts)) - 1).cast("int")
+        return let(F.struct(rest.alias("rest"), at.alias("at")), lambda x: F.transform(counts, lambda c, i: F.when(i == x["at"], c + x["rest"]).otherwise(c)))
+
+    def paid(given: Column) -> Column:
+        owed = F.aggregate(given, F.lit(0), lambda a, c: a + F.greatest(-c, F.lit(0)))
+        return F.aggregate(
+            F.transform(given, lambda c: F.greatest(c, F.lit(0))),
+            F.struct(owed.alias("owed"), F.array().cast("array<int>").alias("out")),
+            lambda a, c: F.struct((a["owed"] - F.least(a["owed"], c)).alias("owed"), F.array_append(a["out"], c - F.least(a["owed"], c)).alias("out")),
+            lambda a: a["out"],
+        )
+
+    given = let(let(F.transform(heights, lambda h: F.coalesce(h, F.lit(1.0))), shares), rounded)
+    return given if compat else let(given, paid)
 
 
 def allocated_lines(text: Column, heights: Column, keep_empty: bool = False) -> Column:
     """The text cut into the columns' lines; without columns one line, without text none."""
+    return let(text, lambda x: let(heights, lambda h: _cut(x, h, keep_empty)))
+
+
+def _cut(text: Column, heights: Column, keep_empty: bool) -> Column:
     counts = allocation(heights, F.length(text))
     cut = F.aggregate(
         counts,
@@ -99,7 +113,7 @@ def allocated_lines(text: Column, heights: Column, keep_empty: bool = False) ->
 def has_orphan(lines: Column) -> Column:
     """A line of one character beside one of three or more."""
     lengths = F.filter(F.transform(lines, F.length), lambda n: n > 0)
-    return F.coalesce((F.array_min(lengths) == 1) & (F.array_max(lengths) >= 3), F.lit(False))
+    return let(lengths, lambda n: F.coalesce((F.array_min(n) == 1) & (F.array_max(n) >= 3), F.lit(False)))
 
 
 def mean_aspect(columns: Column) -> Column:
