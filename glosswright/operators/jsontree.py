@@ -142,13 +142,15 @@ def tree_facts(tree: DataFrame, keys: list[str], values: tuple[str, ...] = (), b
     """Of each tree in one pass: ``n`` nodes, the first filled ``cursor``, the ``ids`` of posts in order, ``nodes`` (``post_id, node``) of its posts, and the first filled value of each of ``values``."""
     names, node = _names_post(bare), _node() & F.col("filled") & _field("id").isNotNull()
     cursor = (F.col("key") == "page_info") & (_field("end_cursor") != "")
-    ordered = lambda where, **x: F.sort_array(F.collect_list(F.when(where, F.struct(F.col("pos"), *[v.alias(k) for k, v in x.items()]))))
-    out = tree.groupBy(*keys).agg(
+    # What is aggregated is told node by node before: whole nodes would be sorted and spilled.
+    at = lambda where, value: F.when(where, F.struct("pos", value.alias("v")))
+    rows = tree.select(*keys, at(cursor, _field("end_cursor")).alias("cursor_"), at(names, _post()).alias("id_"), F.when(node, F.struct("pos", _field("id").alias("post_id"), F.col("value").alias("node"))).alias("node_"), *[at(*_filled(k)).alias(f"value_{i}") for i, k in enumerate(values)])
+    out = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        _first(cursor, _field("end_cursor")).alias("cursor"),
-        F.array_distinct(F.transform(ordered(names, post_id=_post()), lambda x: x["post_id"])).alias("ids"),
-        ordered(node, post_id=_field("id"), node=F.col("value")).alias("nodes"),
-        *[_first(*_filled(k)).alias(k) for k in values],
+        F.min("cursor_")["v"].alias("cursor"),
+        F.array_distinct(F.transform(F.sort_array(F.collect_list("id_")), lambda x: x["v"])).alias("ids"),
+        F.sort_array(F.collect_list("node_")).alias("nodes"),
+        *[F.min(f"value_{i}")["v"].alias(k) for i, k in enumerate(values)],
     )
     return out.withColumn("nodes", F.transform("nodes", lambda x: F.struct(x["post_id"].alias("post_id"), x["node"].alias("node"))))
 

@@ -17,7 +17,7 @@ from glosswright.functions import text as t
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import funnel as fu
-from glosswright.session import ship
+from glosswright.session import dealt, ship
 from glosswright.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,7 +207,7 @@ def _trees(spark, d):
         F.lit('{"data":[{"empty":{"k":""}},{"node":{"id":"p'), i, F.lit('","comet_sections":{"content":{"story":{"message":{"text":"t'), i, F.lit('"}}}},"props":'), F.col("props"),
         F.lit('}},{"node":{"id":"q'), i, F.lit('"}},{"post_id":"'), i, F.lit('"}],"page_info":{"end_cursor":"c'), i, F.lit('"}}'),
     )
-    return j.walked(e.select("event_id", line.alias("line")), ["event_id"])
+    return j.walked(dealt(e.select("event_id", "props"), "event_id").select("event_id", line.alias("line")), ["event_id"])
 
 
 @query("""
@@ -324,11 +324,16 @@ def lexical_slice(spark, d):
     return r.lexical_slice(read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 100, 50)
 
 
+def _lines(spark, d, *columns):
+    """Order lines dealt out by order: a file of few row groups would be gathered, and its orders worked on, by few tasks."""
+    return dealt(read(spark, d, "lineitem").select("l_orderkey", *columns), "l_orderkey")
+
+
 def _layouts(spark, d):
     """Boxes made of order lines: columns, and signatures where the discount is small."""
     x, y = F.col("l_partkey") % 300, F.col("l_suppkey") % 100
     box = F.struct(F.array(x, y, x + 20 + F.col("l_quantity"), y + 100 + F.col("l_quantity") * 4).cast("array<double>").alias("bbox"), (F.col("l_discount") < 0.02).cast("int").alias("class"), (0.2 + F.col("l_tax") * 10).alias("conf"))
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", box.alias("b")))), lambda z: z["b"]).alias("raw"))
+    rows = _lines(spark, d, "l_linenumber", box.alias("b")).groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "b"))), lambda z: z["b"]).alias("raw"))
     rows = rows.withColumn("boxes", b.with_layout(F.col("raw")))
     return rows.select("l_orderkey", "raw", "boxes", b.of_class(F.col("boxes"), 0).alias("columns"), b.of_class(F.col("boxes"), 1).alias("signatures"))
 
@@ -373,7 +378,7 @@ c AS (SELECT *, list_transform(h, lambda x: CAST(round_even(x / list_sum(h) * n,
 e AS (SELECT *, n - CAST(list_sum(c) AS INT) AS rest, list_position(c, list_max(c)) AS pos FROM c)
 SELECT l_orderkey, n, list_transform(c, lambda x, i: CASE WHEN i = pos THEN x + rest ELSE x END) AS counts FROM e""")
 def allocate_chars(spark, d):
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"]).alias("h"))
+    rows = _lines(spark, d, "l_linenumber", "l_quantity").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"]).alias("h"))
     rows = rows.withColumn("n", (F.col("l_orderkey") % 97).cast("int"))
     return rows.select("l_orderkey", "n", b.allocation(F.col("h"), F.col("n"), compat=True).alias("counts"))
 

@@ -214,3 +214,22 @@ def test_pairs_are_whole(spark, tmp_path):
     flat = ["".join(c for c in x[2] or "" if c.isalpha()) for x in turns]
     assert {k: (x.score, x.start, x.end, x.label) for k, x in got.items()} == {k: s.align_all([(flat[k - 1], flat[k], flat[k])])[0] for k in (1, 2, 3)}
     assert [got[k].status for k in (1, 2, 3)] == ["SUCCESS", "REJECT", "REJECT"]
+
+
+def test_shared_values_are_computed_once_a_row(spark):
+    """Inside a lambda an expression of the whole array is computed again for each element: shares, areas and the tallest box are bound before."""
+    assert str(b.allocation(F.col("h"), F.col("n"))).count("round(") == 1
+    assert str(b.clean_columns(F.col("c"), F.col("s"))).count("array_max(") == 1 and str(b.allocated_lines(F.col("t"), F.col("h"))).count("round(") == 1
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    """A file of one row group is one split; its orders, trees and responses are the work of many tasks."""
+    make = lambda name, **c: spark.range(400).select(*[F.expr(x).alias(k) for k, x in c.items()]).coalesce(1).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    make("lineitem", l_orderkey="id div 2", l_linenumber="cast(id % 2 as int)", l_quantity="1.0D + id % 3")
+    make("events", event_id="id", props="'{\"k\": 1}'")
+    make("customer", c_custkey="id", c_name="'n'", c_nationkey="1", c_mktsegment="'segment'")
+    from glosswright.plans import corpus_queries
+
+    at = f"file://{tmp_path}"
+    for rows, key in ((queries.queries()["allocated_text"](spark, at), "l_orderkey"), (queries.queries()["json_tree_walk"](spark, at), "event_id"), (corpus_queries._responses(spark, at), "c_custkey")):
+        assert rows.count() > 0 and f"RepartitionByExpression [{key}" in rows._jdf.queryExecution().analyzed().toString()
