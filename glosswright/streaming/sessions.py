@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -14,6 +16,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 OUT = "session string, at_us long, arrival long, post_id string, status string, streak long, n long, stop boolean"
 
 
+def _in_order(rows: Iterator[Row]) -> Iterator[tuple[int, int | None, str | None, bool]]:
+    """``at_us, arrival, post_id, known`` by time and arrival (null first). Rows are held as numbers, 33 bytes each, and each id once."""
+    at, arrival, of, flags, codes = array("q"), array("q"), array("q"), bytearray(), {}
+    for r in rows:
+        at.append(r.at_us)
+        arrival.append(0 if r.arrival is None else r.arrival)
+        of.append(codes.setdefault(r.post_id, len(codes)))
+        flags.append(bool(r.known) + 2 * (r.arrival is not None))
+    names, order = list(codes), np.arange(0)
+    if at:
+        order = np.lexsort((np.frombuffer(arrival, np.int64), np.frombuffer(flags, np.uint8) >= 2, np.frombuffer(at, np.int64)))
+    for i in order:
+        yield at[i], arrival[i] if flags[i] >= 2 else None, names[of[i]], bool(flags[i] & 1)
+
+
 class FeedSession(StatefulProcessor):
     """One session's arrivals in order. State: the running streak, how many arrivals there were, the time of the last, and the session's ids.
 
@@ -36,8 +53,8 @@ class FeedSession(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         streak, n, last = self.run.get() if self.run.exists() else (0, 0, None)
-        here: set[str | None] = set()
-        for at, arrival, post, known in sorted(((r.at_us, r.arrival, r.post_id, bool(r.known)) for r in rows), key=lambda x: x[:2]):
+        here: set[str] = set()
+        for at, arrival, post, known in _in_order(rows):
             if self.silence is not None and self.by_events and last is not None and at - last > self.silence:
                 yield self._ended(key[0], streak, n, last)
                 streak, n, here = 0, 0, set()

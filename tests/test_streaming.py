@@ -1,17 +1,20 @@
 """Streams: ingestion whose batches are begun again, streaks over restarts, silences, the bucketed seen table."""
 
 import json
+import random
 import time
+import tracemalloc
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as t
 from glosswright.plans.queries import oracle_sql, queries
 from glosswright.sources import files, sinks
 from glosswright.streaming import ingest as ing
-from glosswright.streaming.sessions import feed_sessions, store_sessions
+from glosswright.streaming.sessions import _in_order, feed_sessions, store_sessions
 
 
 def response(ids):
@@ -169,3 +172,16 @@ def test_silences_of_the_last_seconds(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = {tuple(x) for x in con.execute(oracle_sql()["streamed_silences"]).fetchall()}
     assert {x[0] for x in want} == {2, 4, 7} and {tuple(x) for x in got.collect()} == want
+
+
+def test_arrivals_of_a_batch_are_held_as_numbers():
+    rng, size = random.Random(3), 100_000
+    rows = lambda n: (Row(at_us=rng.randrange(n), arrival=rng.choice([None, rng.randrange(9)]), post_id=rng.choice([None, "", str(rng.randrange(500))]), known=rng.choice([None, True, False])) for _ in range(n))
+    some = list(rows(3000))
+    want = sorted(((r.at_us, r.arrival, r.post_id, bool(r.known)) for r in some), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+    assert list(_in_order(iter(some))) == want and list(_in_order(iter([]))) == []
+    tracemalloc.start()
+    assert sum(1 for _ in _in_order(rows(size))) == size
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * size
