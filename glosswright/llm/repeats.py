@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswright.llm import bitmap as bm
-from glosswright.llm.words import NON_SPACE, Words, grams, mix, pieces, signed
+from glosswright.llm.words import CHUNK, NON_SPACE, Words, grams, mix, pieces, signed
 from glosswright.session import ship, written
 
 WINDOW = 13
@@ -81,13 +82,12 @@ def occurrences(w: Words, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     inside &= begin < end
     weight = (np.minimum(length, np.uint64(255)) << np.uint64(56)) | (symbols >> np.uint64(8))
     best = np.where(inside, begin, 0)
+    live = np.flatnonzero(inside)
     for step in range(1, window):
-        at = begin + step
-        open_ = inside & (at < end)
-        if not open_.any():
-            break
-        better = open_ & (weight[np.minimum(at, len(weight) - 1)] > weight[best])
-        best = np.where(better, at, best)
+        live = live[begin[live] + step < end[live]]
+        at = begin[live] + step
+        better = weight[at] > weight[best[live]]
+        best[live[better]] = at[better]
     # Windows without a sure symbol inside stand for themselves.
     chosen = np.where(inside, best, -1 - p)
     new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(p) != 1)]))
@@ -143,25 +143,50 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2), batch.column(3)], names=["id", "packed", "version", "doc_id"])
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows with their texts, some ``CHUNK`` bytes of them at a time, or a single longer one."""
+    for batch in batches:
+        texts, held = [], 0
+        for i, packed in enumerate(batch.column(1)):
+            texts.append(zlib.decompress(packed.as_py()))
+            held += len(texts[-1])
+            if held >= CHUNK or i + 1 == batch.num_rows:
+                yield batch.slice(i + 1 - len(texts), len(texts)), pa.array(texts, pa.large_binary()).view(pa.large_string())
+                texts, held = [], 0
+
+
+def joined(w: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each text, one space apart: the bytes of all texts, and where each begins."""
+    k, before = np.flatnonzero(kept), np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[w.first]
+    starts, ends = w.starts[k], w.ends[k]
+    inner = np.zeros(len(w.buf) + 1, np.int8)
+    inner[starts] += 1
+    inner[ends] -= 1
+    spaced = np.ones(len(k), bool)
+    spaced[before[1:][before[1:] > before[:-1]] - 1] = False  # last of a text
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts + spaced)])
+    out, letters = np.full(at[-1], 0x20, np.uint8), np.ones(at[-1], bool)
+    letters[at[1:][spaced] - 1] = False
+    out[letters] = w.buf[np.cumsum(inner[:-1], dtype=np.int8) > 0]
+    return out, at[before]
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                w = Words(pa.array([zlib.decompress(x.as_py()).decode() for x in batch.column(1)], pa.large_string()), False, NON_SPACE, hashes=False)
-                removed, digest, texts = [], [], []
-                for i, spans in enumerate(batch.column(2).to_pylist()):
-                    a, n = int(w.first[i]), int(w.counts[i])
-                    change = np.zeros(n + 1, np.int64)
-                    for s in spans or ():
-                        change[s["low"]] += 1
-                        change[s["low"] + s["n"] + window - 1] -= 1
-                    kept = a + np.flatnonzero(np.cumsum(change[:n]) == 0)
-                    text = b" ".join(w.buf[w.starts[k] : w.ends[k]].tobytes() for k in kept)
-                    removed.append(n - len(kept))
-                    digest.append(hashlib.sha256(text).hexdigest())
-                    texts.append(text.decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        for batch, texts in _unpacked(batches):
+            w = Words(texts, False, NON_SPACE, hashes=False)
+            lists = batch.column(2)
+            spans, of = lists.flatten(), np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            low, n = (spans.field(i).to_numpy() for i in range(2))
+            change = np.zeros(len(w.starts) + 1, np.int64)
+            np.add.at(change, w.first[of] + low, 1)
+            np.add.at(change, w.first[of] + low + n + window - 1, -1)
+            kept = np.cumsum(change[:-1]) == 0
+            out, at = joined(w, kept)
+            digest = [hashlib.sha256(out[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:])]
+            removed = w.counts - np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[w.first])
+            left = pa.StringArray.from_buffers(len(texts), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digest, pa.string()), left], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 

@@ -7,9 +7,11 @@ import re
 import textwrap
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from glosswright.llm import components, decontaminate, fingerprints, licenses, mixing, repeats, secrets, similar, toxicity, urls, warc
+from glosswright.llm import components, decontaminate, fingerprints, licenses, mixing, repeats, secrets, similar, toxicity, urls, warc, words
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -76,6 +78,18 @@ def test_repeats(spark, texts, docs):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
+def test_kept_words_are_joined_without_a_step_a_word():
+    """Texts without a space between them, and texts of which no word, the last or all are kept."""
+    given = ["a bb", "ccc", None, " ", "d\t\te  é f", "g h"]
+    w = words.Words(pa.array(given), False, words.NON_SPACE, hashes=False)
+    for drop in ([], [0], [1, 2], [4, 6], range(9)):
+        kept = np.array([i not in drop for i in range(9)])
+        out, at = repeats.joined(w, kept)
+        number = iter(range(9))
+        want = [" ".join(x for x in SPACE.findall(t or "") if next(number) not in drop) for t in given]
+        assert [out[i:j].tobytes().decode() for i, j in zip(at[:-1], at[1:])] == want
+
+
 def test_near_duplicates(spark, texts, docs):
     sets = []
     for t in texts:
