@@ -561,6 +561,67 @@ def test_toxicity_against_plain_models(spark, rated, monkeypatch, most):
         assert a == pytest.approx(b, abs=1e-5)
 
 
+def kneser_ney(rows, toxic):
+    """Likelihoods of a word after its predecessor in either class, by the definitions of the module's docstring, and all known words."""
+    pairs = {0: {}, 1: {}}
+    for d, t in rows:
+        if d is not None and zlib.crc32(str(d).encode()) % 5 in (1, 2, 3) and d in toxic:
+            w = LETTERS.findall((t or "").translate(LOW))
+            for p in set(zip(["", *w], w)):
+                pairs[toxic[d]][p] = pairs[toxic[d]].get(p, 0) + 1
+
+    def off(counts):
+        once, twice = (sum(n == i for n in counts) for i in (1, 2))
+        return min(max(once / (once + 2 * twice), 0.1), 0.95) if once + twice else 0.5
+
+    def by_predecessors(pairs, lower):
+        k = {}
+        for _, w in pairs:
+            k[w] = k.get(w, 0) + 1
+        d, total = off(k.values()), sum(k.values())
+        return lambda w: (max(k.get(w, 0) - d, 0) + d * len(k) * lower(w)) / total if total else lower(w)
+
+    words = {w for c in pairs.values() for _, w in c}
+    shared = by_predecessors(pairs[0].keys() | pairs[1].keys(), lambda w: 1 / (len(words) + 1))
+
+    def of_class(c):
+        d, word = off(c.values()), by_predecessors(c, shared)
+
+        def p(v, w):
+            after = [n for (x, _), n in c.items() if x == v]
+            return (max(c.get((v, w), 0) - d, 0) + d * len(after) * word(w)) / sum(after) if after else word(w)
+
+        return p
+
+    return of_class(pairs[1]), of_class(pairs[0]), words
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0, 12, 25])
+def test_likelihoods_of_both_classes(spark, rated, monkeypatch, most):
+    """All pairs and words of both classes count, those that one ordinary text holds once too, however much of the model is broadcast."""
+    rows, _, labels = rated
+    # A text repeated with its id and not, one with a word and pairs that a single ordinary text of folds 1 to 3 has, one of unknown words.
+    once = next(i for i in range(1, 300, 3) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3))
+    rows = [(d, f"{t} solitary lm lm" if d == once else t) for d, t in rows] + [(400, "ab cd vile ab ab lm"), (400, "ab cd vile ab ab lm"), (401, "solitary lm lm ab"), (402, "who knows"), (403, "solitary cd")]
+    toxic = {i: int(i % 3 == 0) for i in range(300)}
+    p1, p0, words = kneser_ney(rows, toxic)
+    for p in (p1, p0):
+        for v in ("", "ab", "solitary", "nowhere"):
+            assert sum(p(v, w) for w in [*words, "unknown"]) == pytest.approx(1)
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", most)
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    want = []
+    for d, t in rows:
+        w = LETTERS.findall((t or "").translate(LOW))
+        r = [math.log(p1(*x) / p0(*x)) for x in zip(["", *w], w)]
+        want.append((d if d is not None else -1, sum(r) / len(r) if r else 0))
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.likelihood) for x in got)
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want)):
+        assert a == pytest.approx(b, abs=1e-5)
+    assert dict(got)[401] < -0.3
+
+
 def test_without_toxic(spark):
     docs = spark.createDataFrame([(1, None, "x")], "doc_id long, text string, bad_id string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
