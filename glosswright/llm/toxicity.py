@@ -9,10 +9,11 @@ below 1, estimated from the numbers of what is counted once and twice (``discoun
 
 All words and pairs of either class are in its model, whatever their counts. A text is compared by the sum over all its positions of log p(w | v, toxic) - log p(w | v, ordinary), divided by
 their number: ``likelihood``. That sum is one of values of words, contexts and pairs (``values``). The table of them is as long as the corpus makes it; the most frequent, at most
-``MOST_BROADCAST``, are broadcast, all others are joined to the texts' positions, in ``PARTS`` passes of which each has a part of the keys, so that shuffle files of one are gone before the next.
+``MOST_BROADCAST``, are read whole by each task from the shared folder (``_sorted``), so that none pass through the driver. All others are joined to the texts' positions, in ``PARTS`` passes of
+which each has a part of the keys, so that shuffle files of one are gone before the next.
 
 Beside the likelihoods, expressions that at least two toxic texts, contexts or words attest are compared one by one (``log_ratios``): pairs back off to words by predecessors, those to stems by
-words, each in the proportion in which the next lower order is shared between the classes. That table is broadcast or joined likewise, with the same result.
+words, each in the proportion in which the next lower order is shared between the classes. That table is read by tasks or joined likewise, with the same result.
 
 Fold = crc32(doc_id as text) mod 5. Fold 0 is held out; folds 1 to 3 train the models, fold 4 fits the five numbers that turn the comparison of likelihoods, the mean and the largest log ratio
 of attested expressions, and the length, by which the latter grows, into a score, on at most ``CALIBRATION`` of its labelled rows.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from glosswright.llm import bitmap as bm
 from glosswright.llm.words import LETTERS, Words, mix, pieces, signed, span_hashes
-from glosswright.session import drop_scratch, scratch_scope, ship, shuffles_dropped, written
+from glosswright.session import drop_scratch, read_columns, scratch_scope, ship, shuffles_dropped, written
 
 #: Bytes of a stem.
 STEM = 5
@@ -43,8 +44,10 @@ LEANING = 10.0
 MOST_RATIO = 6.0
 #: Rows of fold 4 on which the score is fitted, at most; the smallest by digest of doc_id.
 CALIBRATION = 50_000
-#: Rows of a model that is broadcast: 12 bytes each.
+#: Rows of a model that every task reads: at most 24 bytes each.
 MOST_BROADCAST = 4_000_000
+#: Files of such a model.
+FILES = 8
 #: Passes over labelled texts and over all texts, each for a part of the keys: a power of 2.
 PARTS = 2
 #: Expressions a task holds before it hands them on.
@@ -167,12 +170,16 @@ def _words(pairs: DataFrame) -> DataFrame:
     return written(rows[0].unionByName(rows[1]).groupBy("key").agg(*[F.sum(x).alias(x) for x in names[1:]]), "words")
 
 
+def _sorted(rows: DataFrame, name: str) -> DataFrame:
+    """A written table of few rows in the order of ``key``, from file to file, as tasks read it (``read_columns``) and search in it."""
+    return written(rows.repartitionByRange(FILES, "key").sortWithinPartitions("key"), name)
+
+
 def values(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
     """``key, value, n`` of what adds to a position's log ratio of likelihoods, and the log ratio of an unknown word, which every position has.
 
     A word adds what its likelihoods differ from that, a context the ratio of the shares it gives to the lower order, a pair what its own counts add to both; ``n`` tells how frequent they are.
     """
-    spark = pairs.sparkSession
     # Single rows of sums.
     s = words.agg(
         *[F.sum(x).alias(x) for x in ("k", "k1", "k0")], *[F.count_if(F.col(x) > 0).alias(f"w_{x}") for x in ("k", "k1", "k0")],
@@ -191,14 +198,15 @@ def values(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(context_key(unsigned(batch.column(0))))), *batch.columns[1:]], names=["key", "value", "n"])
 
-    def compared(sent):
+    def compared(path: str | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if path:
+                keys, *facts = read_columns(path, "key", "t1", "t0", "p1", "p0")
             for batch in batches:
                 a, b = unsigned(batch.column(0)), unsigned(batch.column(1))
                 n1, n0, *more = (x.to_numpy(zero_copy_only=False).astype(float) for x in batch.columns[2:])
-                if sent:
-                    keys, *facts = sent.value
-                    i, j = np.searchsorted(keys, a), np.searchsorted(keys, b)
+                if path:
+                    i, j = np.searchsorted(keys, signed(a)), np.searchsorted(keys, signed(b))
                     more = [facts[0][i], facts[1][i], facts[2][j], facts[3][j]]
                 t1, t0, p1, p0 = (x.astype(float) for x in more)
                 of_toxic, of_ordinary = (np.log1p(np.maximum(n - d, 0) / (d * np.maximum(t, 1) * p)) for n, d, t, p in ((n1, off["n1"], t1, p1), (n0, off["n0"], t0, p0)))
@@ -208,21 +216,18 @@ def values(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
 
     facts = words.select("key", *[F.col(x).cast("float").alias(x) for x in ("t1", "t0")], p1.cast("float").alias("p1"), p0.cast("float").alias("p0"))
     schema = "key bigint, value float, n bigint"
-    sent = None
+    path = None
     if words.count() <= MOST_BROADCAST:
-        table = facts.toArrow()
-        keys = table["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[order], *[table[x].to_numpy()[order] for x in ("t1", "t0", "p1", "p0")]))
-        of_pairs = pairs.select("a", "b", "n1", "n0").mapInArrow(compared(sent), schema)
+        path = _sorted(facts, "facts").scratch_path
+        of_pairs = pairs.select("a", "b", "n1", "n0").mapInArrow(compared(path), schema)
     else:
         both = pairs.join(facts.select(F.col("key").alias("a"), "t1", "t0"), "a").join(facts.select(F.col("key").alias("b"), "p1", "p0"), "b")
         of_pairs = both.select("a", "b", "n1", "n0", "t1", "t0", "p1", "p0").mapInArrow(compared(None), schema)
     of_words = words.where("k > 0").select("key", (F.log(p1 / p0) - unknown).cast("float").alias("value"), F.col("k").alias("n"))
     of_contexts = words.where("t1 + t0 > 0").select("key", F.log(lower(1) / lower(0)).cast("float").alias("value"), (F.col("n1") + F.col("n0")).alias("n")).mapInArrow(keyed, schema)
     out = written(of_pairs.unionByName(of_words).unionByName(of_contexts), "values")
-    if sent:
-        sent.destroy()
+    if path:
+        drop_scratch(pairs.sparkSession, path)
     return out, unknown
 
 
@@ -277,6 +282,7 @@ def _found(keys: np.ndarray, x: np.ndarray, *columns: np.ndarray) -> list[np.nda
     """What each column has for the keys, else nan."""
     if not len(keys):
         return [np.full(len(x), np.nan)] * len(columns)
+    x = signed(x)
     order = np.argsort(x)  # neighbours are looked up together
     x = x[order]
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
@@ -286,12 +292,12 @@ def _found(keys: np.ndarray, x: np.ndarray, *columns: np.ndarray) -> list[np.nda
     return out
 
 
-def _features(model):
+def _features(path: str):
     """``doc_id, at`` with the comparison of attested expressions (the log ratio of the pair, else of the word, else of the stem, else 0), the number of positions, and the sum of the values of
-    words, contexts and pairs that were broadcast."""
+    words, contexts and pairs that are in the table of frequent ones at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ratios, values = model.value
+        keys, ratios, values = read_columns(path, "key", "ratio", "value")
         for batch in pieces(batches):
             e = Expressions(batch.column(2))
             (of_stem,), (of_word, word), (context,) = _found(keys, e.stems, ratios), _found(keys, e.words, ratios, values), _found(keys, context_key(e.contexts), values)
@@ -403,14 +409,11 @@ def counts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return pairs, out[0].where("kind = 1").select("a", "b"), _words(pairs)
 
 
-def _lookup(ratios: pa.Table, values: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of both in order, with their ratios and values, nan where there is none."""
-    tables = [(t["key"].to_numpy().view(np.uint64), t.column(1).to_numpy()) for t in (ratios, values)]
-    keys = np.union1d(tables[0][0], tables[1][0])
-    out = [np.full(len(keys), np.nan, np.float32) for _ in tables]
-    for column, (own, found) in zip(out, tables):
-        column[np.searchsorted(keys, own)] = found
-    return keys, *out
+def _lookup(ratios: DataFrame, values: DataFrame) -> DataFrame:
+    """``key, ratio, value``: the keys of both in order, null where one has none."""
+    none = F.lit(None).cast("float")
+    both = values.select("key", none.alias("ratio"), "value").unionByName(ratios.select("key", F.col("ratio").cast("float"), none.alias("value")))
+    return _sorted(both.groupBy("key").agg(F.max("ratio").alias("ratio"), F.max("value").alias("value")), "frequent")
 
 
 def _least_frequent(model: DataFrame, most: int, bound: int = 1000) -> int:
@@ -453,10 +456,12 @@ def _scored(docs: DataFrame, labels: DataFrame, carried: tuple[str, ...]) -> Dat
         ratios = keep(log_ratios(_attested(pairs, stems, words)))
     joined = ratios.count() > MOST_BROADCAST
     least = _least_frequent(model, MOST_BROADCAST)
-    sent = spark.sparkContext.broadcast(_lookup((ratios.limit(0) if joined else ratios).select("key", "ratio").toArrow(), model.where(F.col("n") >= least).select("key", "value").toArrow()))
+    frequent = _lookup(ratios.limit(0) if joined else ratios, model.where(F.col("n") >= least))
+    if not joined:
+        drop_scratch(spark, ratios.scratch_path)
     schema = T.StructType([keyed.schema["doc_id"], *T._parse_datatype_string("at bigint, f0 double, f1 double, f2 double, positions double, added double").fields])
-    scored = written(keyed.mapInArrow(_features(sent), schema), "compared")
-    sent.destroy()
+    scored = written(keyed.mapInArrow(_features(frequent.scratch_path), schema), "compared")
+    drop_scratch(spark, frequent.scratch_path)
     rows, more = scored, F.lit(0.0)
     if joined:
         found = _joined_features(keyed.select("at", "text"), ratios.select("key", F.col("ratio").cast("float").cast("double").alias("ratio")))

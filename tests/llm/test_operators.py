@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from glosswright import session
 from glosswright.llm import components, decontaminate, fingerprints, licenses, mixing, repeats, secrets, similar, toxicity, urls, warc, words
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -622,6 +623,27 @@ def test_likelihoods_of_both_classes(spark, rated, monkeypatch, most):
     assert dict(got)[401] < -0.3
 
 
+def test_no_model_on_the_driver(spark, rated, monkeypatch):
+    """What is gathered on the driver or broadcast are bitmaps, of fixed size; tasks read the models from the shared folder."""
+    _, docs, labels = rated
+    gathered, sent = [], []
+    to_arrow, broadcast = type(docs).toArrow, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: gathered.append(self.columns) or to_arrow(self))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    assert toxicity.toxicity(docs, labels).count() == docs.count()
+    assert all(x == ["cell", "word"] for x in gathered)
+    assert sent and all(isinstance(x, np.ndarray) and x.dtype == np.uint64 and len(x) <= 1 << 20 for x in sent)
+
+
+def test_columns_that_tasks_read(spark):
+    rows = [(k * 7919 % 1009 - 500, None if k % 3 else k / 2) for k in range(1009)]
+    table = toxicity._sorted(spark.createDataFrame(rows, "key long, x float"), "table")
+    keys, x = session.read_columns(table.scratch_path, "key", "x")
+    assert keys.tolist() == list(range(-500, 509))
+    assert [None if math.isnan(v) else v for v in x] == [v for _, v in sorted(rows)]
+    assert [len(c) for c in session.read_columns(toxicity._sorted(table.limit(0), "none").scratch_path, "x", "key")] == [0, 0]
+
+
 def test_without_toxic(spark):
     docs = spark.createDataFrame([(1, None, "x")], "doc_id long, text string, bad_id string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
