@@ -1,19 +1,26 @@
 """Source divergence audit: how far the sources of a language are apart in their terms, and which terms set a source apart.
 
-Each term of a language becomes a wide vector, an array of its counts by source. Higher-order functions turn a vector into contributions to pairs of sources,
+Tasks count the terms of their own texts; only these counts are shuffled, once, by language and term. Each term of a language becomes a wide vector, an array of its counts by source. Higher-order functions turn a vector into contributions to pairs of sources,
 which are summed before the shuffle. Terms that neither source of a pair has contribute the same amount each: that part is multiplied, not emitted, so that
 a term of few sources emits pairs with those sources only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswright.llm.words import ascii_lower
-from glosswright.session import written
+from glosswright.llm.words import give_back
+from glosswright.session import ship, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of texts: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]`` with A to Z in lower case, spaces in place of all others.
+TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+#: Terms of languages and sources that a task holds before it hands them on.
+HELD = 1 << 20
 LEAST_DOCS, PRIOR, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 
 
@@ -23,13 +30,36 @@ def _share(count: Column, total: Column, terms: Column, prior: int, scale: int)
     return F.when(terms > 0, 1 + F.call_function("div", part(scale) * (count + prior), (total + prior * terms).cast("decimal(20,0)"))).otherwise(F.lit(0).cast("long"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, docs``: how often the task's texts of a language and source have a term, and how many have it; a term comes again where a task holds more than ``HELD``."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        while held:
+            (lang, source), (times, docs) = held.popitem()
+            terms, n, of = pa.array(list(times), pa.binary()), pa.array(list(times.values()), pa.int64()), pa.array([docs[x] for x in times], pa.int64())
+            for i in range(0, len(terms), 50_000):
+                some = terms.slice(i, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), pa.repeat(source, len(some)), some.view(pa.string()), n.slice(i, 50_000), of.slice(i, 50_000)], names=["lang", "source", "term", "n", "docs"])
+        give_back()
+
+    for batch in batches:
+        for text, lang, source in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            terms = text.as_py().translate(TERM).split()
+            times, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            times.update(terms)
+            docs.update(set(terms))
+        if sum(len(times) for times, _ in held.values()) > HELD:
+            yield from rows()
+    yield from rows()
+
+
 def term_vectors(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``lang, term, cells``: the terms in at least ``least_docs`` documents of a language, with their counts by source (an array of ``source, n``)."""
-    terms = docs.select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms")).withColumn("own", F.array_distinct("terms"))
-    # Each text's distinct terms come first, for the number of documents, then all of them. Empty arrays go after exploding: Spark would infer a filter that extracts all terms again.
-    terms = terms.select("lang", "source", F.size("own").alias("k"), F.concat("own", "terms").alias("both"))
-    rows = terms.select("lang", "source", "k", F.posexplode_outer("both").alias("i", "term")).where("term IS NOT NULL")
-    counts = rows.groupBy("lang", "source", "term").agg(F.count_if(F.col("i") >= F.col("k")).alias("n"), F.count_if(F.col("i") < F.col("k")).alias("docs"))
+    ship(docs.sparkSession)
+    rows = docs.select("text", "lang", "source").mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    # Tasks have summed up their own rows, so those of a frequent term are few; both sums need no further shuffle.
+    counts = rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     vectors = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("cells"))
     return vectors.where(F.col("docs") >= least_docs).drop("docs")
 

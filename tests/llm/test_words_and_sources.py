@@ -188,6 +188,25 @@ def test_divergence(spark):
     assert divergence.divergence(docs.limit(0)).collect() == []
 
 
+def test_terms_are_counted_by_tasks(spark, monkeypatch):
+    """A task hands on a row for each term of a language and source, not for each time that it has it; where it holds too many, in parts that add up."""
+    texts = ["The the THE été", "the - É", None, "12", "x" * 300 + " 字"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts]), pa.array(["en"] * len(texts)), pa.array(["a", "b", ""] * 5)], names=["text", "lang", "source"])
+    want, documents = Counter(), Counter()
+    for t, s in zip(texts, ["a", "b", ""] * 5):
+        terms = [x.translate(LOW) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+        want.update((s, x) for x in terms)
+        documents.update((s, x) for x in set(terms))
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(divergence, "HELD", held)
+        rows = [tuple(x.values()) for b in divergence._counted(iter([batch.slice(0, 7), batch.slice(7)])) for x in b.to_pylist()]
+        n, docs = Counter(), Counter()
+        for _, source, term, times, of in rows:
+            n[source, term] += times
+            docs[source, term] += of
+        assert n == want and docs == documents and (len(rows) == len(want)) == (held > 1)
+
+
 def test_shares_are_exact(spark):
     cases = [(9 * 10**17, 9 * 10**18 - 50, 7), (0, 0, 1), (3, 10**15, 12), (5, 5, 0)]
     df = spark.createDataFrame(cases, "c long, t long, v long").select(divergence._share(F.col("c"), F.col("t"), F.col("v"), 5, 1_000_000_000).alias("p"))
