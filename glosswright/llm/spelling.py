@@ -50,7 +50,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     index = words.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(_keys(size)).alias("key"))
     probes = words.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(F.concat(_keys(size), _keys(size - 1))).alias("key"))
     index, probes = (df.select(*df.columns[:2], "key.*") for df in (index, probes))
-    pairs = index.join(probes, ["size", "part", "segment", "side", "c"])
+    # Spark takes exploded rows for as small as the words that they come of, and would send them all through the driver.
+    pairs = index.join(probes.hint("merge"), ["size", "part", "segment", "side", "c"])
     # Words of one length meet in either order, a word meets itself, and a pair may have both segments or both sides in common.
     half = F.floor(F.col("size") / 2).cast("int")
     once = (F.length("b") > F.col("size")) | (F.col("a") < F.col("b"))
@@ -65,7 +66,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         step = roots.select(F.col("word").alias("at"), F.col("root").alias("next"))
-        after = written(roots.join(step, F.col("root") == F.col("at"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = written(roots.join(step.hint("merge"), F.col("root") == F.col("at"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if after.where("moved").isEmpty():
             return after.select("word", "root")
         roots = after.select("word", "root")
@@ -84,5 +85,5 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     enough = -F.col("best.m") >= factor * F.col("own")
     best = written(best.select("word", "n_near", F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.m")).alias("form_n")), "near")
     roots = _roots(best.where("form IS NOT NULL"))
-    out = found.join(best, "word", "left").join(roots, "word", "left")
+    out = found.join(best.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

@@ -151,6 +151,15 @@ def test_near_pairs_meet_once(spark):
     assert len(got) == len(want) and {(x.a, x.b) for x in got} == want
 
 
+def test_variants_broadcast_nothing(spark):
+    """Small tables of words become large ones of keys, whose size Spark doesn't know."""
+    found = spelling.near_pairs(spark.createDataFrame([("aaaaa", 3), ("aaaab", 9)], "word string, n long"))
+    variants = spelling.variants(spark.createDataFrame([(1, "aaaaa aaaab " * 9)], "doc_id long, text string"))
+    for df in (found, variants):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(x.a, x.b) for x in found.collect()] == [("aaaaa", "aaaab")] and variants.count() == 2
+
+
 def naive_divergence(rows, least_docs, most_terms):
     counts, seen, groups = defaultdict(Counter), Counter(), defaultdict(set)
     for text, lang, source in rows:
