@@ -452,6 +452,29 @@ def test_fingerprints(spark, texts, docs, monkeypatch):
     assert len(found) == len(rows) and {x.edited_sha256 for x in found} <= halves
 
 
+def test_compact_fingerprints(spark, texts, tmp_path):
+    """A third of the size, with all signatures: likeness can be had of them, and equal ones are of equal sets."""
+    from base64 import b64decode
+
+    from glosswright.llm.queries import queries
+
+    rows = [(i, t) for i, t in enumerate(texts[:80])] + [(900, None), (901, ""), (902, "!!"), (903, "!!"), (904, "one two three four"), (905, "one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, short = ({x.doc_id: x for x in fingerprints.fingerprints(docs, **k).collect()} for k in ({}, {"compact": True}))
+    other = [c for c in docs.columns + ["n_chars", "edited_sha256", "near_edited", "near_next"] if c != "text"]
+    assert all([whole[d][c] for c in other] == [short[d][c] for c in other] for d, _ in rows)
+    pairs = {(whole[d][c], short[d][c]) for d, _ in rows for c in ("fingerprint", "edited_fingerprint")}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    cut = lambda x: [b64decode(x)[i : i + 4].hex() for i in range(8, len(b64decode(x)), 4)]
+    assert all(cut(b) == [a[i : i + 8] for i in range(0, len(a), 16)] for a, b in pairs)
+    order = sorted(rows, reverse=True)
+    for (d, _), (n, _) in zip(order, order[1:] + order[:1]):
+        assert short[d].near_next == pytest.approx(alike(set(cut(short[d].fingerprint)), set(cut(short[n].fingerprint))))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    size = lambda found: sum(len(x.fingerprint) + len(x.edited_fingerprint) for x in found)
+    assert size(queries()["op7_fingerprints"](spark, str(tmp_path)).collect()) == size(short.values()) < 0.4 * size(whole.values())
+
+
 def test_spot_near_duplicates(spark, texts, edits):
     rows = [t for t in texts[:40]] + edits[:60] + edits[300:340]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
