@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ INDEX_COLUMNS = ("post_id_numeric", "author_id", "post_url", "v11_folder", "merg
 INDEX = ", ".join(f"{c} {'boolean' if c == 'has_label' else 'string'}" for c in INDEX_COLUMNS)
 INDEX_KEYS, INDEX_BUCKETS = ("post_id_numeric", "post_url", "v11_folder"), 64
 
+#: How names of archives of small files end; files and bytes that one holds at most, or one file.
+ARCHIVE, ARCHIVED, ARCHIVED_BYTES = ".files.zip", 4096, 1 << 24
+
 #: The seen table's columns, and the number of buckets it is dealt out to.
 SEEN, SEEN_BUCKETS = "post_id string, timestamp timestamp, batch string, bucket int", 256
 
@@ -60,6 +66,47 @@ def write_files(rows: DataFrame, path: str) -> None:
     rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """Archives of rows (``folder, name, content``) in their order; of rows of one file the first counts."""
+    held, archive, last = io.BytesIO(), None, None
+    for batch in batches:
+        for folder, name, content in zip(*[c.to_pylist() for c in batch.columns]):
+            if (folder, name) == last:
+                continue
+            archive, last = archive or zipfile.ZipFile(held, "w"), (folder, name)
+            archive.writestr(zipfile.ZipInfo(f"{folder}/{name}"), content or b"")
+            if len(archive.infolist()) >= ARCHIVED or held.tell() >= ARCHIVED_BYTES:
+                archive.close()
+                yield held.getvalue()
+                held, archive = io.BytesIO(), None
+    if archive:
+        archive.close()
+        yield held.getvalue()
+
+
+def write_archives(rows: DataFrame, path: str) -> None:
+    """Each row (``folder, name, content``; text or bytes) as a file in one of many archives in one folder, as ``files.images`` reads them.
+
+    A folder and a file of its own for each of millions of small files needs more inodes and blocks than a disk has. A repeated task writes the same archives again.
+    """
+    ship(rows.sparkSession)
+    rows = dealt(rows.select("folder", "name", F.col("content").cast("binary").alias("content")), "folder", "name").sortWithinPartitions("folder", "name", "content")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = in_store(path)
+        store.create_dir(at)
+        task = TaskContext.get()
+        for k, data in enumerate(_archives(batches)):
+            name = f"{task.partitionId():05}-{k:05}{ARCHIVE}"
+            made = f"{at}/.{task.taskAttemptId()}-{name}"
+            with store.open_output_stream(made, compression=None) as out:
+                out.write(data)
+            store.move(made, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64())], names=["n"])
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def export_samples(passes: DataFrame, pictures: DataFrame, path: str) -> None:
     """Each pass (``post_id, label, caption`` and what else its document holds) as a folder: its picture (``post_id, name, content``), label, caption and document.
 

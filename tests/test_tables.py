@@ -1,9 +1,11 @@
 """Landed tables and their sinks, pictures, phrases and trees, on small cases and against brute force."""
 
+import io
 import json
 import os
 import random
 import struct
+import zipfile
 from pathlib import Path
 
 import pytest
@@ -15,6 +17,8 @@ from glosswright.functions.pictures import JPEG, PNG, picture_size
 from glosswright.operators import jsontree as j
 from glosswright.operators import relational as r
 from glosswright.plans import prepared as pr
+from glosswright.plans.queries import queries
+from glosswright.session import shared_dir
 from glosswright.sources import files, sinks
 from glosswright.streaming import ingest as ing
 
@@ -52,6 +56,43 @@ def test_pictures_and_samples(spark, tmp_path):
     assert files.images(spark, path).columns == ["post_id", "name"]
 
 
+def test_pictures_in_archives(spark, tmp_path, monkeypatch):
+    """Small files share archives; pictures inside them are read as those beside them, and a repeat writes the same archives."""
+    path = f"file://{tmp_path}/x"
+    rows = [(f"p {i}/images", f"{i % 3}.{'JPG' if i % 2 else 'png'}", jpeg(i, 9) if i % 2 else png(i, 9)) for i in range(1, 90)]
+    rows += [("é/images", "cut.jpg", JPEG), ("é/images", "none.png", None), ("é/images", "png", png(1, 1)), ("é/images", "note.txt", b"x"), rows[5], ("p 7/images", "7.gif", b"GIF")]
+    table = spark.createDataFrame(rows, "folder string, name string, content binary")
+    before = None
+    for part in (7, 2):
+        sinks.write_archives(table.repartition(part), path)
+        made = {p.name: p.read_bytes() for p in Path(tmp_path, "x").iterdir() if not p.name.endswith(".crc")}
+        assert len(made) <= 4 and made == (before or made)
+        before = made
+    sinks.write_files(spark.createDataFrame([("q/images", "b.jpeg", jpeg(3, 4))], "folder string, name string, content binary"), path)
+    want = {(f"p {i}", f"{i % 3}.{'JPG' if i % 2 else 'png'}", i, 9) for i in range(1, 90)} | {("é", "cut.jpg", None, None), ("é", "none.png", None, None), ("q", "b.jpeg", 3, 4)}
+    got = files.images(spark, path, content=True, sizes=True).collect()
+    assert {(x.post_id, x.name, x.width, x.height) for x in got} == want and len(got) == len(want)
+    assert {x.base64 for x in got if x.post_id == "é"} == {"/9g=", ""}
+    assert {tuple(x) for x in files.images(spark, path).collect()} == {x[:2] for x in want}
+    monkeypatch.setattr(sinks, "ARCHIVED", 20)
+    monkeypatch.setattr(sinks, "ARCHIVED_BYTES", 2000)
+    held = [zipfile.ZipFile(io.BytesIO(x)) for x in sinks._archives(iter(table.where("content IS NOT NULL").toArrow().to_batches(max_chunksize=11)))]
+    assert all(len(x.infolist()) <= 20 for x in held) and len(held) > 4 and sum(len(x.infolist()) for x in held) == len(rows) - 1
+    assert list(sinks._archives(iter([]))) == []
+
+
+def test_picture_queries_make_few_files(spark):
+    """A folder and a file for each picture need more inodes than a disk has; and a join with what a few archives hold isn't broadcast."""
+    at = Path(shared_dir(spark).removeprefix("file:"), "scratch")
+    old = set(at.glob("pictures-*"))
+    for name in ("picture_sizes",):
+        found = queries()[name](spark, "/root/testdata/sf0.001")
+        assert found.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() >= 200
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    made = set(at.glob("pictures-*")) - old
+    assert len(made) == 1 and 0 < len([p for x in made for p in x.rglob("*")]) < 20
+
+
 def naive_converted(text, rules):
     out, at = "", 0
     while at < len(text):
