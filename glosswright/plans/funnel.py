@@ -24,7 +24,8 @@ def best_image(detections: DataFrame) -> DataFrame:
 def with_picture(posts: DataFrame, pictures: DataFrame) -> DataFrame:
     """Posts with ``image, image_height`` of their first ``.jpg`` by name, else their first file (``post_id, name, height``, as the files' heads tell); nulls without one."""
     first = pictures.groupBy("post_id").agg(F.min(F.struct((~F.col("name").endswith(".jpg")).alias("k"), F.col("name").alias("image"), F.col("height").alias("image_height"))).alias("p"))
-    return posts.join(first.select("post_id", "p.image", "p.image_height"), "post_id", "left")
+    # Spark takes pictures for as small as the list of their files or archives, and would send them all through the driver.
+    return posts.join(first.select("post_id", "p.image", "p.image_height").hint("merge"), "post_id", "left")
 
 
 def too_dense(columns: Column, text: Column, image_height: Column) -> Column:
